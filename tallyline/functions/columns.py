@@ -87,6 +87,10 @@ def percent_text(value: Column) -> Column:
     return F.when(value < 1, F.lit("<1")).otherwise(F.format_string("%.2f", value))
 
 
+def epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def utc_literal(instant: str) -> Column:
     """An ISO-8601 instant as a UTC literal, so that a filter on it reaches the scan."""
     parsed = datetime.fromisoformat(instant.replace("Z", "+00:00"))
@@ -99,12 +103,12 @@ def utc_literal(instant: str) -> Column:
 def utc_instant(text: Column) -> Column:
     """An ISO-8601 text column as a UTC TIMESTAMP_NTZ; NULL where it does not parse."""
     micros = F.unix_micros(F.try_to_timestamp(text))
-    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", micros, epoch())
 
 
 def epoch_seconds(instant: Column) -> Column:
     """Seconds since the epoch of a UTC TIMESTAMP_NTZ."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), instant) / F.lit(1e6)
+    return F.timestamp_diff("MICROSECOND", epoch(), instant) / F.lit(1e6)
 
 
 def share(part: Column, whole: Column) -> Column:

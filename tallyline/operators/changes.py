@@ -7,12 +7,15 @@ once. Files are filtered before any text is read.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from ..functions.java_source import entities
+from ..functions import java_source
 from ..schemas import FLAG, TEXT, struct
 
 # The methods that are never credited, by signature.
@@ -34,6 +37,10 @@ SCANNED = struct(error=TEXT, entities=ArrayType(ENTITY))
 FIELDS = tuple(ENTITY.names)
 PAIR = ["repo_id", "sha1", "filename"]
 
+# The helper travels with the task, so executors need not have this package installed.
+for module in (java_source, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(module)
+
 
 def pair_file_revisions(files: DataFrame, revisions: DataFrame) -> DataFrame:
     """Each changed file with its text before and after; a missing text is empty.
@@ -46,8 +53,8 @@ def pair_file_revisions(files: DataFrame, revisions: DataFrame) -> DataFrame:
         "repo_id", F.col("sha1").alias("parent"), "filename", F.col("text").alias("old_text")
     )
     return (
-        files.select(*PAIR, "parent")
-        .distinct()
+        files.groupBy(*PAIR)
+        .agg(F.min("parent").alias("parent"))
         .join(new, PAIR, "left")
         .join(old, ["repo_id", "parent", "filename"], "left")
         .select(
@@ -58,12 +65,11 @@ def pair_file_revisions(files: DataFrame, revisions: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(SCANNED)
-def scan_source(texts: pd.Series) -> pd.DataFrame:
+def _scan(texts: pd.Series) -> pd.DataFrame:
     errors, found = [], []
     for text in texts:
         try:
-            found.append(entities(text))
+            found.append(java_source.entities(text))
             errors.append(None)
         except Exception as problem:  # one unreadable file must not stop the others
             found.append([])
@@ -71,6 +77,10 @@ def scan_source(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"error": errors, "entities": found})
 
 
+# Marked so that the optimizer does not run it again for a filter on its result.
+scan_source = F.pandas_udf(_scan, SCANNED).asNondeterministic()
+
+
 def _with_constructors(entity: Column) -> Column:
     """The entity, and for a nested class without constructor the two it implies."""
     name = F.concat(
@@ -138,11 +148,10 @@ def without_boilerplate(found: DataFrame) -> DataFrame:
 
 def quarantine(pairs: DataFrame) -> DataFrame:
     """Files whose old or new text cannot be read, with the reason; the rest goes on."""
-    problems = pairs.select(
-        *PAIR,
-        scan_source(F.col("old_text"))["error"].alias("old_error"),
-        scan_source(F.col("new_text"))["error"].alias("new_error"),
+    scanned = pairs.select(
+        *PAIR, scan_source(F.col("old_text")).alias("old"), scan_source(F.col("new_text")).alias("new")
     )
+    problems = scanned.select(*PAIR, F.col("old.error").alias("old_error"), F.col("new.error").alias("new_error"))
     return problems.where(F.col("old_error").isNotNull() | F.col("new_error").isNotNull())
 
 

@@ -59,7 +59,8 @@ def _per_commit(changes: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _owners(commits: DataFrame, group: Sequence[str]) -> DataFrame:
+def owners(commits: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Which summary and user a commit belongs to, and whether GUI files count there."""
     flag = F.col("exclude_gui") if "exclude_gui" in commits.columns else F.lit(False)
     return commits.select("commit_id", *group, F.col("author_id").alias("user_id"), flag.alias("exclude_gui"))
 
@@ -81,7 +82,7 @@ def nonzero_files(file_scores: DataFrame) -> DataFrame:
 def commit_scores(commits: DataFrame, changes: DataFrame, group: Sequence[str] = REPOSITORY) -> DataFrame:
     """Score of every commit, 0 for one without changes."""
     return (
-        _owners(commits, group)
+        owners(commits, group)
         .join(_per_commit(changes), "commit_id", "left")
         .select(
             "commit_id",
@@ -98,16 +99,15 @@ def user_scores(commits: DataFrame, changes: DataFrame, group: Sequence[str] = R
     return (
         commit_scores(commits, changes, group)
         .groupBy(*group, "user_id")
-        .agg(
-            F.sum("score").alias("score"),
-            F.sum("n_changes").alias("n_changes"),
-            F.count(F.lit(1)).alias("n_commits"),
-        )
+        .agg(F.sum("score").alias("score"))
     )
 
 
 def score_percent(scores: DataFrame, users: DataFrame, group: Sequence[str] = REPOSITORY) -> DataFrame:
-    """Adds each user's percentage of the summary, over users that are not excluded."""
+    """Adds each user's percentage of the summary, over users that are not excluded.
+
+    Scores and totals read the same columns, so Spark computes the scores once.
+    """
     included = users.where(~F.col("excluded")).select("user_id")
     kept = scores.join(included, "user_id", "left_semi")
     totals = kept.groupBy(*group).agg(F.sum("score").alias("total"))
@@ -124,7 +124,7 @@ def _authored(
     """Totals per summary, author and keys."""
     return (
         _per_commit(changes, *keys)
-        .join(_owners(commits, group), "commit_id")
+        .join(owners(commits, group), "commit_id")
         .where(_left("n_rows", "gui_rows") > 0)
         .groupBy(*group, "user_id", *keys)
         .agg(
@@ -178,8 +178,11 @@ def file_scores(commits: DataFrame, changes: DataFrame, group: Sequence[str] = R
 def file_user_shares(
     commits: DataFrame, changes: DataFrame, group: Sequence[str] = REPOSITORY
 ) -> DataFrame:
+    return file_shares(file_scores(commits, changes, group).drop("n_changes"), group)
+
+
+def file_shares(scores: DataFrame, group: Sequence[str] = REPOSITORY) -> DataFrame:
     """Each author's fraction of a file's score; NULL where the file scores 0."""
-    scores = file_scores(commits, changes, group).drop("n_changes")
     totals = scores.groupBy(*group, "file").agg(F.sum("score").alias("total"))
     return (
         scores.join(totals, [*group, "file"])

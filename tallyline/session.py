@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Joins on a repository, an author or a commit may meet a key that holds much of
 # the data. Adaptive execution splits such a partition over several tasks and
@@ -37,3 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="tallyline-")
     jvm = spark.sparkContext._jvm
     return f"{base.rstrip('/')}/tallyline-{jvm.java.util.UUID.randomUUID()}"
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """Writes rows that several results read to the shared folder, and reads them from there.
+
+    The plan is cut and the rows survive the loss of executors.
+    """
+    path = shared_dir(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -8,6 +8,7 @@ order, the lines of one repository are its document.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import scoring
 from ..operators.commits import DISPLAY
+from ..session import stored
 
 SORT = ("section", "a", "part", "b", "item", "c")
 LATEST = 10**17  # microseconds, after every date a timestamp can hold in practice
@@ -62,27 +64,43 @@ def _separated(lines: DataFrame, within: Sequence[str]) -> DataFrame:
 
 
 def _binned(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts per category and kind of change as one JSON object per key; zero counts are left out."""
+    """Score, and counts per category and kind of change as one JSON object; zero counts are left out."""
     bins = []
     for category in sorted({*C.CATEGORIES.values(), C.OTHER_CATEGORY}):
         for op, word in (("INSERT", "additions"), ("UPDATE", "updates")):
             here = (F.col("category") == category) & (F.col("change_op") == op)
             bins.append(F.sum(F.when(here, F.col("n_changes"))).alias(f"{category} {word}"))
-    totals = rows.groupBy(*keys).agg(F.sum("score").alias("file_score"), *bins)
+    totals = rows.groupBy(*keys).agg(F.sum("score").alias("sum_score"), *bins)
     names = totals.columns[len(keys) + 1 :]
-    return totals.select(*keys, "file_score", F.to_json(F.struct(*names)).alias("binned"))
+    return totals.select(*keys, "sum_score", F.to_json(F.struct(*names)).alias("binned"))
 
 
 def unique_labels(people: DataFrame, users: DataFrame, group: Sequence[str]) -> DataFrame:
     """The label of every user of a document, with the id added where two users share it."""
-    named = people.select(*group, "user_id").distinct().join(
-        users.select("user_id", C.user_label(F.col("name"), F.col("email")).alias("label")), "user_id"
-    )
+    label = C.user_label(F.col("name"), F.col("email")).alias("label")
+    named = people.select(*group, "user_id").join(users.select("user_id", label, "excluded"), "user_id")
     shared = named.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("n"))
-    label = F.when(F.col("n") > 1, F.concat("label", F.lit(" #"), F.col("user_id").cast("string")))
+    with_id = F.concat("label", F.lit(" #"), F.col("user_id").cast("string"))
     return named.join(shared, [*group, "label"]).select(
-        *group, "user_id", F.coalesce(label, F.col("label")).alias("label")
+        *group, "user_id", "excluded", F.when(F.col("n") > 1, with_id).otherwise(F.col("label")).alias("label")
+    )
+
+
+def _detail(commits: DataFrame, changes: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Equal changes of one commit and file as one row, with the summaries they belong to."""
+    what = F.concat_ws(" ", "change_op", "entity_type", "unique_name")
+    typed = scoring.categorise_changes(scoring.score_changes(changes)).withColumn("what", what)
+    reduced = typed.groupBy("commit_id", "filename", "category", "change_op", "what").agg(
+        F.sum("score").alias("score"), F.count(F.lit(1)).alias("n_changes")
     )
+    hidden = F.col("exclude_gui") & C.is_gui_file(F.col("filename"))
+    return reduced.join(scoring.owners(commits, group), "commit_id").where(~hidden).drop("exclude_gui")
+
+
+def _seconds(name: str) -> Column:
+    """The end of a window; NULL unless both ends are given."""
+    both = F.col("start_date").isNotNull() & F.col("end_date").isNotNull()
+    return _number(F.when(both, C.epoch_seconds(C.utc_instant(F.col(name)))))
 
 
 def summary_lines(
@@ -96,99 +114,94 @@ def summary_lines(
 
     ``summaries`` has the group columns, repository_name, start_date and
     end_date; ``commits`` are those the summary covers and may carry
-    ``exclude_gui``; ``changes`` are those in source files.
+    ``exclude_gui``; ``changes`` are those in source files. What all parts of the
+    documents share is written to the shared folder once.
     """
     group = list(group)
-    percents = scoring.score_percent(scoring.user_scores(commits, changes, group), users, group)
-    shares = scoring.file_user_shares(commits, changes, group)
-    labels = unique_labels(percents.select(*group, "user_id").unionByName(shares.select(*group, "user_id")), users, group)
-    labelled = percents.join(labels, [*group, "user_id"])
-    label = F.col("label")
-
-    seconds = [
-        F.when(
-            F.col("start_date").isNotNull() & F.col("end_date").isNotNull(),
-            C.epoch_seconds(C.utc_instant(F.col(name))),
-        )
-        for name in ("start_date", "end_date")
-    ]
+    user, in_list = [*group, "user_id"], [*group, "section", "a", "part"]
+    label, file = F.col("label"), F.col("file")
+    detail = stored(_detail(commits, changes, group))
+    everyone = commits.select(*group, F.col("author_id").alias("user_id")).distinct()
+    labels = stored(unique_labels(everyone, users, group))
+
+    kinds = _binned(detail, user)
+    scores = labels.join(kinds, user, "left").withColumn("score", F.coalesce("sum_score", F.lit(0)))
+    shown = stored(scoring.score_percent(scores.select(*user, "label", "score", "binned"), users, group))
+
     head = F.concat(
-        F.lit('{"repo":'), _quoted(F.col("repository_name")),
-        F.lit(',"startDate":'), _number(seconds[0]),
-        F.lit(',"endDate":'), _number(seconds[1]),
+        F.lit('{"repo":'),
+        _quoted(F.col("repository_name")),
+        F.lit(',"startDate":'),
+        _seconds("start_date"),
+        F.lit(',"endDate":'),
+        _seconds("end_date"),
         F.lit(',"changesPerUser":{'),
     )
-    out = [
-        _lines(summaries, group, head, 0),
-        _lines(summaries, group, F.lit('},"changesPerFile":{'), 2),
-        _lines(summaries, group, F.lit("}}"), 4),
-    ]
-
-    # Users: score, counts per category, commits, changes per file.
-    kinds = scoring.user_category_counts(commits, changes, group)
-    opened = labelled.join(_binned(kinds, [*group, "user_id"]), [*group, "user_id"], "left")
     user_head = F.concat(
         _quoted(label),
-        F.lit(':{"contributionsScore":'), _number(F.col("score")),
-        F.lit(',"contributionsScorePercent":'), _number(F.col("percent")),
-        F.lit(',"binnedChangesCounts":'), F.coalesce("binned", F.lit("{}")),
+        F.lit(':{"contributionsScore":'),
+        _number(F.col("score")),
+        F.lit(',"contributionsScorePercent":'),
+        _number(F.col("percent")),
+        F.lit(',"binnedChangesCounts":'),
+        F.coalesce("binned", F.lit("{}")),
         F.lit(',"commits":['),
     )
-    out.append(_separated(_lines(opened, group, user_head, 1, a=label), [*group, "section"]))
-    out.append(_lines(labelled, group, F.lit('],"changes":['), 1, a=label, part=2))
-    out.append(_lines(labelled, group, F.lit("]}"), 1, a=label, part=4))
+    lines = [
+        _lines(summaries, group, head, 0),
+        _separated(_lines(shown, group, user_head, 1, a=label), [*group, "section"]),
+        _lines(shown, group, F.lit('],"changes":['), 1, a=label, part=2),
+        _lines(shown, group, F.lit("]}"), 1, a=label, part=4),
+        _lines(summaries, group, F.lit('},"changesPerFile":{'), 2),
+        _lines(summaries, group, F.lit("}}"), 4),
+    ]
 
-    shown = labelled.select(*group, F.col("user_id").alias("author_id"), "label")
-    own = commits.join(shown, [*group, "author_id"])
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("commit_date"))
+    # Commits of a user, newest first.
+    named = shown.select(*user, "label")
+    own = commits.withColumnRenamed("author_id", "user_id").join(named, user)
+    micros = F.timestamp_diff("MICROSECOND", C.epoch(), F.col("commit_date"))
     newest = F.concat(F.lpad((F.lit(LATEST) - micros).cast("string"), 18, "0"), F.col("sha1"))
-    shown_commit = F.to_json(
-        F.struct(C.epoch_seconds(F.col("commit_date")).alias("date"), *DISPLAY[1:]), {"ignoreNullFields": "false"}
-    )
-    in_user = [*group, "section", "a", "part"]
-    out.append(_separated(_lines(own, group, shown_commit, 1, a=label, part=1, b=newest), in_user))
-
-    typed = own.select("commit_id", *group, "label", *([c for c in ("exclude_gui",) if c in own.columns])).join(
-        scoring.categorise_changes(scoring.score_changes(changes)), "commit_id"
-    )
-    if "exclude_gui" in typed.columns:
-        typed = typed.where(~(F.col("exclude_gui") & C.is_gui_file(F.col("filename"))))
-    file_key = [*group, "label", "commit_id", "filename"]
-    spread = F.concat_ws("/", F.lpad(F.col("commit_id").cast("string"), 20, "0"), "filename")
-    per_kind = typed.groupBy(*file_key, "category", "change_op").agg(
-        F.sum("score").alias("score"), F.count(F.lit(1)).alias("n_changes")
-    )
-    files = _binned(per_kind, file_key)
+    date = C.epoch_seconds(F.col("commit_date")).alias("date")
+    commit = F.to_json(F.struct(date, *DISPLAY[1:]), {"ignoreNullFields": "false"})
+    lines.append(_separated(_lines(own, group, commit, 1, a=label, part=1, b=newest), in_list))
+
+    # Changed files of a user, each with its changes.
+    mine = detail.join(named, user)
+    per_file = [*user, "label", "commit_id", "filename"]
+    place = F.concat_ws("/", F.lpad(F.col("commit_id").cast("string"), 20, "0"), "filename")
+    files = _binned(mine, per_file)
     file_head = F.concat(
-        F.lit('{"fileName":'), _quoted(F.col("filename")),
-        F.lit(',"score":'), _number(F.col("file_score")),
-        F.lit(',"binnedChangesCounts":'), F.col("binned"),
+        F.lit('{"fileName":'),
+        _quoted(F.col("filename")),
+        F.lit(',"score":'),
+        _number(F.col("sum_score")),
+        F.lit(',"binnedChangesCounts":'),
+        F.col("binned"),
         F.lit(',"allChanges":['),
     )
-    in_file = [*group, "section", "a", "part", "b", "item"]
-    out.append(_separated(_lines(files, group, file_head, 1, a=label, part=3, b=spread), in_user))
-    out.append(_lines(files, group, F.lit("]}"), 1, a=label, part=3, b=spread, item=2))
-    what = F.concat_ws(" ", "change_op", "entity_type", "unique_name")
-    single = scoring.credited(typed).groupBy(*file_key, what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
-    change = F.concat(F.lit('{"change":'), _quoted(F.col("what")), F.lit(',"count":'), _number(F.col("n")), F.lit("}"))
-    lines = _lines(single, group, change, 1, a=label, part=3, b=spread, item=1, c=F.col("what"))
-    out.append(_separated(lines, in_file))
-
-    # Files: the share of every user.
-    per_file = shares.join(labels, [*group, "user_id"])
-    names = shares.select(*group, "file").distinct()
-    file = F.col("file")
-    out.append(
-        _separated(_lines(names, group, F.concat(_quoted(file), F.lit(":{")), 3, a=file), [*group, "section"])
+    change = F.concat(
+        F.lit('{"change":'), _quoted(F.col("what")), F.lit(',"count":'), _number(F.col("n_changes")), F.lit("}")
     )
-    share = F.concat(_quoted(label), F.lit(":"), _number(F.col("share")))
-    out.append(_separated(_lines(per_file, group, share, 3, a=file, part=1, b=label), in_user))
-    out.append(_lines(names, group, F.lit("}"), 3, a=file, part=2))
+    changed = _lines(scoring.credited(mine), group, change, 1, a=label, part=3, b=place, item=1, c=F.col("what"))
+    lines += [
+        _separated(_lines(files, group, file_head, 1, a=label, part=3, b=place), in_list),
+        _separated(changed, [*in_list, "b", "item"]),
+        _lines(files, group, F.lit("]}"), 1, a=label, part=3, b=place, item=2),
+    ]
 
-    lines = out[0]
-    for more in out[1:]:
-        lines = lines.unionByName(more)
-    return lines
+    # Files by name, each with the share of every user.
+    per_user = detail.groupBy(*group, C.base_name(F.col("filename")).alias("file"), "user_id").agg(
+        F.sum("score").alias("score")
+    )
+    shares = scoring.file_shares(per_user, group).join(labels, user)
+    names = detail.select(*group, C.base_name(F.col("filename")).alias("file")).distinct()
+    share = F.concat(_quoted(label), F.lit(":"), _number(F.col("share")))
+    lines += [
+        _separated(_lines(names, group, F.concat(_quoted(file), F.lit(":{")), 3, a=file), [*group, "section"]),
+        _separated(_lines(shares, group, share, 3, a=file, part=1, b=label), in_list),
+        _lines(names, group, F.lit("}"), 3, a=file, part=2),
+    ]
+    return reduce(DataFrame.unionByName, lines)
 
 
 def page_lines(documents: DataFrame, template: str, placeholder: str, group: Sequence[str]) -> DataFrame:
@@ -197,13 +210,11 @@ def page_lines(documents: DataFrame, template: str, placeholder: str, group: Seq
     owners = documents.where("section = 0").select(*group)
     places = F.array(*(F.lit(2 * n + 1) for n in range(len(pieces) - 1)))
     inside = documents.select(F.explode(places).alias("place"), "*")
-    fixed = F.explode(
-        F.array(*(F.struct(F.lit(2 * n).alias("place"), F.lit(piece).alias("text")) for n, piece in enumerate(pieces)))
-    )
-    empty = {name: F.lit(0) if name in ("section", "part", "item") else F.lit("") for name in SORT}
-    around = owners.select(*group, fixed.alias("f")).select(
-        F.col("f.place").alias("place"), *group, *(empty[name].alias(name) for name in SORT), F.col("f.text").alias("text")
+    fixed = F.array(
+        *(F.struct(F.lit(2 * n).alias("place"), F.lit(piece).alias("text")) for n, piece in enumerate(pieces))
     )
+    keys = [(F.lit(0) if name in ("section", "part", "item") else F.lit("")).alias(name) for name in SORT]
+    around = owners.select(*group, F.explode(fixed).alias("f")).select("f.place", *group, *keys, "f.text")
     return inside.unionByName(around)
 
 

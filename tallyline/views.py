@@ -280,13 +280,17 @@ class Tables:
             F.lit("}\n"),
         )
         return self._orders.where(key % 10 != 9).select(
-            "repo_id", "sha1", F.lit("src/Store.java").alias("filename"), text.alias("text")
+            "repo_id", "sha1", self._store_path().alias("filename"), text.alias("text")
         )
 
     @cached_property
     def store_files(self) -> DataFrame:
         """The file every analysed commit touches in ``file_revisions``."""
-        return self.commits.select("commit_id", F.lit("src/Store.java").alias("filename"))
+        return self.commits.select("commit_id", self._store_path().alias("filename"))
+
+    @staticmethod
+    def _store_path() -> Column:
+        return F.concat(F.lit("src/m"), (F.col("repo_id") % 4).cast("string"), F.lit("/Store.java"))
 
     @cached_property
     def document_pairs(self) -> DataFrame:
