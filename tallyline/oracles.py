@@ -121,7 +121,7 @@ VIEWS = {
         AND NOT EXISTS (SELECT 1 FROM teams t WHERE t.repo_id = a.repo_id AND t.user_id = a.user_id)""",
     "mapping": """SELECT c_custkey AS old_user_id, c_custkey - c_custkey % 3 AS new_user_id FROM customer
         WHERE c_custkey % 3 <> 0""",
-    "raw": f"""SELECT o_orderkey % 25 AS repo_id, o_orderkey * 2 + b.at AS seq, 'c' || o_orderkey AS sha1, b.branch,
+    "raw": f"""SELECT o_orderkey % 25 AS repo_id, o_orderkey * 2 + b.pos AS seq, 'c' || o_orderkey AS sha1, b.branch,
         {NAME.format(k='who')} AS author_name,
         CASE WHEN o_custkey % 6 <> 0 THEN {EMAIL.format(k='who')} END AS author_email,
         CASE WHEN o_orderkey % 13 <> 0 THEN {NAME.format(k='o_custkey')} END AS committer_name,
@@ -129,7 +129,7 @@ VIEWS = {
         o_orderpriority || ' on ' || b.branch AS commit_message, o_orderdate AS commit_date,
         o_orderkey, o_custkey
         FROM (SELECT *, CASE WHEN o_orderkey % 20 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS who FROM orders) o
-        JOIN (VALUES (0, 'main'), (1, 'dev')) AS b(at, branch) ON b.at = 0 OR o_orderkey % 3 = 0""",
+        JOIN (VALUES (0, 'main'), (1, 'dev')) AS b(pos, branch) ON b.pos = 0 OR o_orderkey % 3 = 0""",
     "first_raw": "SELECT * FROM raw WHERE seq % 2 = 0",
     "raw_files": """SELECT repo_id, sha1, o_orderkey,
         'src/m' || ((o_orderkey + n) % 11) || '/File' || n || '.java' AS filename,
