@@ -10,13 +10,18 @@ import re
 from collections.abc import Iterator
 
 TOKEN = re.compile(
-    r"""(?P<javadoc>/\*\*(?!/).*?\*/) | (?P<block>/\*.*?\*/) | (?P<line>//[^\n]*)
+    r"""(?P<word>[\w$]+(?:\.\d+\w*)?) | (?P<sign>[{}();,.])
+      | (?P<javadoc>/\*\*(?!/).*?\*/) | (?P<block>/\*.*?\*/) | (?P<line>//[^\n]*)
       | (?P<open>/\*|\"{3}(?!.*?\"{3}))
       | (?P<text>\"{3}.*?\"{3}|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')
-      | (?P<word>[\w$]+(?:\.\d+\w*)?)
-      | (?P<sign>\+\+|--|->|::|&&|\|\||[-+*/%&|^!=<>]=|\.\.\.|[^\s\w])""",
+      | (?P<operator>\+\+|--|->|::|&&|\|\||[-+*/%&|^!=<>]=|[^\s\w])""",
     re.X | re.S,
 )
+TIGHT = re.compile(r" ?(\.|::) ?| (?=[,;)\]\[(])|(?<=[(\[@!]) ")
+TIGHT_TYPE = re.compile(r" ?([<>,?]) ?")
+KEYWORD_CALL = re.compile(r"\b(return|throw)\(")
+NAME = re.compile(r"[A-Za-z_$]")
+CALL_PART = re.compile(r"[\w$.]")
 COMMENT_TYPES = {"javadoc": "JAVADOC", "block": "BLOCK_COMMENT", "line": "LINE_COMMENT"}
 TYPE_WORDS = {"class", "interface", "enum", "record"}
 ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^="}
@@ -39,6 +44,7 @@ LEAD_TYPES = {
     "assert": "ASSERT_STATEMENT",
 }
 PAIRS = {"(": ")", "{": "}", "[": "]"}
+CLOSERS = frozenset(PAIRS.values())
 
 
 class SourceError(ValueError):
@@ -54,14 +60,11 @@ def tokenise(text: str) -> list[tuple[str, str]]:
 
 def render(words: list[str]) -> str:
     """Tokens with canonical spacing, so that layout never shows up as a change."""
-    text = " ".join(words)
-    text = re.sub(r" ?(\.\.\.|\.|::) ?", r"\1", text)
-    text = re.sub(r" (?=[,;)\]\[(])|(?<=[(\[@!]) ", "", text)
-    return re.sub(r"\b(if|for|while|switch|catch|return|throw)\(", r"\1 (", text)
+    return KEYWORD_CALL.sub(r"\1 (", TIGHT.sub(r"\1", " ".join(words)))
 
 
 def render_type(words: list[str]) -> str:
-    return re.sub(r" ?([<>,?]) ?", r"\1", render(words))
+    return TIGHT_TYPE.sub(r"\1", render(words))
 
 
 def top_level(words: list[str]) -> list[int]:
@@ -70,7 +73,7 @@ def top_level(words: list[str]) -> list[int]:
     for at, word in enumerate(words):
         if word in PAIRS:
             depth += 1
-        elif word in PAIRS.values():
+        elif word in CLOSERS:
             depth -= 1
         elif depth == 0:
             out.append(at)
@@ -107,21 +110,19 @@ class Reader:
     def until(self, *stops: str) -> list[str]:
         """Words up to a stop sign outside brackets; the stop itself is not read."""
         words, closing = [], []
-        while True:
-            if self.at >= len(self.tokens):
-                raise SourceError("text ends inside a declaration or statement")
-            kind, word = self.tokens[self.at]
-            if not closing and kind == "sign" and word in stops:
+        for at in range(self.at, len(self.tokens)):
+            kind, word = self.tokens[at]
+            if not closing and word in stops:
+                self.at = at
                 return words
-            self.at += 1
             if kind in COMMENT_TYPES:
                 continue
             words.append(word)
-            if kind == "sign" and word in PAIRS:
+            if word in PAIRS:
                 closing.append(PAIRS[word])
-            elif kind == "sign" and word in PAIRS.values():
-                if not closing or closing.pop() != word:
-                    raise SourceError("brackets do not match")
+            elif word in CLOSERS and (not closing or closing.pop() != word):
+                raise SourceError("brackets do not match")
+        raise SourceError("text ends inside a declaration or statement")
 
     def group(self) -> list[str]:
         """A bracketed group including its brackets."""
@@ -190,7 +191,7 @@ class Reader:
         shown = None
         for part in split_commas(words):
             left = part[: part.index("=")] if "=" in part else part
-            names = [at for at, word in enumerate(left) if re.match(r"[A-Za-z_$]", word)]
+            names = [at for at, word in enumerate(left) if NAME.match(word)]
             if shown is None:
                 modifiers = {"public", "private", "protected", "static", "final", "transient", "volatile"}
                 shown = render_type([word for word in left[: names[-1]] if word not in modifiers])
@@ -300,9 +301,9 @@ class Reader:
         outside = top_level(words)
         assign = next((at for at in outside if words[at] in ASSIGN), None)
         left = words[:assign] if assign is not None else words
-        names = [at for at in top_level(left) if re.match(r"[A-Za-z_$]", left[at])]
+        names = [at for at in top_level(left) if NAME.match(left[at])]
         declares = any(
-            second == first + 1 or left[second - 1] in ("]", ">", "...") for first, second in zip(names, names[1:])
+            second == first + 1 or left[second - 1] in ("]", ">") for first, second in zip(names, names[1:])
         )
         if words[0] in LEAD_TYPES:
             yield LEAD_TYPES[words[0]], shown, owner
@@ -313,7 +314,7 @@ class Reader:
         elif declares:
             value = words[assign + 1 :] if assign is not None else []
             if value and value[-1] == ")" and value[0] not in ("new", "(") and len(top_level(value)) > 0:
-                if all(re.match(r"[\w$.]", value[at]) for at in top_level(value)):
+                if all(CALL_PART.match(value[at]) for at in top_level(value)):
                     yield "METHOD_INVOCATION", render(value) + ";", owner
             yield "VARIABLE_DECLARATION_STATEMENT", shown, owner
         elif assign is not None:

@@ -46,7 +46,8 @@ def pair_file_revisions(files: DataFrame, revisions: DataFrame) -> DataFrame:
     """Each changed file with its text before and after; a missing text is empty.
 
     ``files`` has repo_id, sha1, parent and filename. Both texts are looked up
-    under the new name, so a renamed file has no old text.
+    under the new name, so a renamed file has no old text. Texts are too bulky to
+    broadcast, and the merge join leaves them spread for the step that reads them.
     """
     new = revisions.select(*PAIR, F.col("text").alias("new_text"))
     old = revisions.select(
@@ -55,8 +56,8 @@ def pair_file_revisions(files: DataFrame, revisions: DataFrame) -> DataFrame:
     return (
         files.groupBy(*PAIR)
         .agg(F.min("parent").alias("parent"))
-        .join(new, PAIR, "left")
-        .join(old, ["repo_id", "parent", "filename"], "left")
+        .join(new.hint("merge"), PAIR, "left")
+        .join(old.hint("merge"), ["repo_id", "parent", "filename"], "left")
         .select(
             *PAIR,
             F.coalesce("old_text", F.lit("")).alias("old_text"),

@@ -72,8 +72,13 @@ def of_repositories(repositories: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def with_files(commits: DataFrame, files: DataFrame) -> DataFrame:
-    """Every commit with each of its files; a commit without files keeps one row."""
-    return commits.join(files, "commit_id", "left")
+    """Every commit with each of its files; a commit without files keeps one row.
+
+    An outer join could not split the partition of a commit with very many
+    files; an inner join can, and the commits without files are added to it.
+    """
+    bare = commits.join(files.select("commit_id").distinct(), "commit_id", "left_anti")
+    return commits.join(files, "commit_id").unionByName(bare, allowMissingColumns=True)
 
 
 def with_parent(commits: DataFrame) -> DataFrame:

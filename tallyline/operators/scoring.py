@@ -109,7 +109,7 @@ def score_percent(scores: DataFrame, users: DataFrame, group: Sequence[str] = RE
     Scores and totals read the same columns, so Spark computes the scores once.
     """
     included = users.where(~F.col("excluded")).select("user_id")
-    kept = scores.join(included, "user_id", "left_semi")
+    kept = scores.join(included, "user_id")
     totals = kept.groupBy(*group).agg(F.sum("score").alias("total"))
     return (
         kept.join(totals, list(group))
@@ -198,21 +198,25 @@ def file_user_matrix(shares: DataFrame, scores: DataFrame) -> DataFrame:
     A shown user without any cell and a file without a shown user still appear
     once, with the other coordinate NULL, so both axes are complete.
     """
-    shown = scores.select("repo_id", "user_id")
-    cells = (
-        shares.where("score != 0")
-        .join(shown, ["repo_id", "user_id"], "left_semi")
-        .select("repo_id", "file", "user_id", "share")
-    )
-    bare_users = shown.join(cells, ["repo_id", "user_id"], "left_anti").select(
-        "repo_id", F.lit(None).cast("string").alias("file"), "user_id", F.lit(0.0).alias("share")
+    shown = scores.select("repo_id", "user_id", F.lit(True).alias("shown"))
+    marked = shares.join(shown, ["repo_id", "user_id"], "left").select(
+        "repo_id",
+        "file",
+        "user_id",
+        "share",
+        (F.coalesce("shown", F.lit(False)) & (F.col("score") != 0)).alias("is_cell"),
     )
+    cells = marked.where("is_cell").select("repo_id", "file", "user_id", "share")
     bare_files = (
-        shares.select("repo_id", "file")
-        .distinct()
-        .join(cells, ["repo_id", "file"], "left_anti")
+        marked.groupBy("repo_id", "file")
+        .agg(F.bool_or("is_cell").alias("any_cell"))
+        .where(~F.col("any_cell"))
         .select("repo_id", "file", F.lit(None).cast("bigint").alias("user_id"), F.lit(0.0).alias("share"))
     )
+    with_cells = cells.select("repo_id", "user_id").distinct()
+    bare_users = shown.join(with_cells, ["repo_id", "user_id"], "left_anti").select(
+        "repo_id", F.lit(None).cast("string").alias("file"), "user_id", F.lit(0.0).alias("share")
+    )
     return cells.unionByName(bare_users).unionByName(bare_files)
 
 
@@ -226,11 +230,15 @@ def pivot_users(matrix: DataFrame, user_ids: list[int]) -> DataFrame:
 
 
 def users_with_commits(percents: DataFrame, commits: DataFrame) -> DataFrame:
-    """Every shown user with each of their commits, newest first; the scores repeat."""
+    """Every shown user with each of their commits, newest first; the scores repeat.
+
+    ``commits`` are those the scores come from, so every user has at least one
+    and an inner join, whose busy keys can be split, loses nobody.
+    """
     names = ("sha1", "commit_date", "commit_message", "url")
     own = commits.select("repo_id", F.col("author_id").alias("user_id"), *names)
     return (
-        own.join(percents.select("repo_id", "user_id", "score", "percent"), ["repo_id", "user_id"], "right")
+        own.join(percents.select("repo_id", "user_id", "score", "percent"), ["repo_id", "user_id"])
         .select("repo_id", "user_id", "score", "percent", *names)
         .orderBy("repo_id", "user_id", F.desc("commit_date"), "sha1")
     )

@@ -23,7 +23,7 @@ def since_high_water_mark(feed: DataFrame, stored: DataFrame, all_history: bool
     """
     if all_history:
         return feed
-    marks = commit_ops.latest(stored).select("repo_id", F.col("commit_date").alias("_mark"))
+    marks = stored.groupBy("repo_id").agg(F.max("commit_date").alias("_mark"))
     return (
         feed.join(marks, "repo_id", "left")
         .where(F.col("_mark").isNull() | (F.col("commit_date") >= F.col("_mark")))
