@@ -49,4 +49,6 @@ def stream_ingest_commits(feed: DataFrame, store: str, checkpoint: str) -> Strea
 
 def drop_repeats(feed: DataFrame, delay: str) -> DataFrame:
     """For a source that repeats only within ``delay``: bounded state in place of the stored table."""
-    return feed.withWatermark("commit_date", delay).dropDuplicatesWithinWatermark(["repo_id", "sha1"])
+    timed = feed.withColumn("_event_time", F.col("commit_date").cast("timestamp"))
+    fresh = timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(["repo_id", "sha1"])
+    return fresh.drop("_event_time")
