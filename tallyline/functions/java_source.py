@@ -1,4 +1,4 @@
-"""Lexical reading of one Java source text: a small helper used inside a pandas UDF.
+"""Lexical reading of one Java source text: a small helper used inside tasks.
 
 It lists the declarations and statements of a text. Everything that compares,
 filters, weighs or counts them is a Spark job (``operators/changes.py``).
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 TOKEN = re.compile(
     r"""(?P<word>[\w$]+(?:\.\d+\w*)?) | (?P<sign>[{}();,.])
@@ -327,24 +328,25 @@ class Reader:
             yield "METHOD_INVOCATION", shown, owner
 
 
-def entities(text: str) -> list[dict]:
+class Entity(NamedTuple):
+    """A declaration or statement, and what its method looks like as a whole."""
+
+    ordinal: int
+    entity_type: str
+    unique_name: str
+    owner: str
+    method: str | None
+    method_statements: int | None
+    method_first: str | None
+    lacks_constructor: bool
+
+
+def entities(text: str) -> list[Entity]:
     """The declarations and statements of one text, inner ones first."""
     rows = []
     for at, (kind, unique_name, owner, *extras) in enumerate(Reader(text).members("", "")):
         more = extras[0] if extras else {}
-        rows.append(
-            {
-                "ordinal": at,
-                "entity_type": kind,
-                "unique_name": unique_name,
-                "owner": owner,
-                "method": more.get("method"),
-                "method_statements": more.get("statements"),
-                "method_first": more.get("first"),
-                "lacks_constructor": kind == "CLASS"
-                and bool(more.get("nested"))
-                and more.get("kind") == "class"
-                and not more.get("constructor"),
-            }
-        )
+        lacks = kind == "CLASS" and more["nested"] and more["kind"] == "class" and not more["constructor"]
+        method = more.get("method"), more.get("statements"), more.get("first")
+        rows.append(Entity(at, kind, unique_name, owner, *method, lacks))
     return rows

@@ -1,6 +1,6 @@
 """Typed changes from file revisions.
 
-Texts travel on one row with their file; a pandas UDF lists the declarations
+Texts travel on one row with their file; an Arrow step lists the declarations
 and statements of a text, and the comparison runs in Spark over all files at
 once. Files are filtered before any text is read.
 """
@@ -8,12 +8,15 @@ once. Files are filtered before any text is read.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructType
 
 from ..functions import java_source
 from ..schemas import FLAG, TEXT, struct
@@ -33,9 +36,10 @@ ENTITY = struct(
     method_first=TEXT,
     lacks_constructor=FLAG,
 )
-SCANNED = struct(error=TEXT, entities=ArrayType(ENTITY))
 FIELDS = tuple(ENTITY.names)
 PAIR = ["repo_id", "sha1", "filename"]
+SLICE = 256  # texts whose entities are held at once
+KEPT = 256  # texts whose entities are remembered: copies, and the two sides of one revision
 
 # The helper travels with the task, so executors need not have this package installed.
 for module in (java_source, sys.modules[__name__]):
@@ -66,20 +70,45 @@ def pair_file_revisions(files: DataFrame, revisions: DataFrame) -> DataFrame:
     )
 
 
-def _scan(texts: pd.Series) -> pd.DataFrame:
-    errors, found = [], []
-    for text in texts:
-        try:
-            found.append(java_source.entities(text))
-            errors.append(None)
-        except Exception as problem:  # one unreadable file must not stop the others
-            found.append([])
-            errors.append(str(problem) or type(problem).__name__)
-    return pd.DataFrame({"error": errors, "entities": found})
+def scan_texts(rows: DataFrame, keys: list[str], texts: dict[str, int]) -> DataFrame:
+    """One row per entity of every text column, marked with the column's ``side``.
 
-
-# Marked so that the optimizer does not run it again for a filter on its result.
-scan_source = F.pandas_udf(_scan, SCANNED).asNondeterministic()
+    A row with an unreadable text gives no entities but one row per such text,
+    with the reason in ``error``. Output leaves the task in small batches, so a
+    task never holds the entities of more than a few hundred texts.
+    """
+    fields = [rows.schema[key] for key in keys]
+    schema = StructType([*fields, *struct(side=IntegerType(), error=TEXT), *ENTITY])
+    arrow = to_arrow_schema(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=KEPT)
+        def scanned(text: str) -> tuple[str | None, list[tuple]]:
+            try:
+                return None, java_source.entities(text)
+            except Exception as problem:  # one unreadable text must not stop the others
+                return str(problem) or type(problem).__name__, []
+
+        nothing = (None,) * len(FIELDS)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                columns = [(side, part.column(name).to_pylist()) for name, side in texts.items()]
+                at, out = [], []
+                for row in range(part.num_rows):
+                    found = [(side, *scanned(column[row])) for side, column in columns]
+                    if any(error is not None for _, error, _ in found):
+                        new = [(side, error, *nothing) for side, error, _ in found if error is not None]
+                    else:
+                        new = [(side, None, *entity) for side, _, listed in found for entity in listed]
+                    at += [row] * len(new)
+                    out += new
+                taken = part.select(keys).take(pa.array(at, pa.int64()))
+                values = zip(*out) if out else [[] for _ in arrow.names[len(keys) :]]
+                made = [pa.array(column, arrow.field(len(keys) + n).type) for n, column in enumerate(values)]
+                yield pa.RecordBatch.from_arrays([*taken.columns, *made], schema=arrow)
+
+    return rows.select(*keys, *texts).mapInArrow(read, schema)
 
 
 def _with_constructors(entity: Column) -> Column:
@@ -112,13 +141,8 @@ def _with_constructors(entity: Column) -> Column:
 
 def extract_entities(revisions: DataFrame, text: str = "text") -> DataFrame:
     """The declarations and statements of every readable text, one row each."""
-    rest = [name for name in revisions.columns if name != text]
-    return (
-        revisions.select(*rest, scan_source(F.col(text)).alias("scan"))
-        .where(F.col("scan.error").isNull())
-        .select(*rest, F.explode("scan.entities").alias("entity"))
-        .select(*rest, "entity.*")
-    )
+    keys = [name for name in revisions.columns if name != text]
+    return scan_texts(revisions, keys, {text: 1}).where(F.col("error").isNull()).select(*keys, *FIELDS)
 
 
 def synthesise_nested_constructors(found: DataFrame) -> DataFrame:
@@ -147,33 +171,19 @@ def without_boilerplate(found: DataFrame) -> DataFrame:
     return found.where(~_is_boilerplate())
 
 
+def scan_pairs(pairs: DataFrame) -> DataFrame:
+    """Entities of both sides of every pair; ``side`` is +1 for new and -1 for old."""
+    return scan_texts(pairs, PAIR, {"old_text": -1, "new_text": 1})
+
+
 def quarantine(pairs: DataFrame) -> DataFrame:
-    """Files whose old or new text cannot be read, with the reason; the rest goes on."""
-    scanned = pairs.select(
-        *PAIR, scan_source(F.col("old_text")).alias("old"), scan_source(F.col("new_text")).alias("new")
-    )
-    problems = scanned.select(*PAIR, F.col("old.error").alias("old_error"), F.col("new.error").alias("new_error"))
-    return problems.where(F.col("old_error").isNotNull() | F.col("new_error").isNotNull())
+    """Texts that cannot be read, with the reason; their files are left out and the rest goes on."""
+    return scan_pairs(pairs).where(F.col("error").isNotNull()).select(*PAIR, "side", "error")
 
 
 def readable_entities(pairs: DataFrame) -> DataFrame:
-    """Entities of both sides of every pair that can be read; ``side`` is +1 for new and -1 for old."""
-    scanned = pairs.select(
-        *PAIR,
-        scan_source(F.col("old_text")).alias("old"),
-        scan_source(F.col("new_text")).alias("new"),
-    ).where(F.col("old.error").isNull() & F.col("new.error").isNull())
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit(-1).alias("side"), F.col("old.entities").alias("entities")),
-            F.struct(F.lit(1).alias("side"), F.col("new.entities").alias("entities")),
-        )
-    )
-    found = (
-        scanned.select(*PAIR, sides.alias("s"))
-        .select(*PAIR, "s.side", F.explode("s.entities").alias("entity"))
-        .select(*PAIR, "side", "entity.*")
-    )
+    """What counts of both sides: no boilerplate, and the constructors nested classes imply."""
+    found = scan_pairs(pairs).where(F.col("error").isNull()).drop("error")
     return synthesise_nested_constructors(without_boilerplate(found))
 
 

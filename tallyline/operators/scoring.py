@@ -98,6 +98,7 @@ def user_scores(commits: DataFrame, changes: DataFrame, group: Sequence[str] = R
     """Score per summary and author; authors whose commits score nothing stay with 0."""
     return (
         commit_scores(commits, changes, group)
+        .where(F.col("user_id").isNotNull())
         .groupBy(*group, "user_id")
         .agg(F.sum("score").alias("score"))
     )
@@ -107,12 +108,14 @@ def score_percent(scores: DataFrame, users: DataFrame, group: Sequence[str] = RE
     """Adds each user's percentage of the summary, over users that are not excluded.
 
     Scores and totals read the same columns, so Spark computes the scores once.
+    Every row has a total; the join is a left one because Spark drops that where
+    the percentage is not used.
     """
     included = users.where(~F.col("excluded")).select("user_id")
     kept = scores.join(included, "user_id")
     totals = kept.groupBy(*group).agg(F.sum("score").alias("total"))
     return (
-        kept.join(totals, list(group))
+        kept.join(totals, list(group), "left")
         .withColumn("percent", C.share(F.col("score") * 100, F.col("total")))
         .drop("total")
     )
@@ -121,11 +124,18 @@ def score_percent(scores: DataFrame, users: DataFrame, group: Sequence[str] = RE
 def _authored(
     changes: DataFrame, commits: DataFrame, keys: Sequence[str], group: Sequence[str]
 ) -> DataFrame:
-    """Totals per summary, author and keys."""
+    """Totals per summary, author and keys.
+
+    Missing authors and keys are dropped here and not by the joins that follow,
+    so that the branches of a plan stay equal and Spark runs this part once.
+    """
+    present = F.col("user_id").isNotNull()
+    for key in keys:
+        present = present & F.col(key).isNotNull()
     return (
         _per_commit(changes, *keys)
         .join(owners(commits, group), "commit_id")
-        .where(_left("n_rows", "gui_rows") > 0)
+        .where(present & (_left("n_rows", "gui_rows") > 0))
         .groupBy(*group, "user_id", *keys)
         .agg(
             F.sum(_left("score", "gui_score")).alias("score"),
@@ -185,7 +195,7 @@ def file_shares(scores: DataFrame, group: Sequence[str] = REPOSITORY) -> DataFra
     """Each author's fraction of a file's score; NULL where the file scores 0."""
     totals = scores.groupBy(*group, "file").agg(F.sum("score").alias("total"))
     return (
-        scores.join(totals, [*group, "file"])
+        scores.join(totals, [*group, "file"], "left")
         .withColumn("share", C.share(F.col("score"), F.col("total")))
         .drop("total")
     )

@@ -478,9 +478,9 @@ ORACLES = {
             WHERE lacks_constructor""",
     "diff_entities": """SELECT repo_id, sha1, filename, change_op, entity_type, unique_name, parent_name
         FROM text_changes""",
-    "quarantine_failed_files": f"""SELECT repo_id, sha1, filename,
-        CASE WHEN old_k % 50 = 7 THEN {UNREADABLE} END AS old_error, CASE WHEN k % 50 = 7 THEN {UNREADABLE} END AS new_error
-        FROM pairs WHERE k % 50 = 7 OR old_k % 50 = 7""",
+    "quarantine_failed_files": f"""SELECT repo_id, sha1, filename, CAST(1 AS INT) AS side, {UNREADABLE} AS error
+            FROM pairs WHERE k % 50 = 7
+        UNION ALL SELECT repo_id, sha1, filename, -1, {UNREADABLE} FROM pairs WHERE old_k % 50 = 7""",
     "diff_revision_lines": f"""SELECT doc_id, line, CASE WHEN sum(side) > 0 THEN 'INSERT' ELSE 'DELETE' END AS change_op,
         CAST(abs(sum(side)) AS BIGINT) AS n_lines FROM (
             {LINES.format(key='doc_id', side='1')} UNION ALL {LINES.format(key='doc_id + 1', side='-1')})

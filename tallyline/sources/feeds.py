@@ -153,18 +153,20 @@ def ingest_pull_requests(raw: DataFrame) -> DataFrame:
 def ingest_pr_comments(raw: DataFrame) -> DataFrame:
     """Issue comments and review comments of all pages in one table; repeats are kept."""
 
-    def comments(column: str, kind: str) -> DataFrame:
-        return raw.select("repo_id", "number", F.explode(column).alias("c")).select(
-            "repo_id",
-            "number",
-            F.lit(kind).alias("kind"),
-            F.col("c.user.name").alias("commenter_name"),
-            F.col("c.user.email").alias("commenter_email"),
-            F.col("c.body").alias("comment"),
-            C.utc_instant(F.col("c.created_at")).alias("created_at"),
-        )
+    def marked(column: str, kind: str) -> Column:
+        pairs = F.transform(column, lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("c")))
+        return F.coalesce(pairs, F.array())
 
-    return comments("comments", "issue").unionByName(comments("review_comments", "review"))
+    both = F.concat(marked("comments", "issue"), marked("review_comments", "review"))
+    return raw.select("repo_id", "number", F.explode(both).alias("m")).select(
+        "repo_id",
+        "number",
+        "m.kind",
+        F.col("m.c.user.name").alias("commenter_name"),
+        F.col("m.c.user.email").alias("commenter_email"),
+        F.col("m.c.body").alias("comment"),
+        C.utc_instant(F.col("m.c.created_at")).alias("created_at"),
+    )
 
 
 # People
@@ -176,16 +178,14 @@ def commit_identities(raw: DataFrame) -> DataFrame:
 
 
 def review_identities(raw: DataFrame) -> DataFrame:
-    def of(column: str) -> DataFrame:
-        return raw.select(F.explode(column).alias("c")).select("c.user.name", "c.user.email")
+    def commenters(column: str) -> Column:
+        return F.coalesce(F.transform(column, lambda c: c["user"]), F.array())
 
-    people = F.explode(F.array("user", "merged_by")).alias("who")
+    people = F.concat(F.array("user", "merged_by"), commenters("comments"), commenters("review_comments"))
     return (
-        raw.select(people)
+        raw.select(F.explode(people).alias("who"))
+        .where(F.col("who.name").isNotNull())
         .select("who.name", "who.email")
-        .unionByName(of("comments"))
-        .unionByName(of("review_comments"))
-        .where(F.col("name").isNotNull())
         .distinct()
     )
 

@@ -35,8 +35,12 @@ def stream_ingest_commits(feed: DataFrame, store: str, checkpoint: str) -> Strea
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = _stored(spark, store, schema).where(F.col("batch_id") < batch_id)
-        fresh = feeds.find_new_commits(commit_ops.first_sightings(batch), earlier)
+        fresh = commit_ops.first_sightings(batch)
+        keys = ["repo_id", "sha1"]
+        # The table grows and the batch does not, so the batch goes to the table.
+        earlier = _stored(spark, store, schema).where(F.col("batch_id") < batch_id).select(*keys)
+        repeats = earlier.join(fresh.select(*keys), keys, "left_semi")
+        fresh = feeds.find_new_commits(fresh, repeats)
         fresh.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
     return (

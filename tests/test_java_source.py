@@ -4,7 +4,7 @@ from tallyline.functions.java_source import SourceError, entities
 
 
 def kinds(text):
-    return [(row["entity_type"], row["unique_name"]) for row in entities(text)]
+    return [(row.entity_type, row.unique_name) for row in entities(text)]
 
 
 def test_layout_does_not_matter():
@@ -27,7 +27,7 @@ def test_statements_of_a_method():
         new Thread(() -> { work(); }).start();
       }
     }"""
-    found = [row["entity_type"] for row in entities(text)]
+    found = [row.entity_type for row in entities(text)]
     assert found == [
         "VARIABLE_DECLARATION_STATEMENT",
         "METHOD_INVOCATION",
@@ -58,7 +58,7 @@ def test_statements_of_a_method():
         "METHOD",
         "CLASS",
     ]
-    assert entities(text)[-2]["unique_name"] == "A.run(Map<String,Integer>,int...)"
+    assert entities(text)[-2].unique_name == "A.run(Map<String,Integer>,int...)"
 
 
 def test_members_comments_and_strings():
