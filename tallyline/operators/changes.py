@@ -8,7 +8,7 @@ once. Files are filtered before any text is read.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -46,10 +46,11 @@ for module in (java_source, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(module)
 
 
-def pair_file_revisions(files: DataFrame, revisions: DataFrame) -> DataFrame:
+def pair_file_revisions(files: DataFrame, revisions: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Each changed file with its text before and after; a missing text is empty.
 
-    ``files`` has repo_id, sha1, parent and filename. Both texts are looked up
+    ``files`` has repo_id, sha1, parent and filename, and the columns of the
+    commit that ``carry`` names. Both texts are looked up
     under the new name, so a renamed file has no old text. Texts are too bulky to
     broadcast, and the merge join leaves them spread for the step that reads them.
     """
@@ -59,11 +60,12 @@ def pair_file_revisions(files: DataFrame, revisions: DataFrame) -> DataFrame:
     )
     return (
         files.groupBy(*PAIR)
-        .agg(F.min("parent").alias("parent"))
+        .agg(*(F.min(name).alias(name) for name in ("parent", *carry)))
         .join(new.hint("merge"), PAIR, "left")
         .join(old.hint("merge"), ["repo_id", "parent", "filename"], "left")
         .select(
             *PAIR,
+            *carry,
             F.coalesce("old_text", F.lit("")).alias("old_text"),
             F.coalesce("new_text", F.lit("")).alias("new_text"),
         )
@@ -171,9 +173,9 @@ def without_boilerplate(found: DataFrame) -> DataFrame:
     return found.where(~_is_boilerplate())
 
 
-def scan_pairs(pairs: DataFrame) -> DataFrame:
+def scan_pairs(pairs: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     """Entities of both sides of every pair; ``side`` is +1 for new and -1 for old."""
-    return scan_texts(pairs, PAIR, {"old_text": -1, "new_text": 1})
+    return scan_texts(pairs, keys, {"old_text": -1, "new_text": 1})
 
 
 def quarantine(pairs: DataFrame) -> DataFrame:
@@ -181,20 +183,20 @@ def quarantine(pairs: DataFrame) -> DataFrame:
     return scan_pairs(pairs).where(F.col("error").isNotNull()).select(*PAIR, "side", "error")
 
 
-def readable_entities(pairs: DataFrame) -> DataFrame:
+def readable_entities(pairs: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     """What counts of both sides: no boilerplate, and the constructors nested classes imply."""
-    found = scan_pairs(pairs).where(F.col("error").isNull()).drop("error")
+    found = scan_pairs(pairs, keys).where(F.col("error").isNull()).drop("error")
     return synthesise_nested_constructors(without_boilerplate(found))
 
 
-def diff_entities(found: DataFrame) -> DataFrame:
+def diff_entities(found: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     """Insertions, deletions and updates between the two sides of every file.
 
     Equal entities cancel out by count. What is left of one owner and type is
     paired in text order: a deletion and an insertion make an update under the
     old name. A group is part of one text, and all steps share one shuffle.
     """
-    owner = [*PAIR, "owner", "entity_type"]
+    owner = [*keys, "owner", "entity_type"]
     left_over = (
         found.select(*owner, "unique_name", "side", "ordinal")
         .repartition(*owner)
@@ -220,13 +222,13 @@ def diff_entities(found: DataFrame) -> DataFrame:
     return (
         counted.withColumn("change_op", op)
         .where(F.col("change_op").isNotNull())
-        .select(*PAIR, "change_op", "entity_type", "unique_name", F.col("owner").alias("parent_name"))
+        .select(*keys, "change_op", "entity_type", "unique_name", F.col("owner").alias("parent_name"))
     )
 
 
-def extract_changes(pairs: DataFrame) -> DataFrame:
-    """From pairs of texts to typed changes."""
-    return diff_entities(readable_entities(pairs))
+def extract_changes(pairs: DataFrame, keys: list[str] = PAIR) -> DataFrame:
+    """From pairs of texts to typed changes; ``keys`` tell one pair from another."""
+    return diff_entities(readable_entities(pairs, keys), keys)
 
 
 def _lines(text: Column) -> Column:

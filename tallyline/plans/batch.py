@@ -16,28 +16,26 @@ NOT_FOUND = "Repository not found"
 def match_repositories(matchers: DataFrame, repositories: DataFrame) -> DataFrame:
     """Every matcher with each repository it selects; a repository may match several.
 
-    Exact names are an equi-join. A prefix is too: each name is listed with all
-    its prefixes, so no matcher is compared with every repository.
+    Exact names are an equi-join. A prefix is too: each name is listed with its
+    prefixes of the lengths that occur, so no matcher is compared with every
+    repository. There are no more lengths than a name has characters.
     """
     exact = matchers.where("exact_match").join(
         repositories.select("repo_id", "repository_name", "organisation_name"),
         (F.col("name") == F.col("repository_name")) & (F.col("organisation") == F.col("organisation_name")),
     )
-    lengths = F.sequence(F.lit(0), F.length("repository_name"))
-    prefixes = repositories.select(
-        "repo_id",
-        "repository_name",
-        "organisation_name",
-        F.explode(F.transform(lengths, lambda n: F.substring(F.col("repository_name"), F.lit(1), n))).alias("prefix"),
-    )
-    prefix = (
-        matchers.where(~F.col("exact_match"))
-        .join(
-            prefixes,
-            (F.col("name") == F.col("prefix")) & (F.col("organisation") == F.col("organisation_name")),
-        )
-        .drop("prefix")
+    by_prefix = matchers.where(~F.col("exact_match"))
+    lengths = by_prefix.select(F.length("name").alias("n")).distinct().agg(F.collect_list("n")).scalar()
+    prefixes = (
+        repositories.select("repo_id", "repository_name", "organisation_name", lengths.alias("lengths"))
+        .withColumn("n", F.explode("lengths"))
+        .where(F.col("n") <= F.length("repository_name"))
+        .withColumn("prefix", F.substring("repository_name", F.lit(1), F.col("n")))
+        .drop("lengths", "n")
     )
+    prefix = by_prefix.join(
+        prefixes, (F.col("name") == F.col("prefix")) & (F.col("organisation") == F.col("organisation_name"))
+    ).drop("prefix")
     names = [name for name in matchers.columns if name != "organisation"]
     return exact.unionByName(prefix).select("repo_id", "repository_name", "organisation_name", *names)
 

@@ -25,11 +25,8 @@ def changes_from_texts(
     """
     wanted = scoring.analysable_changes(files.select("commit_id", "filename"), exclude_gui)
     named = commits.select("commit_id", "repo_id", "sha1", "parent").join(wanted, "commit_id")
-    extracted = change_ops.extract_changes(change_ops.pair_file_revisions(named, revisions))
-    keys = commits.select("repo_id", "sha1", "commit_id")
-    return extracted.join(keys, ["repo_id", "sha1"]).select(
-        "commit_id", "filename", "change_op", "entity_type", "unique_name", "parent_name"
-    )
+    pairs = change_ops.pair_file_revisions(named, revisions, carry=["commit_id"])
+    return change_ops.extract_changes(pairs, ["commit_id", "filename"])
 
 
 def summary(

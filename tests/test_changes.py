@@ -155,3 +155,17 @@ def test_line_diff_against_brute_force(spark, texts):
         expected += [(n, line, "INSERT", count) for line, count in (after - before).items()]
         expected += [(n, line, "DELETE", count) for line, count in (before - after).items()]
     assert values(changes.diff_revision_lines(pairs, ["id"])) == sorted(expected, key=repr)
+
+
+def test_many_texts_in_small_batches(spark):
+    rows = spark.range(3000).select(
+        F.col("id").alias("commit_id"),
+        F.lit("A.java").alias("filename"),
+        F.lit("").alias("old_text"),
+        F.when(F.col("id") % 10 == 3, "class A { /*").otherwise(F.concat(F.lit("class A { int f"), "id", F.lit("; }"))).alias("new_text"),
+    )
+    found = changes.extract_changes(rows, ["commit_id", "filename"])
+    assert found.count() == 2 * 2700
+    assert found.select("commit_id").distinct().count() == 2700
+    names = found.where("entity_type = 'FIELD' AND commit_id < 6")
+    assert values(names, "commit_id", "unique_name") == [(n, f"A.f{n} : int") for n in (0, 1, 2, 4, 5)]
