@@ -14,7 +14,7 @@ from .schemas import BATCH_CONFIG
 from .session import shared_dir
 from .sources import config, feeds, pages
 from .streaming.commits import stream_ingest_commits
-from .views import DOMAIN, Tables
+from .views import DOMAIN, GIVEN, Tables
 
 WINDOW = ("1996-01-01T00:00:00Z", "1998-12-31T00:00:00Z")
 STORED_UNTIL = "1999-06-30T00:00:00Z"
@@ -200,7 +200,7 @@ def _fetch(t: Tables) -> dict[str, DataFrame]:
 
 
 def _stream_ingest(t: Tables) -> DataFrame:
-    orders = t.spark.readStream.schema(t.read("orders").schema).option("pathGlobFilter", "orders.parquet").parquet(t.dir)
+    orders = t.spark.readStream.schema(GIVEN["orders"]).option("pathGlobFilter", "orders.parquet").parquet(t.dir)
     copies = F.when(F.col("o_orderkey") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     feed = orders.select("*", F.explode(copies).alias("copy")).select(
         (F.col("o_orderkey") % 25).alias("repo_id"),
