@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spread import join_one
+
 NO_TEAM = "A matching team could not be found"
 
 
@@ -31,12 +33,12 @@ def repository_members(
 
 def users_outside_team(commits: DataFrame, teams: DataFrame, users: DataFrame) -> DataFrame:
     """Authors that are not excluded and not on the team of a repository that has one."""
-    with_team = teams.select("repo_id").distinct()
+    with_team = teams.select("repo_id").distinct()  # one row per repository
     authors = commits.select("repo_id", F.col("author_id").alias("user_id")).distinct()
     included = users.where(~F.col("excluded")).select("user_id")
+    outside = authors.join(teams.select("repo_id", "user_id"), ["repo_id", "user_id"], "left_anti")
     return (
-        authors.join(teams.select("repo_id", "user_id"), ["repo_id", "user_id"], "left_anti")
-        .join(with_team, "repo_id", "left_semi")
+        join_one(outside, with_team, ["repo_id"], ["user_id"])
         .join(included, "user_id", "left_semi")
         .select("repo_id", "user_id")
     )

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .commits import single_parent
+from .spread import join_one
 
 REPOSITORY = ("repo_id",)
 
@@ -104,18 +105,23 @@ def user_scores(commits: DataFrame, changes: DataFrame, group: Sequence[str] = R
     )
 
 
+def shown_users(commits: DataFrame, users: DataFrame, group: Sequence[str] = REPOSITORY) -> DataFrame:
+    """The authors of a summary that are not excluded."""
+    included = users.where(~F.col("excluded")).select("user_id")
+    authors = commits.select(*group, F.col("author_id").alias("user_id")).distinct()
+    return authors.join(included, "user_id").select(*group, "user_id")
+
+
 def score_percent(scores: DataFrame, users: DataFrame, group: Sequence[str] = REPOSITORY) -> DataFrame:
     """Adds each user's percentage of the summary, over users that are not excluded.
 
     Scores and totals read the same columns, so Spark computes the scores once.
-    Every row has a total; the join is a left one because Spark drops that where
-    the percentage is not used.
     """
     included = users.where(~F.col("excluded")).select("user_id")
     kept = scores.join(included, "user_id")
     totals = kept.groupBy(*group).agg(F.sum("score").alias("total"))
     return (
-        kept.join(totals, list(group), "left")
+        join_one(kept, totals, group, ["user_id"])
         .withColumn("percent", C.share(F.col("score") * 100, F.col("total")))
         .drop("total")
     )
@@ -195,37 +201,40 @@ def file_shares(scores: DataFrame, group: Sequence[str] = REPOSITORY) -> DataFra
     """Each author's fraction of a file's score; NULL where the file scores 0."""
     totals = scores.groupBy(*group, "file").agg(F.sum("score").alias("total"))
     return (
-        scores.join(totals, [*group, "file"], "left")
+        join_one(scores, totals, [*group, "file"], ["user_id"])
         .withColumn("share", C.share(F.col("score"), F.col("total")))
         .drop("total")
     )
 
 
-def file_user_matrix(shares: DataFrame, scores: DataFrame) -> DataFrame:
-    """The file by user chart of every repository in sparse form.
+def file_user_matrix(scores: DataFrame, shown: DataFrame) -> DataFrame:
+    """The file by user chart of every repository in sparse form, from ``file_scores``.
 
     Cells that are not 0, for the users that are shown; every other cell is 0.
     A shown user without any cell and a file without a shown user still appear
     once, with the other coordinate NULL, so both axes are complete.
     """
-    shown = scores.select("repo_id", "user_id", F.lit(True).alias("shown"))
-    marked = shares.join(shown, ["repo_id", "user_id"], "left").select(
-        "repo_id",
-        "file",
-        "user_id",
-        "share",
-        (F.coalesce("shown", F.lit(False)) & (F.col("score") != 0)).alias("is_cell"),
+    keys = ["repo_id", "user_id"]
+    marked = scores.join(shown.select(*keys, F.lit(True).alias("shown")), keys, "left").withColumn(
+        "is_cell", F.coalesce("shown", F.lit(False)) & (F.col("score") != 0)
+    )
+    cells = (
+        file_shares(scores.select(*keys, "file", "score"))
+        .where("score != 0")
+        .join(shown.select(*keys), keys, "left_semi")
+        .select("repo_id", "file", "user_id", "share")
     )
-    cells = marked.where("is_cell").select("repo_id", "file", "user_id", "share")
     bare_files = (
         marked.groupBy("repo_id", "file")
         .agg(F.bool_or("is_cell").alias("any_cell"))
         .where(~F.col("any_cell"))
         .select("repo_id", "file", F.lit(None).cast("bigint").alias("user_id"), F.lit(0.0).alias("share"))
     )
-    with_cells = cells.select("repo_id", "user_id").distinct()
-    bare_users = shown.join(with_cells, ["repo_id", "user_id"], "left_anti").select(
-        "repo_id", F.lit(None).cast("string").alias("file"), "user_id", F.lit(0.0).alias("share")
+    with_cells = marked.where("is_cell").select(*keys).distinct()
+    bare_users = (
+        shown.select(*keys)
+        .join(with_cells, keys, "left_anti")
+        .select("repo_id", F.lit(None).cast("string").alias("file"), "user_id", F.lit(0.0).alias("share"))
     )
     return cells.unionByName(bare_users).unionByName(bare_files)
 

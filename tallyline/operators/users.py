@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .spread import join_one
 
 ID_BUCKET_DIGITS = 3  # hex digits of the hash that picks a bucket: 4096 buckets
 ID_BUCKETS = 16**ID_BUCKET_DIGITS
@@ -125,13 +126,15 @@ def resolve_strict(identities: DataFrame, users: DataFrame, domain: str) -> Data
     known = (
         fill_default_email(users, domain).groupBy("name", "email").agg(F.min("user_id").alias("user_id"))
     )
-    return fill_default_email(identities, domain).join(known, ["name", "email"], "left")
+    rest = [name for name in identities.columns if name not in ("name", "email")]
+    return join_one(fill_default_email(identities, domain), known, ["name", "email"], rest or ["name"], "left")
 
 
 def resolve_weak(identities: DataFrame, users: DataFrame, domain: str) -> DataFrame:
     """Adds the lowest ``user_id`` with the same email."""
     known = fill_default_email(users, domain).groupBy("email").agg(F.min("user_id").alias("user_id"))
-    return fill_default_email(identities, domain).join(known, "email", "left")
+    rest = [name for name in identities.columns if name != "email"]
+    return join_one(fill_default_email(identities, domain), known, ["email"], rest, "left")
 
 
 def mapping_problems(mapping: DataFrame) -> DataFrame:
@@ -184,4 +187,4 @@ def alias_groups(users: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_names"))
         .where("n_names > 1")
     )
-    return users.select("email", "user_id", "name").join(groups, "email")
+    return join_one(users.select("email", "user_id", "name"), groups, ["email"], ["user_id"])

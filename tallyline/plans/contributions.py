@@ -42,14 +42,14 @@ def summary(
     covered = covered_commits(commits, start, end)
     source = scoring.analysable_changes(changes, exclude_gui)
     percents = scoring.score_percent(scoring.user_scores(covered, source), users)
-    shares = scoring.file_user_shares(covered, source)
+    per_file = scoring.file_scores(covered, source).drop("n_changes")
     return {
         "repositories": repositories.join(covered.select("repo_id").distinct(), "repo_id", "left_semi"),
         "users": percents,
         "categories": scoring.user_category_counts(covered, source),
         "files": scoring.user_file_category_counts(covered, source),
-        "shares": shares,
-        "matrix": scoring.file_user_matrix(shares, percents),
+        "shares": scoring.file_shares(per_file),
+        "matrix": scoring.file_user_matrix(per_file, scoring.shown_users(covered, users)),
         "commits": scoring.users_with_commits(percents, covered),
     }
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import commits as commit_ops
 from ..operators import members
 from ..operators import reviews
+from ..operators.spread import join_one
 from ..sources import feeds
 
 
@@ -25,7 +26,7 @@ def since_high_water_mark(feed: DataFrame, stored: DataFrame, all_history: bool
         return feed
     marks = stored.groupBy("repo_id").agg(F.max("commit_date").alias("_mark"))
     return (
-        feed.join(marks, "repo_id", "left")
+        join_one(feed, marks, ["repo_id"], ["sha1"], "left")
         .where(F.col("_mark").isNull() | (F.col("commit_date") >= F.col("_mark")))
         .drop("_mark")
     )

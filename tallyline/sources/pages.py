@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import scoring
 from ..operators.commits import DISPLAY
+from ..operators.spread import join_one
 from ..session import stored
 
 SORT = ("section", "a", "part", "b", "item", "c")
@@ -81,7 +82,7 @@ def unique_labels(people: DataFrame, users: DataFrame, group: Sequence[str]) ->
     named = people.select(*group, "user_id").join(users.select("user_id", label, "excluded"), "user_id")
     shared = named.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("n"))
     with_id = F.concat("label", F.lit(" #"), F.col("user_id").cast("string"))
-    return named.join(shared, [*group, "label"]).select(
+    return join_one(named, shared, [*group, "label"], ["user_id"]).select(
         *group, "user_id", "excluded", F.when(F.col("n") > 1, with_id).otherwise(F.col("label")).alias("label")
     )
 

@@ -72,7 +72,7 @@ def test_zero_totals_give_null_and_users_without_code_stay(table):
     assert values(percents, "user_id", "score", "percent") == [(1, 0, None), (2, 0, None)]
     shares = scoring.file_user_shares(history, rows)
     assert values(shares, "file", "user_id", "score", "share") == [("A.java", 1, 0, None)]
-    matrix = scoring.file_user_matrix(shares, percents)
+    matrix = scoring.file_user_matrix(scoring.file_scores(history, rows), scoring.shown_users(history, users))
     assert values(matrix, "file", "user_id") == [("A.java", None), (None, 1), (None, 2)]
 
 
@@ -101,9 +101,7 @@ def test_dense_chart(table):
     rows = table([change(1, "CLASS"), change(2, "METHOD"), change(2, "FIELD", "B.java")], CHANGES)
     history = table([commit(1, 1), commit(2, 2)], COMMITS)
     users = table([(1, "A", "a", False), (2, "B", "b", False)], USERS)
-    matrix = scoring.file_user_matrix(
-        scoring.file_user_shares(history, rows), scoring.contribution_percent(history, rows, users)
-    )
+    matrix = scoring.file_user_matrix(scoring.file_scores(history, rows), scoring.shown_users(history, users))
     wide = scoring.pivot_users(matrix, [1, 2])
     assert values(wide, "file", "user_1", "user_2") == [("A.java", 0.8, 0.2), ("B.java", 0.0, 1.0)]
 
