@@ -13,6 +13,7 @@ GUI files per summary; without it, filter the changes first.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +72,10 @@ def _left(total: str, gui: str) -> Column:
     return F.col(total) - F.when(F.col("exclude_gui"), F.col(gui)).otherwise(0)
 
 
+def _present(names: Sequence[str]) -> Column:
+    return reduce(Column.__and__, (F.col(name).isNotNull() for name in names))
+
+
 def file_change_scores(changes: DataFrame) -> DataFrame:
     """Score and number of credited changes per commit and file; 0 where only deletions occur."""
     return _per_commit(changes, "filename").select("commit_id", "filename", "score", "n_changes")
@@ -99,7 +104,7 @@ def user_scores(commits: DataFrame, changes: DataFrame, group: Sequence[str] = R
     """Score per summary and author; authors whose commits score nothing stay with 0."""
     return (
         commit_scores(commits, changes, group)
-        .where(F.col("user_id").isNotNull())
+        .where(_present([*group, "user_id"]))
         .groupBy(*group, "user_id")
         .agg(F.sum("score").alias("score"))
     )
@@ -135,13 +140,10 @@ def _authored(
     Missing authors and keys are dropped here and not by the joins that follow,
     so that the branches of a plan stay equal and Spark runs this part once.
     """
-    present = F.col("user_id").isNotNull()
-    for key in keys:
-        present = present & F.col(key).isNotNull()
     return (
         _per_commit(changes, *keys)
         .join(owners(commits, group), "commit_id")
-        .where(present & (_left("n_rows", "gui_rows") > 0))
+        .where(_present([*group, "user_id", *keys]) & (_left("n_rows", "gui_rows") > 0))
         .groupBy(*group, "user_id", *keys)
         .agg(
             F.sum(_left("score", "gui_score")).alias("score"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+SALTS = 16  # a power of 2, so that a salt is some bits of the hash and never NULL
 
 
 def join_one(
@@ -21,6 +21,7 @@ def join_one(
     counterpart each; both sides are shuffled for the join, so that a part that is
     still too large is split further.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = one_each.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.xxhash64(*spread).bitwiseAND(SALTS - 1))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    copies = one_each.withColumn("_salt", F.explode(salts))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
