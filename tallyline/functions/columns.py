@@ -84,7 +84,8 @@ def email_or_default(name: Column, email: Column, domain: str) -> Column:
 
 
 def percent_text(value: Column) -> Column:
-    return F.when(value < 1, F.lit("<1")).otherwise(F.format_string("%.2f", value))
+    """Two decimals, or ``<1``; no text where there is no percentage."""
+    return F.when(value < 1, F.lit("<1")).when(value.isNotNull(), F.format_string("%.2f", value))
 
 
 def epoch() -> Column:

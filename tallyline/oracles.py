@@ -419,8 +419,8 @@ ORACLES = {
         FROM covered c LEFT JOIN source s ON c.commit_id = s.commit_id GROUP BY ALL""",
     "user_scores": "SELECT * FROM per_user",
     "user_score_percent": "SELECT * FROM percents",
-    "format_percent": """SELECT repo_id, user_id, CASE WHEN percent < 1 THEN '<1' WHEN percent IS NULL THEN 'null'
-        ELSE printf('%.2f', percent) END AS percent_text FROM percents""",
+    "format_percent": """SELECT repo_id, user_id, CASE WHEN percent < 1 THEN '<1' WHEN percent IS NOT NULL
+        THEN printf('%.2f', percent) END AS percent_text FROM percents""",
     "user_category_counts": """SELECT repo_id, user_id, category, change_op, CAST(sum(score) AS BIGINT) AS score,
         count(*) AS n_changes FROM authored WHERE change_op <> 'DELETE' GROUP BY ALL""",
     "user_file_category_counts": """SELECT repo_id, user_id, filename, category, change_op,

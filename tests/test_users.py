@@ -37,7 +37,7 @@ def test_labels(people):
 
 def test_percent_text(table):
     rows = table([(0.4,), (1.0,), (99.999,), (None,)], "p double")
-    assert [r[0] for r in rows.select(C.percent_text(F.col("p"))).collect()] == ["<1", "1.00", "100.00", "null"]
+    assert [r[0] for r in rows.select(C.percent_text(F.col("p"))).collect()] == ["<1", "1.00", "100.00", None]
 
 
 def test_resolution(table):
