@@ -22,6 +22,7 @@ OTHER_CATEGORY = "Other"
 # What makes a path a Java file, and a Java file a GUI file.
 SOURCE_SUFFIX = "java"
 GUI_WORDS = ("ui", "view")
+ZONED = r"T\d\d:\d\d(:\d\d([.]\d+)?)?(Z|[+-]\d\d:?\d\d)$"
 
 
 def _choose(column: Column, table: dict[str, object], default: object) -> Column:
@@ -102,8 +103,11 @@ def utc_literal(instant: str) -> Column:
 
 
 def utc_instant(text: Column) -> Column:
-    """An ISO-8601 text column as a UTC TIMESTAMP_NTZ; NULL where it does not parse."""
-    micros = F.unix_micros(F.try_to_timestamp(text))
+    """An ISO-8601 instant with its zone as a UTC TIMESTAMP_NTZ; NULL where the text is none.
+
+    A text without a zone would mean another instant in every session.
+    """
+    micros = F.unix_micros(F.try_to_timestamp(F.when(text.rlike(ZONED), text)))
     return F.timestamp_add("MICROSECOND", micros, epoch())
 
 

@@ -92,21 +92,74 @@ def split_commas(words: list[str]) -> list[list[str]]:
     return [part for part in parts if part]
 
 
+class Scope:
+    """What is known of a method once its end is reached. Its entities refer to it, so none has to wait."""
+
+    def __init__(self, signature: str):
+        self.signature, self.statements, self.first = signature, 0, None
+
+    def add(self, kind: str) -> None:
+        if kind not in COMMENT_TYPES.values():
+            self.statements += 1
+            self.first = self.first or kind
+
+
+class Body:
+    """A type's own body: whether a constructor was met in it."""
+
+    def __init__(self, name: str):
+        self.name, self.constructor = name, False
+
+
+class Row(NamedTuple):
+    kind: str
+    unique_name: str
+    owner: str
+    scope: Scope | None
+    lacks_constructor: bool = False
+
+
+Step = Iterator["Row | Step"]
+
+
 class Reader:
-    """Walks the tokens once and yields (entity_type, unique_name, owner, extras)."""
+    """Walks the tokens once. A step yields its rows, and the steps it leads into.
+
+    ``rows`` keeps the open steps on a stack of its own, so how deep a text nests
+    costs memory and nothing else.
+    """
 
     def __init__(self, text: str):
         self.tokens = tokenise(text)
         self.at = 0
 
-    def peek(self) -> str | None:
-        return self.tokens[self.at][1] if self.at < len(self.tokens) else None
+    def rows(self) -> Iterator[Row]:
+        stack = [self.members("", None, None)]
+        while stack:
+            item = next(stack[-1], None)
+            if item is None:
+                stack.pop()
+            elif isinstance(item, Row):
+                yield item
+            else:
+                stack.append(item)
 
-    def comments(self, owner: str) -> Iterator[tuple]:
-        while self.at < len(self.tokens) and self.tokens[self.at][0] in COMMENT_TYPES:
+    def peek(self, ahead: int = 0) -> str | None:
+        return self.tokens[self.at + ahead][1] if self.at + ahead < len(self.tokens) else None
+
+    def kind(self) -> str | None:
+        return self.tokens[self.at][0] if self.at < len(self.tokens) else None
+
+    def row(self, kind: str, unique_name: str, owner: str, scope: Scope | None) -> Row:
+        if scope is not None:
+            scope.add(kind)
+        return Row(kind, unique_name, owner, scope)
+
+    def comments(self, owner: str, scope: Scope | None) -> Iterator[Row]:
+        while self.kind() in COMMENT_TYPES:
             kind, text = self.tokens[self.at]
             self.at += 1
-            yield COMMENT_TYPES[kind], " ".join(text.split()), owner
+            yield self.row(COMMENT_TYPES[kind], " ".join(text.split()), owner, scope)
 
     def until(self, *stops: str) -> list[str]:
         """Words up to a stop sign outside brackets; the stop itself is not read."""
@@ -127,6 +180,8 @@ class Reader:
 
     def group(self) -> list[str]:
         """A bracketed group including its brackets."""
+        if self.peek() not in PAIRS:
+            raise SourceError("a bracket is missing")
         close = PAIRS[self.peek()]
         self.at += 1
         words = self.until(close)
@@ -136,7 +191,7 @@ class Reader:
     def annotation(self) -> str:
         words = ["@"]
         self.at += 1
-        while self.tokens[self.at][0] == "word" or self.peek() == ".":
+        while self.kind() == "word" or self.peek() == ".":
             words.append(self.peek())
             self.at += 1
             if self.peek() != "." and words[-1] != ".":
@@ -145,60 +200,77 @@ class Reader:
             words += ["(", *self.group(), ")"]
         return render(words)
 
-    def members(self, owner: str, type_name: str) -> Iterator[tuple]:
-        """Members of a type body, or the top level of a file when ``owner`` is empty."""
-        pending: list[tuple] = []
+    def members(self, owner: str, body: Body | None, scope: Scope | None) -> Step:
+        """Members of a type body, or the top level of a file when ``owner`` is empty.
+
+        Comments and annotations wait for the member they stand before.
+        """
+        pending: list[tuple[str, str]] = []
         while True:
-            pending += self.comments(owner)
+            while self.kind() in COMMENT_TYPES:
+                kind, text = self.tokens[self.at]
+                self.at += 1
+                pending.append((COMMENT_TYPES[kind], " ".join(text.split())))
             word = self.peek()
             if word is None or word == "}":
                 if (word is None) != (owner == ""):
                     raise SourceError("braces do not match")
-                yield from pending
+                yield self.waiting(pending, owner, scope)
                 return
             if word == ";":
                 self.at += 1
-            elif word == "@" and self.tokens[self.at + 1][1] != "interface":
-                pending.append(("ANNOTATION", self.annotation(), owner))
+            elif word == "@" and self.peek(1) != "interface":
+                pending.append(("ANNOTATION", self.annotation()))
             elif word == "{":
                 self.at += 1
-                yield from self.block(owner)
+                yield self.block(owner, scope)
             elif word in ("import", "package") and not owner:
                 self.until(";")
             else:
-                yield from self.member(owner, type_name, pending)
+                yield self.member(owner, body, pending, scope)
                 pending = []
 
-    def member(self, owner: str, type_name: str, pending: list[tuple]) -> Iterator[tuple]:
+    def waiting(self, pending: list[tuple[str, str]], owner: str, scope: Scope | None) -> Step:
+        for kind, text in pending:
+            yield self.row(kind, text, owner, scope)
+
+    def member(self, owner: str, body: Body | None, pending: list[tuple[str, str]], scope: Scope | None) -> Step:
         head = self.until("{", ";", "=", "(")
         while head and self.peek() == "(" and head[-1] == "@":
             head = head[:-1]
         types = [at for at, word in enumerate(head) if word in TYPE_WORDS]
         if types and types[0] + 1 < len(head) and not (head[types[0]] == "record" and self.peek() in "=;"):
-            yield from self.type_body(owner, head, types[0], pending)
+            yield self.type_body(owner, head, types[0], pending, scope)
+        elif not owner and "module" in head and self.peek() == "{":  # directives declare nothing that counts
+            yield self.waiting(pending, owner, scope)
+            self.group()
         elif self.peek() == "(":
-            yield from self.method(owner, head[-1], head[-1] == type_name, pending)
+            if not head:
+                raise SourceError("a name is missing")
+            yield self.method(owner, head[-1], body, pending, scope)
         elif self.peek() == "{":  # static initialiser
-            yield from pending
+            yield self.waiting(pending, owner, scope)
             self.at += 1
-            yield from self.block(owner)
+            yield self.block(owner, scope)
         else:
             words = head + self.until(";")
             self.at += 1
-            yield from pending
-            yield from self.fields(owner, words)
+            yield self.waiting(pending, owner, scope)
+            yield self.fields(owner, words, scope)
 
-    def fields(self, owner: str, words: list[str]) -> Iterator[tuple]:
+    def fields(self, owner: str, words: list[str], scope: Scope | None) -> Step:
         shown = None
         for part in split_commas(words):
             left = part[: part.index("=")] if "=" in part else part
             names = [at for at, word in enumerate(left) if NAME.match(word)]
+            if not names:
+                raise SourceError("a name is missing")
             if shown is None:
                 modifiers = {"public", "private", "protected", "static", "final", "transient", "volatile"}
                 shown = render_type([word for word in left[: names[-1]] if word not in modifiers])
-            yield "FIELD", f"{owner}.{left[names[-1]]} : {shown}", owner
+            yield self.row("FIELD", f"{owner}.{left[names[-1]]} : {shown}", owner, scope)
 
-    def type_body(self, owner: str, head: list[str], at: int, pending: list[tuple]) -> Iterator[tuple]:
+    def type_body(self, owner: str, head: list[str], at: int, pending: list[tuple[str, str]], scope: Scope | None) -> Step:
         name = head[at + 1]
         full = f"{owner}.{name}" if owner else name
         if self.peek() == "(":  # record header
@@ -207,125 +279,142 @@ class Reader:
         self.at += 1
         if head[at] == "enum":
             self.enum_constants()
-        inside = list(self.members(full, name))
+        body = Body(name)
+        yield self.waiting(pending, owner, scope)
+        yield self.members(full, body, scope)
         self.at += 1
-        has_constructor = any(row[0] == "METHOD" and row[3:] and row[3]["constructor"] for row in inside)
-        yield from pending
-        yield from inside
-        yield "CLASS", full, owner, {"nested": bool(owner), "kind": head[at], "constructor": has_constructor}
+        lacks = bool(owner) and head[at] == "class" and not body.constructor
+        yield self.row("CLASS", full, owner, scope)._replace(lacks_constructor=lacks)
 
     def enum_constants(self) -> None:
         self.until(";", "}")
         if self.peek() == ";":
             self.at += 1
 
-    def method(self, owner: str, name: str, constructor: bool, pending: list[tuple]) -> Iterator[tuple]:
-        kinds = []
-        for part in split_commas(self.group()):
-            kinds.append(render_type([word for word in part[:-1] if word != "final"]))
-        signature = f"{name}({','.join(kinds)})"
+    def method(self, owner: str, name: str, body: Body | None, pending: list[tuple[str, str]], scope: Scope | None) -> Step:
+        signature = f"{name}({','.join(parameter_type(part) for part in split_commas(self.group()))})"
         full = f"{owner}.{signature}"
+        if body is not None and name == body.name:
+            body.constructor = True
+        inner = scope or Scope(signature)  # a method of a local class belongs to the method around it
+        for kind, text in pending:
+            yield self.row(kind, text, full, scope)._replace(scope=inner)
         self.until("{", ";")
-        body = []
-        if self.peek() == "{":
-            self.at += 1
-            body = list(self.block(full))
-        else:
-            self.at += 1
-        steps = [row[0] for row in body if row[0] not in COMMENT_TYPES.values()]
-        extras = {
-            "method": signature,
-            "statements": len(steps),
-            "first": steps[0] if steps else None,
-            "constructor": constructor,
-        }
-        for kind, unique_name, *_ in pending:
-            yield kind, unique_name, full, extras
-        for kind, unique_name, inner, *_ in body:
-            yield kind, unique_name, inner, extras
-        yield "METHOD", full, owner, extras
-
-    def block(self, owner: str) -> Iterator[tuple]:
+        opens = self.peek() == "{"
+        self.at += 1
+        if opens:
+            yield self.block(full, inner)
+        yield self.row("METHOD", full, owner, scope)._replace(scope=inner)
+
+    def block(self, owner: str, scope: Scope | None) -> Step:
         while True:
-            yield from self.comments(owner)
+            yield from self.comments(owner, scope)
             if self.peek() is None:
                 raise SourceError("text ends inside a block")
             if self.peek() == "}":
                 self.at += 1
                 return
-            yield from self.statement(owner)
+            yield self.statement(owner, scope)
 
-    def statement(self, owner: str) -> Iterator[tuple]:
-        yield from self.comments(owner)
+    def statement(self, owner: str, scope: Scope | None) -> Step:
+        yield from self.comments(owner, scope)
         word = self.peek()
+        if word is None:
+            raise SourceError("text ends inside a block")
         if word == "{":
             self.at += 1
-            yield from self.block(owner)
+            yield self.block(owner, scope)
         elif word == ";":
             self.at += 1
         elif word == "@":
-            yield "ANNOTATION", self.annotation(), owner
+            yield self.row("ANNOTATION", self.annotation(), owner, scope)
         elif word in ("class", "interface", "enum"):
-            yield from self.member(owner, "", [])
+            yield self.member(owner, None, [], scope)
         elif word == "if":
             self.at += 1
             condition = render(self.group())
-            yield from self.statement(owner)
-            yield "THEN_STATEMENT", condition, owner
+            yield self.statement(owner, scope)
+            yield self.row("THEN_STATEMENT", condition, owner, scope)
             if self.peek() == "else":
                 self.at += 1
-                yield from self.statement(owner)
-                yield "ELSE_STATEMENT", condition, owner
-            yield "IF_STATEMENT", condition, owner
+                yield self.statement(owner, scope)
+                yield self.row("ELSE_STATEMENT", condition, owner, scope)
+            yield self.row("IF_STATEMENT", condition, owner, scope)
         elif word in BLOCK_TYPES:
             self.at += 1
             head = render(self.group()) if self.peek() == "(" else ""
             kind = "FOREACH_STATEMENT" if word == "for" and ":" in head and ";" not in head else BLOCK_TYPES[word]
-            yield from self.statement(owner)
+            yield self.statement(owner, scope)
             if word == "do":
                 head = render(self.until(";"))
                 self.at += 1
-            yield kind, head, owner
+            yield self.row(kind, head, owner, scope)
         elif word in ("case", "default"):
             words = self.until(":", "->")
             self.at += 1
-            yield "SWITCH_CASE", render(words), owner
-        elif self.tokens[self.at][0] == "word" and self.tokens[self.at + 1][1] == ":":  # label
+            yield self.row("SWITCH_CASE", render(words), owner, scope)
+        elif self.kind() == "word" and self.peek(1) == ":":  # label
             self.at += 2
         else:
             words = self.until(";")
             self.at += 1
-            yield from self.simple(words, owner)
-
-    def simple(self, words: list[str], owner: str) -> Iterator[tuple]:
-        shown = render(words) + ";"
-        outside = top_level(words)
-        assign = next((at for at in outside if words[at] in ASSIGN), None)
-        left = words[:assign] if assign is not None else words
-        names = [at for at in top_level(left) if NAME.match(left[at])]
-        declares = any(
-            second == first + 1 or left[second - 1] in ("]", ">") for first, second in zip(names, names[1:])
-        )
-        if words[0] in LEAD_TYPES:
-            yield LEAD_TYPES[words[0]], shown, owner
-        elif words[0] in ("this", "super") and words[1:2] == ["("]:
-            yield "CONSTRUCTOR_INVOCATION", shown, owner
-        elif words[0] == "new":
-            yield "CLASS_INSTANCE_CREATION", shown, owner
-        elif declares:
-            value = words[assign + 1 :] if assign is not None else []
-            if value and value[-1] == ")" and value[0] not in ("new", "(") and len(top_level(value)) > 0:
-                if all(CALL_PART.match(value[at]) for at in top_level(value)):
-                    yield "METHOD_INVOCATION", render(value) + ";", owner
-            yield "VARIABLE_DECLARATION_STATEMENT", shown, owner
-        elif assign is not None:
-            yield "ASSIGNMENT", shown, owner
-        elif words[0] in ("++", "--"):
-            yield "PREFIX_EXPRESSION", shown, owner
-        elif words[-1] in ("++", "--"):
-            yield "POSTFIX_EXPRESSION", shown, owner
-        else:
-            yield "METHOD_INVOCATION", shown, owner
+            for kind, shown in simple(words):
+                yield self.row(kind, shown, owner, scope)
+
+
+def parameter_type(words: list[str]) -> str:
+    """The type of one parameter: no annotations, no ``final``, brackets behind the name count."""
+    out, at = [], 0
+    while at < len(words):
+        if words[at] != "@":
+            out.append(words[at])
+            at += 1
+            continue
+        at += 2
+        while at + 1 < len(words) and words[at] == ".":
+            at += 2
+        if at < len(words) and words[at] == "(":
+            depth = 0
+            while at < len(words):
+                depth += (words[at] == "(") - (words[at] == ")")
+                at += 1
+                if depth == 0:
+                    break
+    out = [word for word in out if word != "final"]
+    behind = []
+    while out and out[-1] in ("[", "]"):
+        behind.insert(0, out.pop())
+    return render_type(out[:-1] + behind)
+
+
+def simple(words: list[str]) -> Iterator[tuple[str, str]]:
+    """Kinds and texts of a statement without a body."""
+    shown = render(words) + ";"
+    outside = top_level(words)
+    assign = next((at for at in outside if words[at] in ASSIGN), None)
+    left = words[:assign] if assign is not None else words
+    names = [at for at in top_level(left) if NAME.match(left[at])]
+    declares = any(second == first + 1 or left[second - 1] in ("]", ">") for first, second in zip(names, names[1:]))
+    if words[0] in LEAD_TYPES:
+        yield LEAD_TYPES[words[0]], shown
+    elif words[0] in ("this", "super") and words[1:2] == ["("]:
+        yield "CONSTRUCTOR_INVOCATION", shown
+    elif words[0] == "new":
+        yield "CLASS_INSTANCE_CREATION", shown
+    elif declares:
+        value = words[assign + 1 :] if assign is not None else []
+        if value and value[-1] == ")" and value[0] not in ("new", "(") and len(top_level(value)) > 0:
+            if all(CALL_PART.match(value[at]) for at in top_level(value)):
+                yield "METHOD_INVOCATION", render(value) + ";"
+        yield "VARIABLE_DECLARATION_STATEMENT", shown
+    elif assign is not None:
+        yield "ASSIGNMENT", shown
+    elif words[0] in ("++", "--"):
+        yield "PREFIX_EXPRESSION", shown
+    elif words[-1] in ("++", "--"):
+        yield "POSTFIX_EXPRESSION", shown
+    else:
+        yield "METHOD_INVOCATION", shown
 
 
 class Entity(NamedTuple):
@@ -343,10 +432,9 @@ class Entity(NamedTuple):
 
 def entities(text: str) -> list[Entity]:
     """The declarations and statements of one text, inner ones first."""
-    rows = []
-    for at, (kind, unique_name, owner, *extras) in enumerate(Reader(text).members("", "")):
-        more = extras[0] if extras else {}
-        lacks = kind == "CLASS" and more["nested"] and more["kind"] == "class" and not more["constructor"]
-        method = more.get("method"), more.get("statements"), more.get("first")
-        rows.append(Entity(at, kind, unique_name, owner, *method, lacks))
-    return rows
+    out = []
+    for at, row in enumerate(list(Reader(text).rows())):
+        scope = row.scope
+        method = (scope.signature, scope.statements, scope.first) if scope else (None, None, None)
+        out.append(Entity(at, row.kind, row.unique_name, row.owner, *method, row.lacks_constructor))
+    return out

@@ -88,8 +88,8 @@ def scan_texts(rows: DataFrame, keys: list[str], texts: dict[str, int]) -> DataF
         def scanned(text: str) -> tuple[str | None, list[tuple]]:
             try:
                 return None, java_source.entities(text)
-            except Exception as problem:  # one unreadable text must not stop the others
-                return str(problem) or type(problem).__name__, []
+            except java_source.SourceError as problem:  # one unreadable text must not stop the others
+                return str(problem), []
 
         nothing = (None,) * len(FIELDS)
         for batch in batches:
@@ -194,12 +194,12 @@ def diff_entities(found: DataFrame, keys: list[str] = PAIR) -> DataFrame:
 
     Equal entities cancel out by count. What is left of one owner and type is
     paired in text order: a deletion and an insertion make an update under the
-    old name. A group is part of one text, and all steps share one shuffle.
+    old name. Both sides of a file are read in one task, so equal entities cancel
+    before the shuffle and only what is left crosses it; a group is part of one text.
     """
     owner = [*keys, "owner", "entity_type"]
     left_over = (
         found.select(*owner, "unique_name", "side", "ordinal")
-        .repartition(*owner)
         .groupBy(*owner, "unique_name")
         .agg(F.sum("side").alias("n"), F.min("ordinal").alias("ordinal"))
         .where("n != 0")

@@ -132,17 +132,19 @@ def repository_branches(sightings: DataFrame) -> DataFrame:
     return sightings.select("repo_id", "branch").distinct()
 
 
-def first_sightings(sightings: DataFrame, order: str = "seq") -> DataFrame:
-    """The first record of every (repository, sha).
+def first_sightings(sightings: DataFrame, order: str = "seq", keys: tuple[str, ...] = ("repo_id", "sha1")) -> DataFrame:
+    """The first record of every key, by default (repository, sha).
 
-    ``min_by`` combines on the map side, so a commit seen very often costs no
+    A record without a place in the order comes last, and equal places are told
+    apart by the rest of the record, so the choice does not depend on the layout.
+    The least record combines on the map side: a commit seen very often costs no
     more than one partial row per task.
     """
-    keys = ["repo_id", "sha1"]
-    rest = [name for name in sightings.columns if name not in keys]
+    rest = [name for name in sightings.columns if name not in (*keys, order)]
+    record = F.struct(F.col(order).isNull().alias("_last"), order, *rest)
     return (
         sightings.groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), F.col(order)).alias("first"))
+        .agg(F.min(record).alias("first"))
         .select(*keys, "first.*")
         .select(*sightings.columns)
     )

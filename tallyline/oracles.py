@@ -18,10 +18,14 @@ STORE_LINES = {
     "urgent": "o_orderpriority = '1-URGENT'",
     "checked": "o_totalprice > 250000",
     "nested": "o_orderkey % 7 = 0",
+    "step1": "o_custkey % 4 >= 1",
+    "step2": "o_custkey % 4 >= 2",
+    "step3": "o_custkey % 4 >= 3",
 }
 # (condition, entity_type, unique_name, owner, method, statements, first statement, nested class without constructor)
 STORE_ENTITIES = [
     ("fixed", "FIELD", "'Store.name : String'", "Store", None, None, None, False),
+    ("fixed", "FIELD", "'Store.id' || o_orderkey || ' : int'", "Store", None, None, None, False),
     ("urgent", "FIELD", "'Store.extra : int'", "Store", None, None, None, False),
     ("fixed", "RETURN_STATEMENT", "'return name;'", "Store.getName()", "getName()", 1, "RETURN_STATEMENT", False),
     ("fixed", "METHOD", "'Store.getName()'", "Store", "getName()", 1, "RETURN_STATEMENT", False),
@@ -33,6 +37,12 @@ STORE_ENTITIES = [
     ("checked", "IF_STATEMENT", "'a < 0'", "Store.check(int)", "check(int)", 4, "THROW_STATEMENT", False),
     ("checked", "METHOD_INVOCATION", "'log(a);'", "Store.check(int)", "check(int)", 4, "THROW_STATEMENT", False),
     ("checked", "METHOD", "'Store.check(int)'", "Store", "check(int)", 4, "THROW_STATEMENT", False),
+    ("step1", "METHOD_INVOCATION", "'go(' || (o_orderkey + 1) || ');'", "Store.step1()", "step1()", 1, "METHOD_INVOCATION", False),
+    ("step1", "METHOD", "'Store.step1()'", "Store", "step1()", 1, "METHOD_INVOCATION", False),
+    ("step2", "METHOD_INVOCATION", "'go(' || (o_orderkey + 2) || ');'", "Store.step2()", "step2()", 1, "METHOD_INVOCATION", False),
+    ("step2", "METHOD", "'Store.step2()'", "Store", "step2()", 1, "METHOD_INVOCATION", False),
+    ("step3", "METHOD_INVOCATION", "'go(' || (o_orderkey + 3) || ');'", "Store.step3()", "step3()", 1, "METHOD_INVOCATION", False),
+    ("step3", "METHOD", "'Store.step3()'", "Store", "step3()", 1, "METHOD_INVOCATION", False),
     ("nested", "FIELD", "'Store.Part.size : int'", "Store.Part", None, None, None, False),
     ("nested", "CLASS", "'Store.Part'", "Store", None, None, None, True),
     ("fixed", "CLASS", "'Store'", "", None, None, None, False),
@@ -45,14 +55,14 @@ def _text(value: str | None) -> str:
 
 def _store_entities() -> str:
     parts = []
-    for condition, kind, name, owner, method, statements, first, lacks in STORE_ENTITIES:
+    for at, (condition, kind, name, owner, method, statements, first, lacks) in enumerate(STORE_ENTITIES):
         count = "CAST(NULL AS INT)" if statements is None else f"CAST({statements} AS INT)"
         parts.append(
-            f"SELECT o_orderkey AS k, o_orderkey % 25 AS repo_id, 'c' || o_orderkey AS sha1, "
+            f"SELECT o_orderkey AS k, {at} AS ordinal, o_orderkey % 25 AS repo_id, 'c' || o_orderkey AS sha1, "
             f"'src/m' || (o_orderkey % 25 % 4) || '/Store.java' AS filename, '{kind}' AS entity_type, "
             f"{name} AS unique_name, '{owner}' AS owner, {_text(method)} AS method, {count} AS method_statements, "
             f"{_text(first)} AS method_first, {lacks} AS lacks_constructor FROM orders "
-            f"WHERE o_orderkey % 10 <> 9 AND o_orderkey % 50 <> 7 AND {STORE_LINES[condition]}"
+            f"WHERE o_orderkey % 50 <> 7 AND {STORE_LINES[condition]}"
         )
     return " UNION ALL ".join(parts)
 
@@ -121,16 +131,17 @@ VIEWS = {
         AND NOT EXISTS (SELECT 1 FROM teams t WHERE t.repo_id = a.repo_id AND t.user_id = a.user_id)""",
     "mapping": """SELECT c_custkey AS old_user_id, c_custkey - c_custkey % 3 AS new_user_id FROM customer
         WHERE c_custkey % 3 <> 0""",
-    "raw": f"""SELECT o_orderkey % 25 AS repo_id, o_orderkey * 2 + b.pos AS seq, 'c' || o_orderkey AS sha1, b.branch,
+    "raw": f"""SELECT o_orderkey % 25 AS repo_id, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey * 2 + b.pos END AS seq, 'c' || o_orderkey AS sha1, b.branch,
         {NAME.format(k='who')} AS author_name,
         CASE WHEN o_custkey % 6 <> 0 THEN {EMAIL.format(k='who')} END AS author_email,
         CASE WHEN o_orderkey % 13 <> 0 THEN {NAME.format(k='o_custkey')} END AS committer_name,
         CASE WHEN o_orderkey % 13 <> 0 THEN {EMAIL.format(k='o_custkey')} END AS committer_email,
-        o_orderpriority || ' on ' || b.branch AS commit_message, o_orderdate AS commit_date,
-        o_orderkey, o_custkey
+        o_orderpriority || ' on ' || b.branch AS commit_message,
+        CASE WHEN o_orderkey % 19 <> 0 THEN o_orderdate END AS commit_date, o_orderkey, o_custkey
         FROM (SELECT *, CASE WHEN o_orderkey % 20 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS who FROM orders) o
         JOIN (VALUES (0, 'main'), (1, 'dev')) AS b(pos, branch) ON b.pos = 0 OR o_orderkey % 3 = 0""",
-    "first_raw": "SELECT * FROM raw WHERE seq % 2 = 0",
+    "first_raw": """SELECT * FROM raw
+        QUALIFY row_number() OVER (PARTITION BY repo_id, sha1 ORDER BY seq NULLS LAST, commit_message) = 1""",
     "raw_files": """SELECT repo_id, sha1, o_orderkey,
         'src/m' || ((o_orderkey + n) % 11) || '/File' || n || '.java' AS filename,
         (o_orderkey + n) % 4 AS lines_added, (o_custkey * n) % 3 AS lines_deleted,
@@ -162,8 +173,13 @@ VIEWS = {
         CASE WHEN n_nationkey % 4 = 1 THEN TIMESTAMP '1996-01-01 00:00:00' END AS start_date,
         CASE WHEN n_nationkey % 4 IN (1, 2) THEN TIMESTAMP '1999-12-31 00:00:00' END AS end_date
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "refused": """SELECT CAST(c_custkey AS INT) AS run_id, 'Supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS name,
+            CASE c_custkey % 50 WHEN 11 THEN 'exactMatch is missing' WHEN 21 THEN 'startDate is no instant: 2021-08-09'
+                ELSE 'endDate is no instant: 2021-13-45T00:00:00Z' END AS reason
+        FROM customer WHERE c_custkey % 50 IN (11, 21, 41)""",
     "all_matchers": """SELECT CAST(c_custkey AS INT) AS run_id, TRUE AS exact_match,
             'Supplier#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS name, c_custkey % 2 = 0 AS exclude_gui FROM customer
+        WHERE c_custkey % 50 NOT IN (11, 21, 41)
         UNION ALL SELECT -run_id - 1, FALSE, 'Supplier#' || lpad(CAST(run_id % 10 AS VARCHAR), 8, '0'), exclude_gui
             FROM matchers""",
     "matched": """SELECT m.run_id, r.repo_id, r.repository_name, m.exact_match, m.exclude_gui
@@ -182,18 +198,19 @@ VIEWS = {
     "pairs": """SELECT c.commit_id AS k, c.repo_id, c.sha1, c.commit_id - 25 AS old_k,
         'src/m' || (c.repo_id % 4) || '/Store.java' AS filename FROM covered c""",
     "readable": "SELECT * FROM pairs WHERE k % 50 <> 7 AND old_k % 50 <> 7",
-    "kept_entities": """SELECT k, entity_type, unique_name, owner FROM entities
-        WHERE method IS DISTINCT FROM 'getName()'
-        UNION ALL SELECT k, 'METHOD', 'Store.Part.Part()', 'Store.Part' FROM entities WHERE lacks_constructor
-        UNION ALL SELECT k, 'CONSTRUCTOR_INVOCATION', 'super();', 'Store.Part.Part()' FROM entities
-            WHERE lacks_constructor""",
-    "left_over": """SELECT *, row_number() OVER (PARTITION BY k, owner, entity_type, n > 0 ORDER BY unique_name) AS nth
-        FROM (SELECT k, entity_type, unique_name, owner, sum(side) AS n FROM (
-                SELECT p.k, e.entity_type, e.unique_name, e.owner, 1 AS side
+    "kept_entities": """SELECT k, ordinal, entity_type, unique_name, owner FROM entities
+        WHERE method IS DISTINCT FROM 'getName()' AND k % 10 <> 9
+        UNION ALL SELECT k, ordinal, 'METHOD', 'Store.Part.Part()', 'Store.Part' FROM entities
+            WHERE lacks_constructor AND k % 10 <> 9
+        UNION ALL SELECT k, ordinal, 'CONSTRUCTOR_INVOCATION', 'super();', 'Store.Part.Part()' FROM entities
+            WHERE lacks_constructor AND k % 10 <> 9""",
+    "left_over": """SELECT *, row_number() OVER (PARTITION BY k, owner, entity_type, n > 0 ORDER BY ordinal, unique_name) AS nth
+        FROM (SELECT k, entity_type, unique_name, owner, sum(side) AS n, min(ordinal) AS ordinal FROM (
+                SELECT p.k, e.ordinal, e.entity_type, e.unique_name, e.owner, 1 AS side
                     FROM readable p JOIN kept_entities e ON e.k = p.k
-                UNION ALL SELECT p.k, e.entity_type, e.unique_name, e.owner, -1
+                UNION ALL SELECT p.k, e.ordinal, e.entity_type, e.unique_name, e.owner, -1
                     FROM readable p JOIN kept_entities e ON e.k = p.old_k)
-            GROUP BY ALL HAVING sum(side) <> 0)""",
+            GROUP BY k, entity_type, unique_name, owner HAVING sum(side) <> 0)""",
     "text_changes": """SELECT p.k, p.repo_id, p.sha1, p.filename, d.entity_type, d.unique_name, d.owner AS parent_name,
         CASE WHEN o.k IS NOT NULL THEN 'UPDATE' WHEN d.n > 0 THEN 'INSERT' ELSE 'DELETE' END AS change_op
         FROM left_over d JOIN readable p ON p.k = d.k
@@ -204,12 +221,16 @@ VIEWS = {
 
 DISPLAY = "commit_date, lines_added, lines_removed, lines_changed, commit_message, url"
 STORE_TEXT = """'public class Store {' || chr(10) || '  private String name;' || chr(10)
+    || '  int id' || o_orderkey || ';' || chr(10)
     || CASE WHEN o_orderpriority = '1-URGENT' THEN '  protected int extra = 0;' || chr(10) ELSE '' END
     || '  public String getName() { return name; }' || chr(10) || '  public int total() {' || chr(10)
     || '    return ' || (o_custkey % 4) || ';' || chr(10) || '  }' || chr(10)
     || CASE WHEN o_totalprice > 250000 THEN '  /** Checks. */' || chr(10) || '  void check(int a) {' || chr(10)
         || '    if (a < 0) {' || chr(10) || '      throw new Error("low");' || chr(10) || '    }' || chr(10)
         || '    log(a);' || chr(10) || '  }' || chr(10) ELSE '' END
+    || CASE WHEN o_custkey % 4 >= 1 THEN '  void step1() {' || chr(10) || '    go(' || (o_orderkey + 1) || ');' || chr(10) || '  }' || chr(10) ELSE '' END
+    || CASE WHEN o_custkey % 4 >= 2 THEN '  void step2() {' || chr(10) || '    go(' || (o_orderkey + 2) || ');' || chr(10) || '  }' || chr(10) ELSE '' END
+    || CASE WHEN o_custkey % 4 >= 3 THEN '  void step3() {' || chr(10) || '    go(' || (o_orderkey + 3) || ');' || chr(10) || '  }' || chr(10) ELSE '' END
     || CASE WHEN o_orderkey % 7 = 0 THEN '  static class Part {' || chr(10) || '    int size;' || chr(10)
         || '  }' || chr(10) ELSE '' END
     || CASE WHEN o_orderkey % 50 = 7 THEN '  /* open' || chr(10) ELSE '' END || '}' || chr(10)"""
@@ -254,7 +275,8 @@ ORACLES = {
         {NAME.format(k='opened_by')} AS opened_by_name, {EMAIL.format(k='opened_by')} AS opened_by_email,
         CASE WHEN merged_by IS NOT NULL THEN {NAME.format(k='merged_by')} END AS merged_by_name,
         CASE WHEN merged_by IS NOT NULL THEN {EMAIL.format(k='merged_by')} END AS merged_by_email,
-        title || ' page ' || (SELECT min(turn) FROM conversations WHERE conv_id = number) AS title, body, url
+        title || ' page ' || (SELECT CASE WHEN number % 11 = 3 THEN min(CAST(turn AS VARCHAR)) ELSE CAST(min(turn) AS VARCHAR) END
+            FROM conversations WHERE conv_id = number) AS title, body, url
         FROM pull_requests""",
     "ingest_pr_comments": f"""SELECT conv_id % 25 AS repo_id, conv_id AS number,
         CASE WHEN turn % 2 = 0 THEN 'issue' ELSE 'review' END AS kind,
@@ -270,12 +292,13 @@ ORACLES = {
     "find_new_commits": """SELECT repo_id, sha1, commit_date FROM first_raw
         WHERE (repo_id, sha1) NOT IN (SELECT (repo_id, sha1) FROM stored)""",
     "find_new_pull_requests": """SELECT repo_id, number, title || ' page '
-        || (SELECT min(turn) FROM conversations WHERE conv_id = number) AS title
+        || (SELECT CASE WHEN number % 11 = 3 THEN min(CAST(turn AS VARCHAR)) ELSE CAST(min(turn) AS VARCHAR) END
+            FROM conversations WHERE conv_id = number) AS title
         FROM pull_requests WHERE merged_by IS NULL""",
     "commits_since_high_water_mark": """SELECT r.repo_id, r.seq, r.sha1, r.commit_date FROM raw r
-        LEFT JOIN marks m ON m.repo_id = r.repo_id WHERE m.mark IS NULL OR r.commit_date >= m.mark""",
+        LEFT JOIN marks m ON m.repo_id = r.repo_id WHERE m.mark IS NULL OR r.commit_date IS NULL OR r.commit_date >= m.mark""",
     "incremental_new_commits": """SELECT r.repo_id, r.sha1, r.seq, r.commit_date FROM first_raw r
-        LEFT JOIN marks m ON m.repo_id = r.repo_id WHERE (m.mark IS NULL OR r.commit_date >= m.mark)
+        LEFT JOIN marks m ON m.repo_id = r.repo_id WHERE (m.mark IS NULL OR r.commit_date IS NULL OR r.commit_date >= m.mark)
         AND (r.repo_id, r.sha1) NOT IN (SELECT (repo_id, sha1) FROM stored)""",
     "fetched_commits": """SELECT r.repo_id, r.sha1, a.user_id AS author_id, b.user_id AS committer_id, r.commit_date,
         CAST(coalesce((SELECT sum(lines_added) FROM raw_files f WHERE f.sha1 = r.sha1), 0) AS BIGINT) AS lines_added
@@ -283,7 +306,7 @@ ORACLES = {
         LEFT JOIN everyone a ON a.name = r.author_name
             AND a.email = coalesce(r.author_email, r.author_name || '@example.edu')
         LEFT JOIN everyone b ON b.name = r.committer_name AND b.email = r.committer_email
-        WHERE (m.mark IS NULL OR r.commit_date >= m.mark)
+        WHERE (m.mark IS NULL OR r.commit_date IS NULL OR r.commit_date >= m.mark)
         AND (r.repo_id, r.sha1) NOT IN (SELECT (repo_id, sha1) FROM stored)""",
     "fetched_comments": f"""SELECT conv_id % 25 AS repo_id, conv_id AS number,
         CASE WHEN turn % 2 = 0 THEN 'issue' ELSE 'review' END AS kind, e.user_id AS commenter_id, text AS comment
@@ -331,7 +354,7 @@ ORACLES = {
         max(branch) AS last_branch FROM sightings GROUP BY repo_id, sha1""",
     "repository_branches": "SELECT DISTINCT repo_id, branch FROM sightings",
     "dedupe_commits_first_seen": """SELECT repo_id, sha1, seq, commit_message, commit_date FROM raw
-        QUALIFY row_number() OVER (PARTITION BY repo_id, sha1 ORDER BY seq) = 1""",
+        QUALIFY row_number() OVER (PARTITION BY repo_id, sha1 ORDER BY seq NULLS LAST, commit_message) = 1""",
     "latest_commit_per_repo": """SELECT repo_id, commit_id, sha1, commit_date FROM commits
         QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY commit_date DESC, sha1 DESC) = 1""",
     "commits_newest_first": "SELECT repo_id, sha1, commit_date FROM commits ORDER BY commit_date DESC, repo_id, sha1",
@@ -452,10 +475,11 @@ ORACLES = {
     "match_batch_repositories": "SELECT * FROM matched",
     "unmatched_exact_matchers": "SELECT * FROM unmatched",
     "batch_report": """SELECT run_id, repository_name, 'succeeded' AS status, NULL AS reason FROM matched
-        UNION ALL SELECT run_id, name, 'failed', 'Repository not found' FROM unmatched""",
+        UNION ALL SELECT run_id, name, 'failed', 'Repository not found' FROM unmatched
+        UNION ALL SELECT run_id, name, 'failed', reason FROM refused""",
     "batch_report_counts": """SELECT status, count(*) AS n_runs, count(DISTINCT name) AS n_repositories
         FROM (SELECT 'succeeded' AS status, repository_name AS name FROM matched
-            UNION ALL SELECT 'failed', name FROM unmatched) GROUP BY status""",
+            UNION ALL SELECT 'failed', name FROM unmatched UNION ALL SELECT 'failed', name FROM refused) GROUP BY status""",
     "batch_user_percent": """WITH s AS (SELECT r.run_id, r.repo_id, r.user_id,
             CAST(sum(coalesce(j.score, 0)) AS BIGINT) AS score
             FROM run_commits r JOIN users u ON u.user_id = r.user_id AND NOT u.excluded

@@ -13,6 +13,24 @@ GROUP = ("run_id", "repo_id")
 NOT_FOUND = "Repository not found"
 
 
+def problem() -> Column:
+    """Why a matcher cannot run, or NULL. A window is meant as soon as both of its ends have a text."""
+
+    def bad(date: str) -> Column:
+        return F.col(date).isNotNull() & _instant(date).isNull()
+
+    return (
+        F.when(F.col("exact_match").isNull(), "exactMatch is missing")
+        .when(F.col("name").isNull(), "name is missing")
+        .when(bad("start_date"), F.concat(F.lit("startDate is no instant: "), F.col("start_date")))
+        .when(bad("end_date"), F.concat(F.lit("endDate is no instant: "), F.col("end_date")))
+    )
+
+
+def runnable(matchers: DataFrame) -> DataFrame:
+    return matchers.where(problem().isNull())
+
+
 def match_repositories(matchers: DataFrame, repositories: DataFrame) -> DataFrame:
     """Every matcher with each repository it selects; a repository may match several.
 
@@ -20,6 +38,7 @@ def match_repositories(matchers: DataFrame, repositories: DataFrame) -> DataFram
     prefixes of the lengths that occur, so no matcher is compared with every
     repository. There are no more lengths than a name has characters.
     """
+    matchers = runnable(matchers)
     exact = matchers.where("exact_match").join(
         repositories.select("repo_id", "repository_name", "organisation_name"),
         (F.col("name") == F.col("repository_name")) & (F.col("organisation") == F.col("organisation_name")),
@@ -45,7 +64,7 @@ def unmatched_exact(matchers: DataFrame, repositories: DataFrame) -> DataFrame:
     known = repositories.select(
         F.col("repository_name").alias("name"), F.col("organisation_name").alias("organisation")
     )
-    return matchers.where("exact_match").join(known, ["name", "organisation"], "left_anti")
+    return runnable(matchers).where("exact_match").join(known, ["name", "organisation"], "left_anti")
 
 
 def _instant(text: str) -> Column:
@@ -92,7 +111,11 @@ def report(matchers: DataFrame, repositories: DataFrame) -> DataFrame:
         F.lit("failed").alias("status"),
         F.lit(NOT_FOUND).alias("reason"),
     )
-    return done.unionByName(failed)
+    reason = problem()
+    refused = matchers.where(reason.isNotNull()).select(
+        "run_id", F.col("name").alias("repository_name"), F.lit("failed").alias("status"), reason.alias("reason")
+    )
+    return done.unionByName(failed).unionByName(refused)
 
 
 def report_counts(rows: DataFrame) -> DataFrame:

@@ -19,15 +19,16 @@ from ..sources import feeds
 def since_high_water_mark(feed: DataFrame, stored: DataFrame, all_history: bool = False) -> DataFrame:
     """Commits of the feed that are not older than the newest stored commit of their repository.
 
-    A repository without stored commits takes everything. The mark itself is
-    included, so the result overlaps with what is stored.
+    A repository without stored commits takes everything, and a commit without a
+    date is always taken. The mark itself is included, so the result overlaps with
+    what is stored.
     """
     if all_history:
         return feed
     marks = stored.groupBy("repo_id").agg(F.max("commit_date").alias("_mark"))
     return (
         join_one(feed, marks, ["repo_id"], ["sha1"], "left")
-        .where(F.col("_mark").isNull() | (F.col("commit_date") >= F.col("_mark")))
+        .where(F.col("_mark").isNull() | F.col("commit_date").isNull() | (F.col("commit_date") >= F.col("_mark")))
         .drop("_mark")
     )
 

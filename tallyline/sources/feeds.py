@@ -16,6 +16,19 @@ def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def stream_files(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stream of a Parquet table, whether it is one file or a folder of part files.
+
+    A stream lists folders only, so a single file is listed in its folder by name.
+    """
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(schema)
+    if files.getFileStatus(location).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", location.getName()).parquet(location.getParent().toString())
+
+
 def parse_json(lines: DataFrame, schema: StructType, column: str = "value") -> DataFrame:
     """The same from a column of JSON text, as a message source delivers it."""
     return lines.select(F.from_json(column, schema).alias("record")).select("record.*")
@@ -145,9 +158,7 @@ def ingest_pull_requests(raw: DataFrame) -> DataFrame:
         "body",
         "url",
     )
-    rest = [name for name in rows.columns if name not in ("repo_id", "number")]
-    first = F.min_by(F.struct(*rest), F.col("page")).alias("first")
-    return rows.groupBy("repo_id", "number").agg(first).select("repo_id", "number", "first.*").drop("page")
+    return commit_ops.first_sightings(rows, "page", ("repo_id", "number")).drop("page")
 
 
 def ingest_pr_comments(raw: DataFrame) -> DataFrame:

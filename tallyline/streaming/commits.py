@@ -7,41 +7,57 @@ or a watermark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..operators import commits as commit_ops
 from ..sources import feeds
 
 
+BUCKETS = 64  # folders that a batch's commits are dealt to, by the hash of their key
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("repo_id", "sha1"), F.lit(BUCKETS)).cast("int")
+
+
 def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """What earlier batches wrote."""
-    known = StructType([*schema.fields, StructField("batch_id", LongType())])
+    known = StructType([*schema.fields, StructField("batch_id", LongType()), StructField("bucket", IntegerType())])
     return spark.read.schema(known).parquet(path)
 
 
+def earlier_keys(spark: SparkSession, store: str, schema: StructType, batch_id: int, buckets: list[int]) -> DataFrame:
+    """Keys that batches before this one stored in the given buckets; other folders are not opened."""
+    rows = _stored(spark, store, schema).where((F.col("batch_id") < batch_id) & F.col("bucket").isin(buckets))
+    return rows.select("repo_id", "sha1")
+
+
 def stream_ingest_commits(feed: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Appends each unseen (repo_id, sha1) of a streaming feed to a table at ``store``.
 
     Each batch writes a folder of its own and never looks at that folder, so a
     batch that is run again after a failure replaces what it wrote and decides
-    the same way. The feed has a ``seq`` column; the lowest wins within a batch.
+    the same way. The table is dealt to buckets by key, and a batch reads only
+    those its own keys fall into. The feed has a ``seq`` column; the lowest wins
+    within a batch.
     """
     schema = feed.schema
     # Batch -1 makes the table exist; commits stored before the stream began go there.
-    feed.sparkSession.createDataFrame([], schema).write.mode("ignore").parquet(f"{store}/batch_id=-1")
+    feed.sparkSession.createDataFrame([], schema).write.mode("ignore").parquet(f"{store}/batch_id=-1/bucket=0")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = commit_ops.first_sightings(batch)
         keys = ["repo_id", "sha1"]
+        met = [row.bucket for row in batch.select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS at most
         # The table grows and the batch does not, so the batch goes to the table.
-        earlier = _stored(spark, store, schema).where(F.col("batch_id") < batch_id).select(*keys)
+        earlier = earlier_keys(spark, store, schema, batch_id, met)
         repeats = earlier.join(fresh.select(*keys), keys, "left_semi")
-        fresh = feeds.find_new_commits(fresh, repeats)
-        fresh.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        fresh = feeds.find_new_commits(fresh, repeats).withColumn("bucket", _bucket())
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch_id={batch_id}")
 
     return (
         feed.writeStream.foreachBatch(write)

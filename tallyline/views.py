@@ -250,13 +250,13 @@ class Tables:
         branches = F.when(key % 3 == 0, F.array(F.lit("main"), F.lit("dev"))).otherwise(F.array(F.lit("main")))
         record = F.struct(
             "repo_id",
-            (key * 2 + F.col("at")).alias("seq"),
+            F.when(key % 17 != 0, key * 2 + F.col("at")).alias("seq"),
             F.col("sha1").alias("sha"),
             F.col("branch"),
             _person(who, author % 6 == 0).alias("author"),
             F.when(key % 13 != 0, _person(author, F.lit(False))).alias("committer"),
             F.concat(F.col("o_orderpriority"), F.lit(" on "), F.col("branch")).alias("message"),
-            _iso(F.col("o_orderdate")).alias("date"),
+            F.when(key % 19 != 0, _iso(F.col("o_orderdate"))).alias("date"),
             "parents",
             "url",
             F.coalesce(files, F.array()).alias("files"),
@@ -280,7 +280,7 @@ class Tables:
         record = F.struct(
             (conv % 25).alias("repo_id"),
             conv.alias("number"),
-            turn.alias("page"),
+            F.when(conv % 11 != 3, turn).alias("page"),
             F.when(conv % 3 == 0, "open").otherwise("closed").alias("state"),
             _person(conv % 150, F.lit(False)).alias("user"),
             F.when(conv % 3 != 0, _person((conv + 1) % 150, F.lit(False))).alias("merged_by"),
@@ -299,11 +299,15 @@ class Tables:
     def file_revisions(self) -> DataFrame:
         """One Java file per repository, whose text at each commit follows from the commit's row.
 
-        Every tenth commit has lost the file, and some texts are broken.
+        Every text has members of its own, and some texts are broken.
         """
         key, author = F.col("o_orderkey"), F.col("o_custkey")
+        step = lambda n: F.concat(
+            F.lit("  void step"), n.cast("string"), F.lit("() {\n    go("), (key + n).cast("string"), F.lit(");\n  }\n")
+        )
+        steps = F.transform(F.filter(F.sequence(F.lit(1), F.lit(3)), lambda n: n <= author % 4), step)
         text = F.concat(
-            F.lit("public class Store {\n  private String name;\n"),
+            F.lit("public class Store {\n  private String name;\n  int id"), key.cast("string"), F.lit(";\n"),
             F.when(F.col("o_orderpriority") == "1-URGENT", "  protected int extra = 0;\n").otherwise(""),
             F.lit("  public String getName() { return name; }\n"),
             F.lit("  public int total() {\n    return "), (author % 4).cast("string"), F.lit(";\n  }\n"),
@@ -311,13 +315,17 @@ class Tables:
                 F.col("o_totalprice") > 250000,
                 "  /** Checks. */\n  void check(int a) {\n    if (a < 0) {\n      throw new Error(\"low\");\n    }\n    log(a);\n  }\n",
             ).otherwise(""),
+            F.array_join(steps, ""),
             F.when(key % 7 == 0, "  static class Part {\n    int size;\n  }\n").otherwise(""),
             F.when(key % 50 == 7, "  /* open\n").otherwise(""),
             F.lit("}\n"),
         )
-        return self._orders.where(key % 10 != 9).select(
-            "repo_id", "sha1", self._store_path().alias("filename"), text.alias("text")
-        )
+        return self._orders.select("repo_id", "sha1", self._store_path().alias("filename"), text.alias("text"))
+
+    @cached_property
+    def kept_revisions(self) -> DataFrame:
+        """The same where every tenth commit has lost the file."""
+        return self.file_revisions.where(F.substring("sha1", -1, 1) != "9")
 
     @cached_property
     def store_files(self) -> DataFrame:

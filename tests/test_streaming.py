@@ -3,7 +3,8 @@ from datetime import datetime
 from conftest import values
 
 from tallyline.plans import fetch
-from tallyline.streaming.commits import drop_repeats, stream_ingest_commits
+from tallyline.sources.feeds import stream_files
+from tallyline.streaming.commits import drop_repeats, earlier_keys, stream_ingest_commits
 
 FEED = "repo_id long, sha1 string, seq long, commit_date timestamp_ntz"
 
@@ -48,6 +49,29 @@ def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
     assert values(run(spark, path, tmp_path).select("repo_id", "sha1")) == [(1, "a")]
 
 
+def test_a_batch_opens_only_the_buckets_of_its_keys(spark, tmp_path):
+    path = str(tmp_path / "feed")
+    write(spark, path, [(n, f"s{n}", n, datetime(2021, 1, 1)) for n in range(200)])
+    stored = run(spark, path, tmp_path)
+    assert stored.select("bucket").distinct().count() > 30
+    keys = earlier_keys(spark, str(tmp_path / "store"), stored.drop("batch_id", "bucket").schema, 9, [3, 5])
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert values(keys) == values(stored.where("bucket in (3, 5)").select("repo_id", "sha1"))
+
+
+def test_a_table_is_one_file_or_a_folder_of_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(n, f"s{n}", n, datetime(2021, 1, 1)) for n in range(30)], FEED)
+    rows.repartition(3).write.parquet(str(tmp_path / "a" / "parts.parquet"))
+    (tmp_path / "b").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "b" / "single.parquet", coerce_timestamps="us")
+    for folder, name in (("a", "parts.parquet"), ("b", "single.parquet")):
+        feed = stream_files(spark, str(tmp_path / folder / name), rows.schema)
+        store = str(tmp_path / f"store-{name}")
+        stream_ingest_commits(feed, store, str(tmp_path / f"checkpoint-{name}")).awaitTermination()
+        assert values(spark.read.parquet(store).select("sha1")) == sorted((f"s{n}",) for n in range(30))
+
+
 def test_repeats_within_a_delay(spark, tmp_path):
     path = str(tmp_path / "feed")
     write(spark, path, [(1, "a", 1, datetime(2021, 1, 1)), (1, "a", 2, datetime(2021, 1, 1)), (1, "b", 3, datetime(2021, 1, 1))])
