@@ -107,13 +107,13 @@ class _Tile:
                 rows, cols = np.nonzero(np.bitwise_count(mine[:, None] ^ yours[None, :]) <= self.radius)
                 if not len(rows):
                     continue
-                # each column joins its first row, and each row of a column joins that column's first row
+                # each column joins its first row; each row joins one column of every first row it shares columns with
                 met, at = np.unique(cols, return_index=True)
                 first = np.zeros(len(yours), np.int64)
                 first[met] = rows[at]
-                low, row = np.divmod(np.unique(first[cols] * self.step + rows), self.step)
+                shared, at = np.unique(first[cols] * self.step + rows, return_index=True)
                 out += self._join(mine[first[met]], yours[met])
-                out += self._join(mine[low], mine[row])
+                out += self._join(mine[shared % self.step], yours[cols[at]])
         return out
 
     def _root(self, x: int) -> int:
