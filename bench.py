@@ -33,6 +33,13 @@ HEADLINE = [
     "diff_entities",
     "score_percent_from_texts",
     "summary_json",
+    "report_pages",
+    "batch_documents",
+    "stream_ingest_commits",
+    "fetched_commits",
+    "fetched_line_totals",
+    "extract_entities",
+    "window_score_percent",
 ]
 
 

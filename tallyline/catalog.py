@@ -186,6 +186,29 @@ def fetched_commits(t: Tables) -> DataFrame:
     return _fetch(t)["commits"].select("repo_id", "sha1", "author_id", "committer_id", "commit_date", "lines_added")
 
 
+@query
+def fetched_refused(t: Tables) -> DataFrame:
+    """Commits that a fetch does not store, and why."""
+    return _fetch(t)["refused"]
+
+
+@query
+def fetched_line_totals(t: Tables) -> DataFrame:
+    """From the feed to a result: totals of the files a fetch stored, per commit it stored."""
+    tables = _fetch(t)
+    totals = commits.line_totals(tables["commits"], tables["commit_files"])
+    return tables["commits"].select("commit_id", "repo_id", "sha1").join(totals, "commit_id").drop("commit_id")
+
+
+@query
+def fetched_members(t: Tables) -> DataFrame:
+    """Who works on the repositories, by what a fetch stored."""
+    tables = _fetch(t)
+    comments = tables["pr_comments"].select("pr_id", "commenter_id")
+    people = t.users.unionByName(tables["users"])
+    return members.repository_members(tables["commits"], tables["pull_requests"], comments, people)
+
+
 @query
 def fetched_comments(t: Tables) -> DataFrame:
     return _fetch(t)["pr_comments"].select("repo_id", "number", "kind", "commenter_id", "comment")
@@ -680,6 +703,11 @@ def batch_file_shares(t: Tables) -> DataFrame:
     return batch.file_shares(matched, t.commits, t.changes)
 
 
+@query
+def batch_documents(t: Tables) -> DataFrame:
+    return batch.documents(batch.match_repositories(t.matchers, t.repositories), t.commits, t.changes, t.users)
+
+
 @query
 def summary_json(t: Tables) -> DataFrame:
     return contributions.documents(t.repositories, t.commits, t.changes, t.users)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .spread import join_one
 
-NO_TEAM = "A matching team could not be found"
+NO_TEAM = "no team is known"
 
 
 def repository_members(
@@ -47,9 +47,9 @@ def users_outside_team(commits: DataFrame, teams: DataFrame, users: DataFrame) -
 def repositories_without_team(repositories: DataFrame, teams: DataFrame) -> DataFrame:
     """Repositories whose members cannot be checked, with the reason."""
     reason = F.concat(
-        F.lit("Error occurred while checking for duplicate members on repository "),
+        F.lit("Members of "),
         "repository_name",
-        F.lit(": " + NO_TEAM),
+        F.lit(" were not checked: " + NO_TEAM),
     )
     return repositories.join(teams.select("repo_id").distinct(), "repo_id", "left_anti").select(
         "repo_id", "repository_name", reason.alias("reason")

@@ -76,6 +76,15 @@ def _present(names: Sequence[str]) -> Column:
     return reduce(Column.__and__, (F.col(name).isNotNull() for name in names))
 
 
+def of_commits(changes: DataFrame, commits: DataFrame) -> DataFrame:
+    """Changes of the given commits only, for a selection of them, such as a window, that leaves much out.
+
+    Without a selection the aggregation per commit comes first: it combines on the
+    map side, and only then do the commits drop what they do not cover.
+    """
+    return changes.join(commits.select("commit_id").distinct(), "commit_id", "left_semi")
+
+
 def file_change_scores(changes: DataFrame) -> DataFrame:
     """Score and number of credited changes per commit and file; 0 where only deletions occur."""
     return _per_commit(changes, "filename").select("commit_id", "filename", "score", "n_changes")

@@ -34,14 +34,6 @@ def excluded(users: DataFrame) -> DataFrame:
     return users.where("excluded")
 
 
-def by_name_and_email(users: DataFrame, name: str, email: str | None) -> DataFrame:
-    return users.where((F.col("name") == name) & F.col("email").eqNullSafe(F.lit(email).cast("string")))
-
-
-def by_name(users: DataFrame, name: str) -> DataFrame:
-    return users.where(F.col("name") == name)
-
-
 def matching_identities(users: DataFrame, wanted: DataFrame) -> DataFrame:
     """Users whose (name, email) is asked for; a missing email equals a missing email."""
     w = wanted.select(F.col("name").alias("_name"), F.col("email").alias("_email"))

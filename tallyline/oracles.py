@@ -136,7 +136,7 @@ VIEWS = {
         CASE WHEN o_custkey % 6 <> 0 THEN {EMAIL.format(k='who')} END AS author_email,
         CASE WHEN o_orderkey % 13 <> 0 THEN {NAME.format(k='o_custkey')} END AS committer_name,
         CASE WHEN o_orderkey % 13 <> 0 THEN {EMAIL.format(k='o_custkey')} END AS committer_email,
-        o_orderpriority || ' on ' || b.branch AS commit_message,
+        CASE WHEN o_orderkey % 41 <> 0 THEN o_orderpriority || ' on ' || b.branch END AS commit_message,
         CASE WHEN o_orderkey % 19 <> 0 THEN o_orderdate END AS commit_date, o_orderkey, o_custkey
         FROM (SELECT *, CASE WHEN o_orderkey % 20 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS who FROM orders) o
         JOIN (VALUES (0, 'main'), (1, 'dev')) AS b(pos, branch) ON b.pos = 0 OR o_orderkey % 3 = 0""",
@@ -167,6 +167,14 @@ VIEWS = {
         UNION ALL SELECT user_id, name, email FROM added_users""",
     "stored": "SELECT * FROM commits WHERE commit_date <= TIMESTAMP '1999-06-30 00:00:00'",
     "marks": "SELECT repo_id, max(commit_date) AS mark FROM stored GROUP BY repo_id",
+    "fetched": """SELECT r.repo_id, r.sha1, a.user_id AS author_id, b.user_id AS committer_id, r.commit_date, r.commit_message,
+        CAST(coalesce((SELECT sum(lines_added) FROM raw_files f WHERE f.sha1 = r.sha1), 0) AS BIGINT) AS lines_added
+        FROM first_raw r LEFT JOIN marks m ON m.repo_id = r.repo_id
+        LEFT JOIN everyone a ON a.name = r.author_name
+            AND a.email = coalesce(r.author_email, r.author_name || '@example.edu')
+        LEFT JOIN everyone b ON b.name = r.committer_name AND b.email = r.committer_email
+        WHERE (m.mark IS NULL OR r.commit_date IS NULL OR r.commit_date >= m.mark)
+        AND (r.repo_id, r.sha1) NOT IN (SELECT (repo_id, sha1) FROM stored)""",
     "matchers": """SELECT n_nationkey AS run_id, r_name AS organisation, n_nationkey % 3 <> 0 AS exact_match,
         CASE WHEN n_nationkey % 3 = 0 THEN substr(n_name, 1, 8) WHEN n_nationkey % 11 = 10 THEN 'OLD_' || n_name
             ELSE n_name END AS name, n_nationkey % 2 = 0 AS exclude_gui,
@@ -300,14 +308,24 @@ ORACLES = {
     "incremental_new_commits": """SELECT r.repo_id, r.sha1, r.seq, r.commit_date FROM first_raw r
         LEFT JOIN marks m ON m.repo_id = r.repo_id WHERE (m.mark IS NULL OR r.commit_date IS NULL OR r.commit_date >= m.mark)
         AND (r.repo_id, r.sha1) NOT IN (SELECT (repo_id, sha1) FROM stored)""",
-    "fetched_commits": """SELECT r.repo_id, r.sha1, a.user_id AS author_id, b.user_id AS committer_id, r.commit_date,
-        CAST(coalesce((SELECT sum(lines_added) FROM raw_files f WHERE f.sha1 = r.sha1), 0) AS BIGINT) AS lines_added
-        FROM first_raw r LEFT JOIN marks m ON m.repo_id = r.repo_id
-        LEFT JOIN everyone a ON a.name = r.author_name
-            AND a.email = coalesce(r.author_email, r.author_name || '@example.edu')
-        LEFT JOIN everyone b ON b.name = r.committer_name AND b.email = r.committer_email
-        WHERE (m.mark IS NULL OR r.commit_date IS NULL OR r.commit_date >= m.mark)
-        AND (r.repo_id, r.sha1) NOT IN (SELECT (repo_id, sha1) FROM stored)""",
+    "fetched_commits": """SELECT repo_id, sha1, author_id, committer_id, commit_date, lines_added FROM fetched
+        WHERE commit_message IS NOT NULL""",
+    "fetched_refused": "SELECT repo_id, sha1, 'no message' AS problem FROM fetched WHERE commit_message IS NULL",
+    "fetched_line_totals": """SELECT f.repo_id, f.sha1, CAST(coalesce(sum(r.lines_added), 0) AS BIGINT) AS lines_added,
+            CAST(coalesce(sum(r.lines_deleted), 0) AS BIGINT) AS lines_removed,
+            CAST(coalesce(sum(r.lines_changed), 0) AS BIGINT) AS lines_changed,
+            count(*) FILTER (r.lines_added <> 0 OR r.lines_deleted <> 0 OR r.lines_changed <> 0) AS files_changed
+        FROM fetched f LEFT JOIN raw_files r ON r.sha1 = f.sha1 WHERE f.commit_message IS NOT NULL GROUP BY f.repo_id, f.sha1""",
+    "fetched_members": f"""WITH somebody AS (
+            SELECT repo_id, author_id AS user_id FROM fetched WHERE commit_message IS NOT NULL
+            UNION SELECT p.repo_id, e.user_id FROM pull_requests p JOIN everyone e
+                ON e.name = {NAME.format(k='opened_by')} AND e.email = {EMAIL.format(k='opened_by')} WHERE p.merged_by IS NULL
+            UNION SELECT c.conv_id % 25, e.user_id FROM conversations c JOIN everyone e
+                ON e.name = {NAME.format(k='((conv_id + turn) % 150)')}
+                AND e.email = CASE WHEN conv_id % 6 <> 0 THEN {EMAIL.format(k='((conv_id + turn) % 150)')}
+                    ELSE {NAME.format(k='((conv_id + turn) % 150)')} || '@example.edu' END WHERE conv_id % 3 = 0)
+        SELECT s.repo_id, u.user_id, u.name, u.email FROM somebody s JOIN (SELECT user_id, name, email, excluded FROM users
+            UNION ALL SELECT user_id, name, email, excluded FROM added_users) u ON u.user_id = s.user_id AND NOT u.excluded""",
     "fetched_comments": f"""SELECT conv_id % 25 AS repo_id, conv_id AS number,
         CASE WHEN turn % 2 = 0 THEN 'issue' ELSE 'review' END AS kind, e.user_id AS commenter_id, text AS comment
         FROM conversations LEFT JOIN everyone e ON e.name = {NAME.format(k='((conv_id + turn) % 150)')}
@@ -413,8 +431,7 @@ ORACLES = {
         JOIN users u ON u.user_id = m.user_id WHERE NOT u.excluded""",
     "users_outside_team": "SELECT * FROM outside",
     "repos_without_team": """SELECT repo_id, repository_name,
-        'Error occurred while checking for duplicate members on repository ' || repository_name
-            || ': A matching team could not be found' AS reason
+        'Members of ' || repository_name || ' were not checked: no team is known' AS reason
         FROM repositories WHERE repo_id NOT IN (SELECT repo_id FROM teams)""",
     "repos_with_duplicate_users": """SELECT repo_id, repository_name FROM repositories
         WHERE repo_id IN (SELECT repo_id FROM outside)""",
@@ -423,8 +440,7 @@ ORACLES = {
         UNION ALL SELECT 'duplicate users', repository_name, NULL FROM repositories
             WHERE repo_id IN (SELECT repo_id FROM outside)
         UNION ALL SELECT 'unable to check', repository_name,
-            'Error occurred while checking for duplicate members on repository ' || repository_name
-                || ': A matching team could not be found'
+            'Members of ' || repository_name || ' were not checked: no team is known'
             FROM repositories WHERE repo_id NOT IN (SELECT repo_id FROM teams)""",
     "filter_deletions": "SELECT commit_id, filename, change_op, entity_type FROM changes WHERE change_op <> 'DELETE'",
     "score_changes": "SELECT commit_id, filename, change_op, entity_type, score FROM scored",

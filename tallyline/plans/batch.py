@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import commits as commit_ops
 from ..operators import scoring
+from ..sources import pages
 
 GROUP = ("run_id", "repo_id")
 NOT_FOUND = "Repository not found"
@@ -88,13 +89,25 @@ def run_commits(matched: DataFrame, commits: DataFrame) -> DataFrame:
 def user_percent(matched: DataFrame, commits: DataFrame, changes: DataFrame, users: DataFrame) -> DataFrame:
     """Score and percentage of every user in every run and repository."""
     source = scoring.analysable_changes(changes, exclude_gui=False)
-    scores = scoring.user_scores(run_commits(matched, commits), source, GROUP)
+    covered = run_commits(matched, commits)
+    scores = scoring.user_scores(covered, scoring.of_commits(source, covered), GROUP)
     return scoring.score_percent(scores, users, GROUP)
 
 
 def file_shares(matched: DataFrame, commits: DataFrame, changes: DataFrame) -> DataFrame:
     source = scoring.analysable_changes(changes, exclude_gui=False)
-    return scoring.file_user_shares(run_commits(matched, commits), source, GROUP)
+    covered = run_commits(matched, commits)
+    return scoring.file_user_shares(covered, scoring.of_commits(source, covered), GROUP)
+
+
+def documents(
+    matched: DataFrame, commits: DataFrame, changes: DataFrame, users: DataFrame
+) -> DataFrame:
+    """The JSON document of every run and repository, as sortable lines."""
+    covered = run_commits(matched, commits)
+    source = scoring.of_commits(scoring.analysable_changes(changes, exclude_gui=False), covered)
+    named = matched.select(*GROUP, "repository_name", "start_date", "end_date")
+    return pages.summary_lines(named, covered, source, users, GROUP)
 
 
 def report(matchers: DataFrame, repositories: DataFrame) -> DataFrame:

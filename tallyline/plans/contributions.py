@@ -41,6 +41,8 @@ def summary(
     """All result tables of a summary; each is a plan over all repositories at once."""
     covered = covered_commits(commits, start, end)
     source = scoring.analysable_changes(changes, exclude_gui)
+    if start is not None and end is not None:
+        source = scoring.of_commits(source, covered)
     percents = scoring.score_percent(scoring.user_scores(covered, source), users)
     per_file = scoring.file_scores(covered, source).drop("n_changes")
     return {

@@ -6,7 +6,7 @@ caller, one snapshot per fetch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import commits as commit_ops
@@ -49,14 +49,28 @@ def fetch(
     teams: DataFrame,
     domain: str,
     weak: bool = False,
+    raw_repositories: DataFrame | None = None,
+    prefix: str = "",
+    now: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Everything one fetch adds to the stored tables, and its report."""
+    """Everything one fetch adds to the stored tables, and its report.
+
+    Ids are hashes of what tells rows apart (repository and sha, file name, pull
+    request number), so no counter is needed and a fetch that runs again gives the
+    same ids. Commits that may not be stored are ``refused``, with the reason, and
+    so are their files. With ``raw_repositories``, ``new_repositories`` are those
+    not stored yet and ``repositories`` the stored ones with the time of the fetch.
+    """
     added_users = feeds.ingest_users(raw_commits, raw_pull_requests, users, domain, weak)
     everyone = users.unionByName(added_users)
     fresh = feeds.commit_rows(raw_commits)
     added = new_commits(fresh, commits).drop("seq")
     for role in ("author", "committer"):
         added = feeds.with_user_id(added, everyone, role, domain, weak)
+    checked = commit_ops.validate(added.withColumn("commit_id", commit_id()))
+    added = checked.where(F.col("problem").isNull()).drop("problem")
+    files = feeds.ingest_commit_files(raw_commits).withColumn("commit_id", commit_id())
+    files = files.withColumn("file_id", F.xxhash64("commit_id", "filename"))
     requests = reviews.unseen(feeds.ingest_pull_requests(raw_pull_requests), pull_requests)
     for role in ("opened_by", "merged_by"):
         requests = feeds.with_user_id(requests, everyone, role, domain, weak).withColumnRenamed(f"{role}_id", role)
@@ -64,14 +78,23 @@ def fetch(
         feeds.ingest_pr_comments(raw_pull_requests), everyone, "commenter", domain, weak
     ).join(requests.select("repo_id", "number"), ["repo_id", "number"], "left_semi")
     everything = commits.select("repo_id", "author_id").unionByName(added.select("repo_id", "author_id"))
-    return {
+    out = {
         "users": added_users,
         "commits": added,
-        "commit_files": feeds.ingest_commit_files(raw_commits).join(
-            added.select("repo_id", "sha1"), ["repo_id", "sha1"], "left_semi"
-        ),
+        "refused": checked.where(F.col("problem").isNotNull()).select("repo_id", "sha1", "problem"),
+        "commit_files": files.join(added.select("commit_id"), "commit_id", "left_semi"),
         "commit_branches": commit_ops.branches(feeds.branch_sightings(raw_commits)),
-        "pull_requests": requests,
-        "pr_comments": comments,
+        "pull_requests": requests.withColumn("pr_id", F.xxhash64("repo_id", "number")),
+        "pr_comments": comments.withColumn("pr_id", F.xxhash64("repo_id", "number")),
         "report": members.fetch_report(repositories, everything, teams, everyone),
     }
+    if raw_repositories is not None:
+        out["new_repositories"] = feeds.new_repositories(raw_repositories, repositories, prefix)
+        if now is not None:
+            out["repositories"] = feeds.stamp_fetched(repositories, raw_repositories, prefix, now)
+    return out
+
+
+def commit_id() -> Column:
+    """The id of a fetched commit; raw feeds have none."""
+    return F.xxhash64("repo_id", "sha1")

@@ -219,15 +219,15 @@ def page_lines(documents: DataFrame, template: str, placeholder: str, group: Seq
     return inside.unionByName(around)
 
 
-def write_documents(lines: DataFrame, path: str, folder: str, group: Sequence[str], order: Sequence[str] = SORT) -> None:
-    """One folder per document; its part files, read in name order, are the text.
+def write_documents(lines: DataFrame, path: str, group: Sequence[str], order: Sequence[str] = SORT) -> None:
+    """One folder per document, named after all of its group; its part files, read in name order, are the text.
 
     The sort is range partitioned on the whole key, so a large document is
     written by many tasks.
     """
     (
         lines.orderBy(*group, *order)
-        .select(F.col(folder).alias("document"), "text")
+        .select(F.concat_ws("-", *group).alias("document"), "text")
         .write.mode("overwrite")
         .partitionBy("document")
         .text(path)

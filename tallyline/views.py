@@ -255,7 +255,7 @@ class Tables:
             F.col("branch"),
             _person(who, author % 6 == 0).alias("author"),
             F.when(key % 13 != 0, _person(author, F.lit(False))).alias("committer"),
-            F.concat(F.col("o_orderpriority"), F.lit(" on "), F.col("branch")).alias("message"),
+            F.when(key % 41 != 0, F.concat(F.col("o_orderpriority"), F.lit(" on "), F.col("branch"))).alias("message"),
             F.when(key % 19 != 0, _iso(F.col("o_orderdate"))).alias("date"),
             "parents",
             "url",

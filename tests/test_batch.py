@@ -168,7 +168,7 @@ def read_documents(path):
 
 def test_documents(table, tmp_path):
     lines = contributions.documents(*history(table), "2021-01-01T00:00:00Z", "2022-01-01T00:00:00Z")
-    pages.write_documents(lines, str(tmp_path / "out"), "repo_id", ["repo_id"])
+    pages.write_documents(lines, str(tmp_path / "out"), ["repo_id"])
     found = read_documents(tmp_path / "out")
     assert sorted(found) == ["1", "2"]
     assert json.loads(found["1"]) == expected_document()
@@ -179,7 +179,7 @@ def test_pages(table, tmp_path):
     lines = contributions.documents(*history(table))
     template = "<script>var a = DATA;</script>\n<script>var b = DATA;</script>"
     page = pages.page_lines(lines, template, "DATA", ["repo_id"])
-    pages.write_documents(page, str(tmp_path / "out"), "repo_id", ["repo_id"], ["place", *pages.SORT])
+    pages.write_documents(page, str(tmp_path / "out"), ["repo_id"], ["place", *pages.SORT])
     text = read_documents(tmp_path / "out")["1"]
     first, second = (part.split(";</script>")[0] for part in text.replace("\n", "").split("= ")[1:])
     assert json.loads(first) == json.loads(second)
@@ -193,9 +193,51 @@ def test_a_large_document_is_written_by_many_tasks(spark, tmp_path):
     ).repartition(7)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        pages.write_documents(rows, str(tmp_path / "out"), "repo_id", ["repo_id"])
+        pages.write_documents(rows, str(tmp_path / "out"), ["repo_id"])
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     parts = [n for n in os.listdir(tmp_path / "out" / "document=1") if n.startswith("part-")]
     assert len(parts) > 1
     assert read_documents(tmp_path / "out")["1"].split() == [str(n) for n in range(20000)]
+
+
+MATCHERS = "run_id int, organisation string, exact_match boolean, name string, exclude_gui boolean, start_date string, end_date string"
+
+
+def test_one_repository_in_two_runs_gives_two_documents(table, tmp_path):
+    repositories, commits, changes, users = history(table)
+    matchers = table(
+        [(0, "org", True, "proj-1", True, None, None), (1, "org", False, "proj", False, "2021-02-01T00:00:00Z", "2021-12-31T00:00:00Z")],
+        MATCHERS,
+    )
+    lines = batch.documents(batch.match_repositories(matchers, repositories), commits, changes, users)
+    pages.write_documents(lines, str(tmp_path / "out"), batch.GROUP)
+    found = {name: json.loads(text) for name, text in read_documents(tmp_path / "out").items()}
+    assert sorted(found) == ["0-1", "1-1", "1-2"]
+    assert found["0-1"]["startDate"] is None and found["1-1"]["startDate"] == 1612137600.0
+    assert found["0-1"]["changesPerUser"]["Ann (ann@e) #1"]["contributionsScore"] == 116
+    assert found["1-1"]["changesPerUser"]["Ann (ann@e) #1"]["contributionsScore"] == 0
+
+
+def test_wrong_options_fail_by_name(table):
+    repositories, commits, changes, users = history(table)
+    day = "2021-01-01T00:00:00Z"
+    matchers = table(
+        [
+            (0, "org", None, "proj-1", False, None, None),
+            (1, "org", True, "proj-1", False, "2021-08-09", "2022-01-01T00:00:00Z"),
+            (2, "org", True, "proj-1", False, day, "2021-13-45T00:00:00Z"),
+            (3, "org", True, "proj-1", False, day, "2021-06-01T02:00:00+02:00"),
+            (4, "org", True, "gone", False, None, None),
+        ],
+        MATCHERS,
+    )
+    assert values(batch.report(matchers, repositories), "run_id", "status", "reason") == [
+        (0, "failed", "exactMatch is missing"),
+        (1, "failed", "startDate is no instant: 2021-08-09"),
+        (2, "failed", "endDate is no instant: 2021-13-45T00:00:00Z"),
+        (3, "succeeded", None),
+        (4, "failed", "Repository not found"),
+    ]
+    matched = batch.match_repositories(matchers, repositories)
+    assert values(batch.user_percent(matched, commits, changes, users).select("run_id").distinct()) == [(3,)]

@@ -123,3 +123,10 @@ def test_feed_from_json(spark, tmp_path):
     assert (row["author_name"], row["lines_added"], row["files_changed"], row["parent"]) == ("A", 2, 1, "p")
     assert values(feeds.ingest_commit_files(raw), "filename", "url") == [("A.java", None), ("b.md", None)]
     assert values(commits.branches(feeds.branch_sightings(raw)), "branch") == [("dev",), ("main",)]
+
+
+def test_a_record_without_place_or_date_is_kept_whole(table):
+    feed = table([(1, "a", None, "late", None), (1, "a", 5, "first", None), (1, "b", None, "only", None)], "repo_id long, sha1 string, seq long, message string, commit_date timestamp_ntz")
+    assert values(commits.first_sightings(feed), "sha1", "message") == [("a", "first"), ("b", "only")]
+    stored = table([(1, "z", datetime(2021, 1, 1))], "repo_id long, sha1 string, commit_date timestamp_ntz")
+    assert values(fetch.new_commits(feed, stored), "sha1") == [("a",), ("b",)]

@@ -96,3 +96,37 @@ def test_unbalanced_text_is_an_error(text):
 
 def test_empty_text_has_nothing():
     assert entities("") == []
+
+
+def test_depth_is_no_limit():
+    arms = " ".join(f"else if (x == {n}) b();" for n in range(5000))
+    found = entities("class A { void f(int x) { if (x == 0) a(); " + arms + " } }")
+    assert sum(row.entity_type == "IF_STATEMENT" for row in found) == 5001
+    assert found[-2].unique_name == "A.f(int)" and found[-2].method_statements == 3 * 5001 + 5000
+    blocks = entities("class A { void f() { " + "{" * 5000 + " go(); " + "}" * 5000 + " } }")
+    assert [row.entity_type for row in blocks] == ["METHOD_INVOCATION", "METHOD", "CLASS"]
+    assert len(entities("".join(f"class A{n} {{ " for n in range(2000)) + "}" * 2000)) == 2000
+
+
+@pytest.mark.parametrize(
+    "parameters, types",
+    [("int a[]", "int[]"), ("@Nullable T t", "T"), ('final @X("y") Map<K, V> m, int... n', "Map<K,V>,int..."), ("", "")],
+)
+def test_parameter_types(parameters, types):
+    assert entities(f"class A {{ void f({parameters}) {{}} }}")[0].unique_name == f"A.f({types})"
+
+
+def test_a_module_declares_nothing_that_counts():
+    assert entities("/** m */ open module a.b { requires x; exports y; }") == [
+        entities("/** m */ open module a.b { requires x; exports y; }")[0]
+    ]
+
+
+def test_only_unbalanced_texts_are_errors():
+    base = "class A { @B(1) int x = 3, y; void f(int a) { if (a > 1) { return; } else go(); int z = call(1); } enum E { X, Y; int q; } }"
+    for at in range(len(base)):
+        for text in (base[:at], base[at:], base[:at] + "}" + base[at:], base[:at] + "(" + base[at:]):
+            try:
+                entities(text)
+            except SourceError:
+                pass

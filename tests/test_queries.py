@@ -13,7 +13,7 @@ from tallyline.oracles import all_oracles
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="given tables are not here")
-WITHOUT_SQL = {"summary_json", "report_pages"}
+WITHOUT_SQL = {"summary_json", "report_pages", "batch_documents"}
 
 
 @pytest.fixture(scope="module")
