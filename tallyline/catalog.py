@@ -610,6 +610,13 @@ def file_user_matrix(t: Tables) -> DataFrame:
     return tables["matrix"]
 
 
+@query
+def file_user_chart(t: Tables) -> DataFrame:
+    """The chart as a table with a column for each of some users."""
+    tables = contributions.summary(t.repositories, t.commits, t.changes, t.users)
+    return scoring.pivot_users(tables["matrix"], [1, 2, 4])
+
+
 @query
 def attach_user_commits(t: Tables) -> DataFrame:
     percents = scoring.contribution_percent(t.commits, t.changes, t.users)

@@ -202,6 +202,11 @@ VIEWS = {
             AND (m.start_date IS NULL OR m.end_date IS NULL OR c.commit_date BETWEEN m.start_date AND m.end_date)""",
     "run_changes": """SELECT r.*, j.file, j.score FROM run_commits r JOIN java j ON r.commit_id = j.commit_id
         AND NOT (r.exclude_gui AND (j.filename LIKE '%ui%' OR j.filename LIKE '%view%'))""",
+    "matrix": """SELECT * FROM cells
+        UNION ALL SELECT p.repo_id, NULL, p.user_id, 0.0 FROM percents p WHERE NOT EXISTS
+            (SELECT 1 FROM cells c WHERE c.repo_id = p.repo_id AND c.user_id = p.user_id)
+        UNION ALL SELECT DISTINCT s.repo_id, s.file, NULL, 0.0 FROM shares s WHERE NOT EXISTS
+            (SELECT 1 FROM cells c WHERE c.repo_id = s.repo_id AND c.file = s.file)""",
     "entities": _store_entities(),
     "pairs": """SELECT c.commit_id AS k, c.repo_id, c.sha1, c.commit_id - 25 AS old_k,
         'src/m' || (c.repo_id % 4) || '/Store.java' AS filename FROM covered c""",
@@ -469,11 +474,10 @@ ORACLES = {
         FROM authored WHERE change_op <> 'DELETE'
         GROUP BY GROUPING SETS ((repo_id, user_id), (repo_id, user_id, category), (repo_id, user_id, filename, category))""",
     "file_user_shares": "SELECT * FROM shares",
-    "file_user_matrix": """SELECT * FROM cells
-        UNION ALL SELECT p.repo_id, NULL, p.user_id, 0.0 FROM percents p WHERE NOT EXISTS
-            (SELECT 1 FROM cells c WHERE c.repo_id = p.repo_id AND c.user_id = p.user_id)
-        UNION ALL SELECT DISTINCT s.repo_id, s.file, NULL, 0.0 FROM shares s WHERE NOT EXISTS
-            (SELECT 1 FROM cells c WHERE c.repo_id = s.repo_id AND c.file = s.file)""",
+    "file_user_matrix": "SELECT * FROM matrix",
+    "file_user_chart": """SELECT repo_id, file, coalesce(sum(share) FILTER (user_id = 1), 0.0) AS user_1,
+        coalesce(sum(share) FILTER (user_id = 2), 0.0) AS user_2, coalesce(sum(share) FILTER (user_id = 4), 0.0) AS user_4
+        FROM matrix WHERE file IS NOT NULL GROUP BY repo_id, file""",
     "attach_user_commits": """SELECT p.repo_id, p.user_id, p.score, p.percent, c.sha1, c.commit_date, c.commit_message, c.url
         FROM percents p LEFT JOIN covered c ON c.repo_id = p.repo_id AND c.author_id = p.user_id""",
     "window_score_percent": """WITH s AS (SELECT c.repo_id, c.author_id AS user_id,

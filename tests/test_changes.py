@@ -20,30 +20,30 @@ CASES = {
     "setter of a test": (FIELD % "", FIELD % "@Before public void setUp() { label = make(); }", 0, []),
     "getter with logic": (
         FIELD % "",
-        FIELD % 'public String getLabel() { String s = String.format("%s", label); return s; }',
+        FIELD % "public String getLabel() { int width = measure(7); return pad(width); }",
         34,
         ["METHOD_INVOCATION", "VARIABLE_DECLARATION_STATEMENT", "RETURN_STATEMENT", "METHOD"],
     ),
     "setter with logic": (
         FIELD % "",
-        FIELD % 'void setLabel(String s) { if (null == s) { throw new Bad("no"); } label = s; }',
+        FIELD % "void setLabel(String s) { label = s.trim(); if (label.isEmpty()) throw new Empty(); }",
         37,
         ["THROW_STATEMENT", "THEN_STATEMENT", "IF_STATEMENT", "ASSIGNMENT", "METHOD"],
     ),
     "class content": (
         "public class Shelf {}",
-        FIELD % 'Object show() { int a = 5; String b = "t"; return b + a; }',
+        FIELD % "long area(int w) { final long h = 3L; long a = w * h; return a; }",
         44,
         ["VARIABLE_DECLARATION_STATEMENT"] * 2 + ["RETURN_STATEMENT", "METHOD", "FIELD"],
     ),
     "nested class": (
         FIELD % "",
         FIELD
-        % """private Integer n;
-        static private class Box {
-          private Object one; private Boolean two;
-          public Object open() { Object r = String.format("%s", one, two); return r; }
-        }""",
+        % """static class Row {
+          int width; long depth;
+          int free(Row next) { int gap = next.start(); return gap - width; }
+        }
+        private boolean full;""",
         192,
         ["CONSTRUCTOR_INVOCATION", "METHOD_INVOCATION", "VARIABLE_DECLARATION_STATEMENT", "RETURN_STATEMENT"]
         + ["METHOD"] * 2
@@ -52,13 +52,13 @@ CASES = {
     ),
     "methods": (
         FIELD % "int same() { return 4; }",
-        FIELD % 'int same() { return 6; } String more() { System.out.println(""); int x = a + 50; return ""; }',
+        FIELD % "long more(long n) { log(n); long half = n / 2; return half; } int same() { return 5; }",
         37,
         ["METHOD_INVOCATION", "VARIABLE_DECLARATION_STATEMENT", "RETURN_STATEMENT", "METHOD", "RETURN_STATEMENT"],
     ),
     "no old file": (
         "",
-        FIELD % 'Object show() { int a = 5; String b = "t"; return b + a; }',
+        FIELD % "long area(int w) { final long h = 3L; long a = w * h; return a; }",
         144,
         ["VARIABLE_DECLARATION_STATEMENT"] * 2 + ["RETURN_STATEMENT", "METHOD", "FIELD", "CLASS"],
     ),
@@ -118,12 +118,12 @@ def test_names_of_a_nested_class(found):
     rows = found[1].where("sha1 = 'nested class' AND entity_type IN ('METHOD', 'CLASS', 'FIELD', 'CONSTRUCTOR_INVOCATION')")
     assert {name for (name,) in values(rows, "unique_name")} == {
         "super();",
-        "Shelf.Box.Box()",
-        "Shelf.Box.open()",
-        "Shelf.Box.one : Object",
-        "Shelf.Box.two : Boolean",
-        "Shelf.n : Integer",
-        "Shelf.Box",
+        "Shelf.Row.Row()",
+        "Shelf.Row.free(Row)",
+        "Shelf.Row.width : int",
+        "Shelf.Row.depth : long",
+        "Shelf.full : boolean",
+        "Shelf.Row",
     }
 
 
@@ -169,3 +169,11 @@ def test_many_texts_in_small_batches(spark):
     assert found.select("commit_id").distinct().count() == 2700
     names = found.where("entity_type = 'FIELD' AND commit_id < 6")
     assert values(names, "commit_id", "unique_name") == [(n, f"A.f{n} : int") for n in (0, 1, 2, 4, 5)]
+
+
+def test_equal_entities_cancel_before_the_shuffle(found):
+    pairs, _ = found
+    frame = changes.extract_changes(pairs)
+    plan = [line.strip(" :+-*()0123456789") for line in frame._jdf.queryExecution().executedPlan().toString().splitlines()]
+    deepest = max(n for n, line in enumerate(plan) if line.startswith("Exchange"))
+    assert "partial_sum" in plan[deepest + 1]
