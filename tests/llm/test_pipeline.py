@@ -56,7 +56,7 @@ def corpus(spark, tmp_path_factory):
     rows[1] = (1, rows[1][1] + "\n" + passage)
     rows[2] = (2, rows[2][1] + "\n" + passage)  # a passage in two documents
     rows.append((1000, rows[3][1]))  # an exact copy
-    rows.append((1001, rows[5][1].replace("\n", " ", 1)))  # a copy with other line ends
+    rows.append((1001, rows[5][1].replace("\n", " ")))  # a copy in one line
     item = prose(14)
     rows.append((1002, prose(20) + " " + item + " " + prose(20)))
     folder = str(tmp_path_factory.mktemp("corpus"))
