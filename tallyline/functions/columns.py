@@ -25,6 +25,43 @@ GUI_WORDS = ("ui", "view")
 ZONED = r"T\d\d:\d\d(:\d\d([.]\d+)?)?(Z|[+-]\d\d:?\d\d)$"
 
 
+# What a declaration or statement is called, by its form and, for a statement, by the word it leads with.
+FORM_TYPES = {
+    "javadoc": "JAVADOC",
+    "block": "BLOCK_COMMENT",
+    "line": "LINE_COMMENT",
+    "annotation": "ANNOTATION",
+    "field": "FIELD",
+    "class": "CLASS",
+    "method": "METHOD",
+    "then": "THEN_STATEMENT",
+    "else": "ELSE_STATEMENT",
+    "if": "IF_STATEMENT",
+    "case": "SWITCH_CASE",
+    "initialiser": "METHOD_INVOCATION",
+}
+COMPOUND_TYPES = {
+    "for": "FOR_STATEMENT",
+    "while": "WHILE_STATEMENT",
+    "switch": "SWITCH_STATEMENT",
+    "catch": "CATCH_CLAUSE",
+    "synchronized": "SYNCHRONIZED_STATEMENT",
+    "try": "TRY_STATEMENT",
+    "do": "DO_STATEMENT",
+    "finally": "FINALLY",
+}
+LEAD_TYPES = {
+    "return": "RETURN_STATEMENT",
+    "throw": "THROW_STATEMENT",
+    "break": "BREAK_STATEMENT",
+    "continue": "CONTINUE_STATEMENT",
+    "assert": "ASSERT_STATEMENT",
+    "this(": "CONSTRUCTOR_INVOCATION",
+    "super(": "CONSTRUCTOR_INVOCATION",
+    "new": "CLASS_INSTANCE_CREATION",
+}
+
+
 def _choose(column: Column, table: dict[str, object], default: object) -> Column:
     out = F
     for key, value in table.items():
@@ -32,6 +69,24 @@ def _choose(column: Column, table: dict[str, object], default: object) -> Column
     return out.otherwise(F.lit(default))
 
 
+def entity_type(shape: Column) -> Column:
+    """The kind of a declaration or statement from its shape: form, lead, tail, assigns, declares. NULL without a form."""
+    compound = F.when(shape["declares"], "FOREACH_STATEMENT").otherwise(_choose(shape["lead"], COMPOUND_TYPES, None))
+    plain = (
+        F.when(shape["lead"].isin(*LEAD_TYPES), _choose(shape["lead"], LEAD_TYPES, None))
+        .when(shape["declares"], "VARIABLE_DECLARATION_STATEMENT")
+        .when(shape["assigns"], "ASSIGNMENT")
+        .when(shape["lead"].isin("++", "--"), "PREFIX_EXPRESSION")
+        .when(shape["tail"].isin("++", "--"), "POSTFIX_EXPRESSION")
+        .otherwise("METHOD_INVOCATION")
+    )
+    return (
+        F.when(shape["form"] == "compound", compound)
+        .when(shape["form"] == "plain", plain)
+        .otherwise(_choose(shape["form"], FORM_TYPES, None))
+    )
+
+
 def entity_weight(entity_type: Column, weights: dict[str, int] = WEIGHTS, default: int = OTHER_WEIGHT) -> Column:
     return _choose(entity_type, weights, default)
 

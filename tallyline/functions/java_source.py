@@ -1,7 +1,8 @@
 """Lexical reading of one Java source text: a small helper used inside tasks.
 
-It lists the declarations and statements of a text. Everything that compares,
-filters, weighs or counts them is a Spark job (``operators/changes.py``).
+It cuts a text into declarations and statements, with their owners and shapes.
+What kinds they are, and everything that compares, filters, weighs or counts them,
+is a Spark job (``operators/changes.py``).
 """
 
 from __future__ import annotations
@@ -23,27 +24,13 @@ TIGHT_TYPE = re.compile(r" ?([<>,?]) ?")
 KEYWORD_CALL = re.compile(r"\b(return|throw)\(")
 NAME = re.compile(r"[A-Za-z_$]")
 CALL_PART = re.compile(r"[\w$.]")
-COMMENT_TYPES = {"javadoc": "JAVADOC", "block": "BLOCK_COMMENT", "line": "LINE_COMMENT"}
+COMMENTS = {"javadoc", "block", "line"}
 TYPE_WORDS = {"class", "interface", "enum", "record"}
 ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^="}
-# Compound statements with a head in parentheses, and plain ones led by a keyword.
-BLOCK_TYPES = {
-    "for": "FOR_STATEMENT",
-    "while": "WHILE_STATEMENT",
-    "switch": "SWITCH_STATEMENT",
-    "catch": "CATCH_CLAUSE",
-    "synchronized": "SYNCHRONIZED_STATEMENT",
-    "try": "TRY_STATEMENT",
-    "do": "DO_STATEMENT",
-    "finally": "FINALLY",
-}
-LEAD_TYPES = {
-    "return": "RETURN_STATEMENT",
-    "throw": "THROW_STATEMENT",
-    "break": "BREAK_STATEMENT",
-    "continue": "CONTINUE_STATEMENT",
-    "assert": "ASSERT_STATEMENT",
-}
+# Words that lead a statement with a statement inside.
+COMPOUND = {"for", "while", "switch", "catch", "synchronized", "try", "do", "finally"}
+# Words that lead a statement in which two names in a row declare nothing.
+LEADING = {"return", "throw", "break", "continue", "assert", "new"}
 PAIRS = {"(": ")", "{": "}", "[": "]"}
 CLOSERS = frozenset(PAIRS.values())
 
@@ -92,16 +79,26 @@ def split_commas(words: list[str]) -> list[list[str]]:
     return [part for part in parts if part]
 
 
+class Shape(NamedTuple):
+    """What a kind is told by: the form, first and last word, and whether it assigns or declares."""
+
+    form: str
+    lead: str | None = None
+    tail: str | None = None
+    assigns: bool = False
+    declares: bool = False
+
+
 class Scope:
     """What is known of a method once its end is reached. Its entities refer to it, so none has to wait."""
 
     def __init__(self, signature: str):
         self.signature, self.statements, self.first = signature, 0, None
 
-    def add(self, kind: str) -> None:
-        if kind not in COMMENT_TYPES.values():
+    def add(self, shape: Shape) -> None:
+        if shape.form not in COMMENTS:
             self.statements += 1
-            self.first = self.first or kind
+            self.first = self.first or shape
 
 
 class Body:
@@ -112,7 +109,7 @@ class Body:
 
 
 class Row(NamedTuple):
-    kind: str
+    shape: Shape
     unique_name: str
     owner: str
     scope: Scope | None
@@ -150,16 +147,16 @@ class Reader:
     def kind(self) -> str | None:
         return self.tokens[self.at][0] if self.at < len(self.tokens) else None
 
-    def row(self, kind: str, unique_name: str, owner: str, scope: Scope | None) -> Row:
+    def row(self, shape: Shape, unique_name: str, owner: str, scope: Scope | None) -> Row:
         if scope is not None:
-            scope.add(kind)
-        return Row(kind, unique_name, owner, scope)
+            scope.add(shape)
+        return Row(shape, unique_name, owner, scope)
 
     def comments(self, owner: str, scope: Scope | None) -> Iterator[Row]:
-        while self.kind() in COMMENT_TYPES:
+        while self.kind() in COMMENTS:
             kind, text = self.tokens[self.at]
             self.at += 1
-            yield self.row(COMMENT_TYPES[kind], " ".join(text.split()), owner, scope)
+            yield self.row(Shape(kind), " ".join(text.split()), owner, scope)
 
     def until(self, *stops: str) -> list[str]:
         """Words up to a stop sign outside brackets; the stop itself is not read."""
@@ -169,7 +166,7 @@ class Reader:
             if not closing and word in stops:
                 self.at = at
                 return words
-            if kind in COMMENT_TYPES:
+            if kind in COMMENTS:
                 continue
             words.append(word)
             if word in PAIRS:
@@ -205,12 +202,12 @@ class Reader:
 
         Comments and annotations wait for the member they stand before.
         """
-        pending: list[tuple[str, str]] = []
+        pending: list[tuple[Shape, str]] = []
         while True:
-            while self.kind() in COMMENT_TYPES:
+            while self.kind() in COMMENTS:
                 kind, text = self.tokens[self.at]
                 self.at += 1
-                pending.append((COMMENT_TYPES[kind], " ".join(text.split())))
+                pending.append((Shape(kind), " ".join(text.split())))
             word = self.peek()
             if word is None or word == "}":
                 if (word is None) != (owner == ""):
@@ -220,7 +217,7 @@ class Reader:
             if word == ";":
                 self.at += 1
             elif word == "@" and self.peek(1) != "interface":
-                pending.append(("ANNOTATION", self.annotation()))
+                pending.append((Shape("annotation"), self.annotation()))
             elif word == "{":
                 self.at += 1
                 yield self.block(owner, scope)
@@ -230,11 +227,11 @@ class Reader:
                 yield self.member(owner, body, pending, scope)
                 pending = []
 
-    def waiting(self, pending: list[tuple[str, str]], owner: str, scope: Scope | None) -> Step:
-        for kind, text in pending:
-            yield self.row(kind, text, owner, scope)
+    def waiting(self, pending: list[tuple[Shape, str]], owner: str, scope: Scope | None) -> Step:
+        for shape, text in pending:
+            yield self.row(shape, text, owner, scope)
 
-    def member(self, owner: str, body: Body | None, pending: list[tuple[str, str]], scope: Scope | None) -> Step:
+    def member(self, owner: str, body: Body | None, pending: list[tuple[Shape, str]], scope: Scope | None) -> Step:
         head = self.until("{", ";", "=", "(")
         while head and self.peek() == "(" and head[-1] == "@":
             head = head[:-1]
@@ -268,9 +265,9 @@ class Reader:
             if shown is None:
                 modifiers = {"public", "private", "protected", "static", "final", "transient", "volatile"}
                 shown = render_type([word for word in left[: names[-1]] if word not in modifiers])
-            yield self.row("FIELD", f"{owner}.{left[names[-1]]} : {shown}", owner, scope)
+            yield self.row(Shape("field"), f"{owner}.{left[names[-1]]} : {shown}", owner, scope)
 
-    def type_body(self, owner: str, head: list[str], at: int, pending: list[tuple[str, str]], scope: Scope | None) -> Step:
+    def type_body(self, owner: str, head: list[str], at: int, pending: list[tuple[Shape, str]], scope: Scope | None) -> Step:
         name = head[at + 1]
         full = f"{owner}.{name}" if owner else name
         if self.peek() == "(":  # record header
@@ -284,27 +281,27 @@ class Reader:
         yield self.members(full, body, scope)
         self.at += 1
         lacks = bool(owner) and head[at] == "class" and not body.constructor
-        yield self.row("CLASS", full, owner, scope)._replace(lacks_constructor=lacks)
+        yield self.row(Shape("class"), full, owner, scope)._replace(lacks_constructor=lacks)
 
     def enum_constants(self) -> None:
         self.until(";", "}")
         if self.peek() == ";":
             self.at += 1
 
-    def method(self, owner: str, name: str, body: Body | None, pending: list[tuple[str, str]], scope: Scope | None) -> Step:
+    def method(self, owner: str, name: str, body: Body | None, pending: list[tuple[Shape, str]], scope: Scope | None) -> Step:
         signature = f"{name}({','.join(parameter_type(part) for part in split_commas(self.group()))})"
         full = f"{owner}.{signature}"
         if body is not None and name == body.name:
             body.constructor = True
         inner = scope or Scope(signature)  # a method of a local class belongs to the method around it
-        for kind, text in pending:
-            yield self.row(kind, text, full, scope)._replace(scope=inner)
+        for shape, text in pending:
+            yield self.row(shape, text, full, scope)._replace(scope=inner)
         self.until("{", ";")
         opens = self.peek() == "{"
         self.at += 1
         if opens:
             yield self.block(full, inner)
-        yield self.row("METHOD", full, owner, scope)._replace(scope=inner)
+        yield self.row(Shape("method"), full, owner, scope)._replace(scope=inner)
 
     def block(self, owner: str, scope: Scope | None) -> Step:
         while True:
@@ -327,39 +324,39 @@ class Reader:
         elif word == ";":
             self.at += 1
         elif word == "@":
-            yield self.row("ANNOTATION", self.annotation(), owner, scope)
+            yield self.row(Shape("annotation"), self.annotation(), owner, scope)
         elif word in ("class", "interface", "enum"):
             yield self.member(owner, None, [], scope)
         elif word == "if":
             self.at += 1
             condition = render(self.group())
             yield self.statement(owner, scope)
-            yield self.row("THEN_STATEMENT", condition, owner, scope)
+            yield self.row(Shape("then"), condition, owner, scope)
             if self.peek() == "else":
                 self.at += 1
                 yield self.statement(owner, scope)
-                yield self.row("ELSE_STATEMENT", condition, owner, scope)
-            yield self.row("IF_STATEMENT", condition, owner, scope)
-        elif word in BLOCK_TYPES:
+                yield self.row(Shape("else"), condition, owner, scope)
+            yield self.row(Shape("if"), condition, owner, scope)
+        elif word in COMPOUND:
             self.at += 1
             head = render(self.group()) if self.peek() == "(" else ""
-            kind = "FOREACH_STATEMENT" if word == "for" and ":" in head and ";" not in head else BLOCK_TYPES[word]
+            shape = Shape("compound", word, declares=word == "for" and ":" in head and ";" not in head)
             yield self.statement(owner, scope)
             if word == "do":
                 head = render(self.until(";"))
                 self.at += 1
-            yield self.row(kind, head, owner, scope)
+            yield self.row(shape, head, owner, scope)
         elif word in ("case", "default"):
             words = self.until(":", "->")
             self.at += 1
-            yield self.row("SWITCH_CASE", render(words), owner, scope)
+            yield self.row(Shape("case"), render(words), owner, scope)
         elif self.kind() == "word" and self.peek(1) == ":":  # label
             self.at += 2
         else:
             words = self.until(";")
             self.at += 1
-            for kind, shown in simple(words):
-                yield self.row(kind, shown, owner, scope)
+            for shape, shown in simple(words) if words else ():
+                yield self.row(shape, shown, owner, scope)
 
 
 def parameter_type(words: list[str]) -> str:
@@ -387,46 +384,33 @@ def parameter_type(words: list[str]) -> str:
     return render_type(out[:-1] + behind)
 
 
-def simple(words: list[str]) -> Iterator[tuple[str, str]]:
-    """Kinds and texts of a statement without a body."""
-    shown = render(words) + ";"
+def simple(words: list[str]) -> Iterator[tuple[Shape, str]]:
+    """Shape and text of a statement without a body, after the call that its declaration starts with, if it does."""
     outside = top_level(words)
     assign = next((at for at in outside if words[at] in ASSIGN), None)
     left = words[:assign] if assign is not None else words
     names = [at for at in top_level(left) if NAME.match(left[at])]
-    declares = any(second == first + 1 or left[second - 1] in ("]", ">") for first, second in zip(names, names[1:]))
-    if words[0] in LEAD_TYPES:
-        yield LEAD_TYPES[words[0]], shown
-    elif words[0] in ("this", "super") and words[1:2] == ["("]:
-        yield "CONSTRUCTOR_INVOCATION", shown
-    elif words[0] == "new":
-        yield "CLASS_INSTANCE_CREATION", shown
-    elif declares:
-        value = words[assign + 1 :] if assign is not None else []
-        if value and value[-1] == ")" and value[0] not in ("new", "(") and len(top_level(value)) > 0:
-            if all(CALL_PART.match(value[at]) for at in top_level(value)):
-                yield "METHOD_INVOCATION", render(value) + ";"
-        yield "VARIABLE_DECLARATION_STATEMENT", shown
-    elif assign is not None:
-        yield "ASSIGNMENT", shown
-    elif words[0] in ("++", "--"):
-        yield "PREFIX_EXPRESSION", shown
-    elif words[-1] in ("++", "--"):
-        yield "POSTFIX_EXPRESSION", shown
-    else:
-        yield "METHOD_INVOCATION", shown
+    declares = words[0] not in LEADING and any(
+        second == first + 1 or left[second - 1] in ("]", ">") for first, second in zip(names, names[1:])
+    )
+    lead = words[0] + "(" if words[0] in ("this", "super") and words[1:2] == ["("] else words[0]
+    value = words[assign + 1 :] if assign is not None else []
+    if declares and value and value[-1] == ")" and value[0] not in ("new", "(") and len(top_level(value)) > 0:
+        if all(CALL_PART.match(value[at]) for at in top_level(value)):
+            yield Shape("initialiser", lead), render(value) + ";"
+    yield Shape("plain", lead, words[-1], assign is not None, declares), render(words) + ";"
 
 
 class Entity(NamedTuple):
     """A declaration or statement, and what its method looks like as a whole."""
 
     ordinal: int
-    entity_type: str
+    shape: Shape
     unique_name: str
     owner: str
     method: str | None
     method_statements: int | None
-    method_first: str | None
+    method_first: Shape | None
     lacks_constructor: bool
 
 
@@ -436,5 +420,5 @@ def entities(text: str) -> list[Entity]:
     for at, row in enumerate(list(Reader(text).rows())):
         scope = row.scope
         method = (scope.signature, scope.statements, scope.first) if scope else (None, None, None)
-        out.append(Entity(at, row.kind, row.unique_name, row.owner, *method, row.lacks_constructor))
+        out.append(Entity(at, row.shape, row.unique_name, row.owner, *method, row.lacks_constructor))
     return out

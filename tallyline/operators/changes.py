@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructType
 
+from ..functions import columns as C
 from ..functions import java_source
 from ..schemas import FLAG, TEXT, struct
 
@@ -37,6 +38,18 @@ ENTITY = struct(
     lacks_constructor=FLAG,
 )
 FIELDS = tuple(ENTITY.names)
+SHAPE = struct(form=TEXT, lead=TEXT, tail=TEXT, assigns=FLAG, declares=FLAG)
+# What the reader gives for each entity; kinds are told from shapes by column expressions.
+READ = struct(
+    ordinal=IntegerType(),
+    shape=SHAPE,
+    unique_name=TEXT,
+    owner=TEXT,
+    method=TEXT,
+    method_statements=IntegerType(),
+    first_shape=SHAPE,
+    lacks_constructor=FLAG,
+)
 PAIR = ["repo_id", "sha1", "filename"]
 SLICE = 256  # texts whose entities are held at once
 KEPT = 256  # texts whose entities are remembered: copies, and the two sides of one revision
@@ -80,7 +93,7 @@ def scan_texts(rows: DataFrame, keys: list[str], texts: dict[str, int]) -> DataF
     task never holds the entities of more than a few hundred texts.
     """
     fields = [rows.schema[key] for key in keys]
-    schema = StructType([*fields, *struct(side=IntegerType(), error=TEXT), *ENTITY])
+    schema = StructType([*fields, *struct(side=IntegerType(), error=TEXT), *READ])
     arrow = to_arrow_schema(schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +104,7 @@ def scan_texts(rows: DataFrame, keys: list[str], texts: dict[str, int]) -> DataF
             except java_source.SourceError as problem:  # one unreadable text must not stop the others
                 return str(problem), []
 
-        nothing = (None,) * len(FIELDS)
+        nothing = (None,) * len(READ)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
@@ -107,10 +120,29 @@ def scan_texts(rows: DataFrame, keys: list[str], texts: dict[str, int]) -> DataF
                     out += new
                 taken = part.select(keys).take(pa.array(at, pa.int64()))
                 values = zip(*out) if out else [[] for _ in arrow.names[len(keys) :]]
-                made = [pa.array(column, arrow.field(len(keys) + n).type) for n, column in enumerate(values)]
+                made = [column_of(column, arrow.field(len(keys) + n).type) for n, column in enumerate(values)]
                 yield pa.RecordBatch.from_arrays([*taken.columns, *made], schema=arrow)
 
-    return rows.select(*keys, *texts).mapInArrow(read, schema)
+    return rows.select(*keys, *texts).mapInArrow(read, schema).select(
+        *keys,
+        "side",
+        "error",
+        "ordinal",
+        C.entity_type(F.col("shape")).alias("entity_type"),
+        "unique_name",
+        "owner",
+        "method",
+        "method_statements",
+        C.entity_type(F.col("first_shape")).alias("method_first"),
+        "lacks_constructor",
+    )
+
+
+def column_of(values: Sequence, kind: pa.DataType) -> pa.Array:
+    """An Arrow column; shapes are tuples, or None."""
+    if pa.types.is_struct(kind):
+        values = [None if value is None else dict(zip(SHAPE.names, value)) for value in values]
+    return pa.array(values, kind)
 
 
 def _with_constructors(entity: Column) -> Column:

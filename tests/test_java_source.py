@@ -1,18 +1,32 @@
 import pytest
 
-from tallyline.functions.java_source import SourceError, entities
+from tallyline.functions import java_source
+from tallyline.functions.java_source import SourceError
+from tallyline.operators import changes
 
 
-def kinds(text):
-    return [(row.entity_type, row.unique_name) for row in entities(text)]
+@pytest.fixture()
+def entities(spark):
+    """The entities of a text, with their kinds, in text order."""
 
+    def read(text):
+        java_source.entities(text)  # unreadable texts are errors here
+        return changes.extract_entities(spark.createDataFrame([(text,)], "text string")).orderBy("ordinal").collect()
 
-def test_layout_does_not_matter():
+    return read
+
+
+@pytest.fixture()
+def kinds(entities):
+    return lambda text: [(row.entity_type, row.unique_name) for row in entities(text)]
+
+
+def test_layout_does_not_matter(kinds):
     loose = "class A {\n  int total( )\n  {\n    return   1 ;\n  }\n}"
     assert kinds(loose) == kinds("class A { int total() { return 1; } }")
 
 
-def test_statements_of_a_method():
+def test_statements_of_a_method(entities):
     text = """
     class A {
       void run(final Map<String, Integer> m, int... n) throws E {
@@ -61,7 +75,7 @@ def test_statements_of_a_method():
     assert entities(text)[-2].unique_name == "A.run(Map<String,Integer>,int...)"
 
 
-def test_members_comments_and_strings():
+def test_members_comments_and_strings(kinds):
     text = """package p; import q.R;
     /** About A. */ @Deprecated public class A<T extends B> extends C {
       private String a = "{;/*", b; // both
@@ -89,16 +103,16 @@ def test_members_comments_and_strings():
 
 
 @pytest.mark.parametrize("text", ["class A { /* open", "class A { void f() {", "class A { } }", "class A { int x = (3; }"])
-def test_unbalanced_text_is_an_error(text):
+def test_unbalanced_text_is_an_error(entities, text):
     with pytest.raises(SourceError):
         entities(text)
 
 
-def test_empty_text_has_nothing():
+def test_empty_text_has_nothing(entities):
     assert entities("") == []
 
 
-def test_depth_is_no_limit():
+def test_depth_is_no_limit(entities):
     arms = " ".join(f"else if (x == {n}) b();" for n in range(5000))
     found = entities("class A { void f(int x) { if (x == 0) a(); " + arms + " } }")
     assert sum(row.entity_type == "IF_STATEMENT" for row in found) == 5001
@@ -112,14 +126,12 @@ def test_depth_is_no_limit():
     "parameters, types",
     [("int a[]", "int[]"), ("@Nullable T t", "T"), ('final @X("y") Map<K, V> m, int... n', "Map<K,V>,int..."), ("", "")],
 )
-def test_parameter_types(parameters, types):
+def test_parameter_types(entities, parameters, types):
     assert entities(f"class A {{ void f({parameters}) {{}} }}")[0].unique_name == f"A.f({types})"
 
 
-def test_a_module_declares_nothing_that_counts():
-    assert entities("/** m */ open module a.b { requires x; exports y; }") == [
-        entities("/** m */ open module a.b { requires x; exports y; }")[0]
-    ]
+def test_a_module_declares_nothing_that_counts(kinds):
+    assert kinds("/** m */ open module a.b { requires x; exports y; }") == [("JAVADOC", "/** m */")]
 
 
 def test_only_unbalanced_texts_are_errors():
@@ -127,6 +139,6 @@ def test_only_unbalanced_texts_are_errors():
     for at in range(len(base)):
         for text in (base[:at], base[at:], base[:at] + "}" + base[at:], base[:at] + "(" + base[at:]):
             try:
-                entities(text)
+                java_source.entities(text)
             except SourceError:
                 pass
