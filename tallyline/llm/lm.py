@@ -32,7 +32,7 @@ from tallyline.session import stored
 
 ORDER = 2
 MU = 100.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_KEYS = 1 << 20  # n-grams that a task sums up at a time, about
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -70,13 +70,24 @@ def grams(hashes: np.ndarray, starts: np.ndarray, order: int) -> list[tuple[np.n
     return out
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Eight-byte numbers byte by byte: the high bytes of small ones lie together and compress away."""
-    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def _packed(numbers: np.ndarray, kind: str = "<i8") -> bytes:
+    """Numbers byte by byte: the high bytes of small ones lie together and compress away."""
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes()
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+def _unpacked(raw: bytes, kind: str = "<i8") -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences, which are smaller."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)), "<u8")
+
+
+def _unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw, "<u8"), dtype=np.uint64)
 
 
 def _buckets(keys: np.ndarray, count: int) -> np.ndarray:
@@ -100,7 +111,7 @@ def _block_rows(most_bytes: int):
                     "id": pa.array([taken.column("id").to_pylist()], pa.list_(batch.schema.field("id").type)),
                     "held_out": [taken.column("held_out").to_pylist()],
                     "starts": pa.array([_packed(starts)], pa.binary()),
-                    "tokens": pa.array([_packed(ids)], pa.binary()),
+                    "tokens": pa.array([_packed(ids, "<i4")], pa.binary()),
                     "hashes": pa.array([hashes.tobytes()], pa.binary()),
                 })
 
@@ -108,7 +119,7 @@ def _block_rows(most_bytes: int):
 
 
 def _text(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _unpacked(row.tokens), _unpacked(row.starts), np.frombuffer(row.hashes, np.uint64)
+    return _unpacked(row.tokens, "<i4"), _unpacked(row.starts), np.frombuffer(row.hashes, np.uint64)
 
 
 def _questions(order: int, buckets: int):
@@ -121,12 +132,14 @@ def _questions(order: int, buckets: int):
                 learnt = np.repeat(~np.asarray(row.held_out, bool), np.diff(starts))
                 out = []
                 for n, (gram, there) in enumerate(grams(hashes[ids], starts, order), 1):
+                    if not there.any():
+                        continue
                     keys, which = np.unique(gram[there], return_inverse=True)
                     counts = np.bincount(which, learnt[there], len(keys)).astype(np.int64)
                     bucket = _buckets(keys, buckets).astype(np.int64)
                     cuts = np.flatnonzero(np.diff(bucket)) + 1
                     for k, c, b in zip(np.split(keys, cuts), np.split(counts, cuts), bucket[[0, *cuts]].tolist(), strict=True):
-                        out.append((row.block, n, b, k.tobytes(), _packed(c)))
+                        out.append((row.block, n, b, _packed_keys(k), _packed(c)))
                 yield pd.DataFrame(out, columns=["block", "n", "bucket", "keys", "counts"])
 
     return rows
@@ -137,7 +150,7 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
 
     A row without a block has the number of seen words, and of their tokens.
     """
-    keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
+    keys = [_unpacked_keys(k) for k in rows["keys"]]
     every, which = np.unique(np.concatenate(keys), return_inverse=True)
     counts = np.concatenate([_unpacked(c) for c in rows["counts"]])
     total = np.zeros(len(every), np.int64)
@@ -243,7 +256,8 @@ def _scores(order: int, mu: float, seen: int, size: int):
         row = next(block.itertuples())
         ids, starts, hashes = _text(row)
         answers = answers.sort_values(["n", "bucket"])
-        counts = [np.concatenate([_unpacked(c) for c in answers.counts[answers.n == n]]) for n in range(1, order + 1)]
+        none = np.zeros(0, np.int64)
+        counts = [np.concatenate([none, *map(_unpacked, answers.counts[answers.n == n])]) for n in range(1, order + 1)]
         found = Automaton(ids, starts, hashes, counts, seen, size, mu)
         scores = found.walk(ids, starts, order)
         real = np.ones(len(ids), bool)
@@ -284,7 +298,7 @@ def score(
         f"block long, id array<{kind}>, held_out array<boolean>, starts binary, tokens binary, hashes binary",
     ))
     written = blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    buckets = max(1, math.ceil(written / 8 / bucket_keys))
+    buckets = max(1, math.ceil(written / 4 / bucket_keys))
     asked = blocks.select("block", "held_out", "starts", "tokens", "hashes").mapInPandas(
         _questions(order, buckets), "block long, n int, bucket int, keys binary, counts binary"
     )
