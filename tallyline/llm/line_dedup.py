@@ -21,6 +21,8 @@ RADIUS, BLOCKS = 2, 4
 SIMILARITY = 0.9
 LEAST_WORDS = 5
 PIECE_CHARS = 4000
+PIECE_BITS = 20  # strings of up to two million characters are compared
+SIZES = (1 << 13) - 1  # sizes from here on count as one
 SMALL_ROWS = 1_000_000  # ids, of 16 bytes or so each, that may be broadcast
 _LANES = 0x0001000100010001
 PUNCTUATION = '.,;:!?|"'
@@ -37,45 +39,53 @@ def pieces(text: Column, most: int = PIECE_CHARS) -> Column:
     return F.flatten(F.transform(F.split(text, "\n", -1), cut))
 
 
-def normalised(line: Column) -> Column:
+def normalised(text: Column) -> Column:
     """Lower case, without punctuation, words apart by one space. Plain replacements, which read bytes, not patterns."""
-    out = F.lower(line)
+    out = F.lower(text)
     for mark in PUNCTUATION:
         out = F.replace(out, F.lit(mark), F.lit(""))
     for mark in ("\t", "\r", "  ", "  "):
         out = F.replace(out, F.lit(mark), F.lit(" "))
-    return F.trim(out)
+    return out
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, least_words: int, most: int) -> DataFrame:
-    """One row for each line of at least ``least_words`` words: row, doc, n (piece, from 0), key, plain."""
-    plain = F.transform(pieces(F.col(text_col), most), lambda p: normalised(p.text))
-    found = docs.select(F.col(id_col).alias("doc"), F.posexplode(plain).alias("n", "plain"))
-    # one space less than words
-    spaces = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit("")))
-    found = found.where(spaces >= least_words - 1)
-    return found.select(F.monotonically_increasing_id().alias("row"), "doc", "n", F.xxhash64("plain").alias("key"), "plain")
+    """One row for each line of at least ``least_words`` words: row, doc, n (piece, from 0), key, plain.
+
+    A whole text is normalised at once. A line end is put where ``pieces`` cuts a
+    long line, so both number the pieces alike.
+    """
+    text = F.col(text_col)
+    cut = F.regexp_replace(text, f"(?md)(?:^|\\G)([^\\n]{{{most}}})(?=[^\\n])", "$1\n")
+    whole = F.when(text.rlike(f"(?md)^[^\\n]{{{most + 1}}}"), cut).otherwise(text)
+    found = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(normalised(whole), "\n", -1)).alias("n", "line"))
+    # at least so many spaces is cheap to see and leaves out most short lines; then words count
+    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    found = found.where(spaces >= least_words - 1).where(F.col("line").rlike(r"^\s*+(?:\S++\s++){%d}\S" % (least_words - 1)))
+    found = found.select(F.monotonically_increasing_id().alias("row"), "doc", "n", F.trim("line").alias("plain"))
+    return found.withColumn("key", F.xxhash64("plain"))
 
 
 def simhashes(found: DataFrame) -> DataFrame:
-    """One row for each distinct line: key, print, times, first (its first occurrence).
+    """One row for each distinct line: key, print, size (characters), times.
 
     A word's 64 bits are added up four at a time, in the quarters of 16 sums. A
     piece has fewer words than a quarter can count. Copies of a line then add one
     narrow row each.
     """
-    words = found.select("row", "key", "doc", "n", F.explode(F.split("plain", " ")).alias("word"))
-    words = words.select("row", "key", "doc", "n", F.xxhash64("word").alias("hash"))
+    words = found.withColumn("size", F.length("plain"))
+    words = words.select("row", "key", "size", F.explode(F.split("plain", " ")).alias("word")).where("word <> ''")
+    words = words.select("row", "key", "size", F.xxhash64("word").alias("hash"))
     sums = [F.sum(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(16)]
-    summed = words.groupBy("row", "key", "doc", "n").agg(F.count("*").alias("words"), *sums)
+    summed = words.groupBy("row", "key", "size").agg(F.count("*").alias("words"), *sums)
+    # a quarter holding more than half of the words reaches its bit 14 once what is missing is added to all four
+    missing = (F.lit(1 << 14) - F.floor(F.col("words") / 2) - 1) * F.lit(_LANES)
     bits = F.lit(0).cast("bigint")
-    for k in range(64):
-        lane = F.shiftrightunsigned(f"s{k % 16}", 16 * (k // 16)).bitwiseAND(F.lit(0xFFFF))
-        value = F.lit(1 << k if k < 63 else -(1 << 63)).cast("bigint")
-        bits = bits.bitwiseOR(F.when(lane * 2 > F.col("words"), value).otherwise(F.lit(0).cast("bigint")))
-    narrow = summed.select("key", bits.alias("print"), F.struct("doc", "n").alias("first"))
-    return narrow.groupBy("key").agg(
-        F.max("print").alias("print"), F.count("*").alias("times"), F.min("first").alias("first")
+    for k in range(16):
+        over = F.shiftrightunsigned(F.col(f"s{k}") + missing, 14).bitwiseAND(F.lit(_LANES))
+        bits = bits.bitwiseOR(F.shiftleft(over, k))
+    return summed.select("key", "size", bits.alias("print")).groupBy("key").agg(
+        F.max("print").alias("print"), F.max("size").alias("size"), F.count("*").alias("times")
     )
 
 
@@ -88,8 +98,16 @@ def _blocks(print_col: str, blocks: int, radius: int) -> Column:
     return F.array(*keys)
 
 
-def _near(a: str, b: str, radius: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+def _size(rank: str) -> Column:
+    """The size that a rank holds; ``SIZES`` or more are one."""
+    return F.shiftrightunsigned(rank, 40).bitwiseAND(F.lit(SIZES))
+
+
+def _near(other: str, other_rank: str, radius: int, similarity: float) -> Column:
+    """Whether hashes are near, and sizes so that the edit similarity can be high enough."""
+    a, b = _size("rank"), _size(other_rank)
+    bits = F.bit_count(F.col("print").bitwiseXOR(F.col(other))) <= radius
+    return bits & (F.abs(a - b) <= F.greatest(a, b) * (1 - similarity) + 1e-9)
 
 
 def links(known: DataFrame, found: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
@@ -99,17 +117,22 @@ def links(known: DataFrame, found: DataFrame, radius: int = RADIUS, blocks: int
     line first. Those linked to it are connected, so no pair of them is needed;
     only lines that are not meet every other line of the bucket.
     """
-    keyed = known.select("key", "print", "times", F.explode(_blocks("print", blocks, radius)).alias("bucket"))
-    heads = keyed.groupBy("bucket").agg(F.count("*").alias("rows"), F.max(F.struct("times", "key", "print")).alias("head"))
-    heads = heads.where("rows > 1").select("bucket", "rows", F.col("head.key").alias("to"), F.col("head.print").alias("to_print"))
-    members = stored(keyed.join(heads, "bucket").where("key <> to").select("bucket", "key", "print", "rows", "to", "to_print"))
-    direct = members.where(_near("print", "to_print", radius)).select("key", "to").distinct()
+    # the most frequent line of a bucket, ties by size and key, as one number that can be aggregated by hash
+    weight = F.shiftleft(F.least("times", F.lit(1023).cast("bigint")), 53)
+    size = F.shiftleft(F.least(F.col("size").cast("bigint"), F.lit(SIZES).cast("bigint")), 40)
+    rank = weight.bitwiseOR(size).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 40) - 1)))
+    keyed = known.select("key", "print", rank.alias("rank"), F.explode(_blocks("print", blocks, radius)).alias("bucket"))
+    heads = keyed.groupBy("bucket").agg(F.count("*").alias("rows"), F.max("rank").alias("top")).where("rows > 1")
+    crowd = stored(keyed.join(heads, "bucket"))
+    heads = crowd.where("rank = top").select("bucket", F.col("key").alias("to"), F.col("print").alias("to_print"))
+    members = crowd.join(heads, "bucket").where("key <> to")
+    direct = members.where(_near("to_print", "top", radius, similarity)).select("key", "to").distinct()
     direct = stored(_alike(direct, found, similarity))
     # lines that are not linked to the head, in buckets of more than the two
     apart = members.where("rows > 2").join(direct, ["key", "to"], "left_anti")
-    apart = apart.select("bucket", F.col("key").alias("from"), F.col("print").alias("from_print"))
-    pairs = apart.join(members.select("bucket", "key", "print"), "bucket")
-    pairs = pairs.where(_near("print", "from_print", radius) & (F.col("key") != F.col("from")))
+    apart = apart.select("bucket", F.col("key").alias("from"), F.col("print").alias("from_print"), F.col("rank").alias("from_rank"))
+    pairs = apart.join(members.select("bucket", "key", "print", "rank"), "bucket")
+    pairs = pairs.where(_near("from_print", "from_rank", radius, similarity) & (F.col("key") != F.col("from")))
     pairs = pairs.select(F.greatest("key", "from").alias("key"), F.least("key", "from").alias("to")).distinct()
     return direct.unionByName(_alike(pairs, found, similarity))
 
@@ -121,8 +144,36 @@ def _alike(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     texts = found.select("key", "plain").join(small(wanted, SMALL_ROWS), "key", "left_semi")
     texts = stored(texts.groupBy("key").agg(F.min("plain").alias("plain")))
     both = pairs.join(texts, "key").join(texts.select(F.col("key").alias("to"), F.col("plain").alias("other")), "to")
-    most = f"cast(floor(greatest(length(plain), length(other)) * {1 - similarity:.6f}) as int)"
-    return both.where(F.expr(f"levenshtein(plain, other, {most}) >= 0")).select("key", "to")
+    longest = F.greatest(F.length("plain"), F.length("other"))
+    most = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
+    return both.where(_within(F.col("plain"), F.col("other"), most)).select("key", "to")
+
+
+def _common(a: Column, b: Column) -> Column:
+    """How many characters two strings start with alike, by halving steps."""
+    steps = F.array(*[F.lit(1 << n) for n in range(PIECE_BITS, -1, -1)])
+    shorter = F.least(F.length(a), F.length(b))
+
+    def longer(at: Column, step: Column) -> Column:
+        alike = F.substring(a, at + 1, step) == F.substring(b, at + 1, step)
+        return F.when((at + step <= shorter) & alike, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), longer)
+
+
+def _within(a: Column, b: Column, most: Column) -> Column:
+    """Whether at most so many edits make one string of the other.
+
+    What both start and end with alike needs no edits, so only what lies between
+    is compared.
+    """
+    rest = lambda x, n: F.substring(x, n + 1, F.length(x))
+    both = let(_common(a, b), lambda n: F.struct(F.reverse(rest(a, n)).alias("a"), F.reverse(rest(b, n)).alias("b")))
+    middle = let(both, lambda x: let(_common(x.a, x.b), lambda n: F.struct(rest(x.a, n).alias("a"), rest(x.b, n).alias("b"))))
+    up_to = lambda x, n: F.call_function("levenshtein", x.a, x.b, F.least(most, F.lit(n))) >= 0
+    whole = lambda x: F.call_function("levenshtein", x.a, x.b, most) >= 0
+    # few edits are found at little cost, so they are looked for first
+    return let(middle, lambda x: F.when(up_to(x, 8), True).when(up_to(x, 40), True).otherwise(whole(x)))
 
 
 def repeats(
@@ -135,19 +186,20 @@ def repeats(
     stays; a null id comes first. Lines of fewer than ``least_words`` words are
     never removed.
     """
-    path = f"{shared_dir(docs.sparkSession)}"
+    if most >= 1 << 15:
+        raise ValueError("a piece may have 16,383 words at most")
+    path = shared_dir(docs.sparkSession)
     lines(docs, id_col, text_col, least_words, most).write.option("compression", "zstd").parquet(path)
     found = docs.sparkSession.read.parquet(path)
     known = stored(simhashes(found))
     roots = stored(components(links(known, found, radius, blocks, similarity), "key", "to"))
-    linked = roots.join(known, roots.node == known.key).select("key", "root", "first")
-    heads = linked.groupBy("root").agg(F.min("first").alias("first"))
-    linked = linked.select("key", "root").join(heads, "root").select("key", F.col("root").alias("class"), "first")
     alone = known.where("times > 1").join(roots, known.key == roots.node, "left_anti")
-    groups = linked.unionByName(alone.select("key", F.col("key").alias("class"), "first"))
-    met = found.select("doc", "n", "key").join(groups, "key")
+    groups = roots.select(F.col("node").alias("key"), F.col("root").alias("class"))
+    groups = groups.unionByName(alone.select("key", F.col("key").alias("class")))
+    met = stored(found.select("doc", "n", "key").join(groups, "key").select("doc", "n", "class"))
+    first = stored(met.groupBy("class").agg(F.min(F.struct("doc", "n")).alias("first")))
     here = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("n") == F.col("first.n"))
-    return met.where(~here).select("doc", "n", "class")
+    return met.join(first, "class").where(~here).select("doc", "n", "class")
 
 
 def dedup(
