@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 SHARD_ROWS = 1 << 14
 QUERY_ROWS = 1 << 12
 BLOCK_ROWS = 1 << 12  # rows of a shard with bounds of their own
+_PROBES = 8  # components probed between two looks at what is still competitive
+_FEW = 16  # one competitive row in so many is probed, more are traversed
+_DENSE = 8  # a list of more than one row in so many is a column
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -27,18 +30,31 @@ def quantised(vector: Column, scale: int = 64) -> Column:
 
 
 class Postings:
-    """The postings of one block of rows: per component, the rows of either sign with their values."""
+    """The postings of one block of rows: per component, what the rows of either sign have.
+
+    A list that most rows are in is a column with zeros for the others, which is
+    added faster than it is gathered; any other list names its rows.
+    """
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
-        self.rows = {True: [], False: []}
+        self.lists = {True: [], False: []}
         for column in values.T:
-            self.rows[True].append(np.flatnonzero(column > 0))
-            self.rows[False].append(np.flatnonzero(column < 0))
+            for sign, part in ((True, np.maximum(column, 0)), (False, np.minimum(column, 0))):
+                rows = np.flatnonzero(part)
+                dense = len(rows) * _DENSE > len(ids)
+                self.lists[sign].append((None, np.ascontiguousarray(part)) if dense else (rows, part[rows]))
         high = np.maximum(values, 0).max(axis=0, initial=0)
         low = np.minimum(values, 0).min(axis=0, initial=0)
         self.most = {True: high, False: -low}
 
+    def _traverse(self, t: int, sign: bool, weight: float, scores: np.ndarray, product: np.ndarray) -> None:
+        rows, part = self.lists[sign][t]
+        if rows is None:
+            scores += np.multiply(part, weight, out=product)
+        else:
+            scores[rows] += part * weight
+
     def bounds(self, query: np.ndarray) -> np.ndarray:
         """The most that each component can add to a score here."""
         return np.abs(query) * np.where(query > 0, self.most[True], self.most[False])
@@ -51,27 +67,34 @@ class Postings:
         spare = int(np.searchsorted(reach, least, side="left"))  # these alone stay below: non-essential
         if spare == len(order):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        scores = np.zeros(len(self.ids), np.int64)
-        seen = np.zeros(len(self.ids), bool)
+        scores, product = np.zeros(len(self.ids), self.values.dtype), np.empty(len(self.ids), self.values.dtype)
         essential, rest = order[spare:][::-1], order[:spare][::-1]
         for t in essential:  # the whole list of the sign that adds
-            rows = self.rows[bool(query[t] > 0)][t]
-            scores[rows] += query[t] * self.values[rows, t]
-            seen[rows] = True
-        alive = np.flatnonzero(seen) if spare else np.arange(len(self.ids))
-        # what the other sign takes away is probed, then non-essential components from the largest bound down
-        left = int(reach[spare - 1]) if spare else 0
-        for t in essential:
+            self._traverse(t, bool(query[t] > 0), query[t], scores, product)
+        left = reach[spare - 1] if spare else 0
+        # a row of an essential list has a score above 0; without spare components every row counts
+        alive = np.flatnonzero((scores > 0) & (scores + left >= least)) if spare else np.flatnonzero(scores >= least)
+        # then what the other sign takes away: whole lists while many rows are competitive, else those rows are probed
+        if len(alive) * _FEW > len(self.ids):
+            for t in essential:
+                self._traverse(t, not query[t] > 0, query[t], scores, product)
             alive = alive[scores[alive] + left >= least]
-            scores[alive] += np.minimum(query[t] * self.values[alive, t], 0)
-        for t in rest:
+        else:
+            for at in range(0, len(essential), _PROBES):
+                terms = essential[at : at + _PROBES]
+                scores[alive] += np.minimum(self.values[np.ix_(alive, terms)] * query[terms], 0).sum(axis=1)
+                alive = alive[scores[alive] + left >= least]
+        # and non-essential components from the largest bound down
+        for at in range(0, len(rest), _PROBES):
+            terms = rest[at : at + _PROBES]
+            scores[alive] += self.values[np.ix_(alive, terms)] @ query[terms]
+            left -= bounds[terms].sum()
             alive = alive[scores[alive] + left >= least]
-            scores[alive] += query[t] * self.values[alive, t]
-            left -= int(bounds[t])
-        alive = alive[scores[alive] >= least]
         alive = alive[self.ids[alive] != own] if own is not None else alive
+        if len(alive) > k:
+            alive = alive[scores[alive] >= np.partition(scores[alive], len(alive) - k)[len(alive) - k]]
         best = np.lexsort((self.ids[alive], -scores[alive]))[:k]
-        return self.ids[alive][best], scores[alive][best]
+        return self.ids[alive][best], scores[alive][best].astype(np.int64)
 
 
 def _matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -86,9 +109,13 @@ def _search(k: int, block_rows: int):
         out = []
         width = max(max(map(len, frame.vector), default=0) for frame in (queries, docs))
         docs = docs.sort_values("id", kind="stable")
-        ids, values = docs.id.to_numpy(np.int64), _matrix(docs.vector, width)
+        ids, values, asked = docs.id.to_numpy(np.int64), _matrix(docs.vector, width), _matrix(queries.vector, width)
+        # doubles add up whole numbers exactly, and faster, as long as every sum stays below 2 ** 53
+        largest = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (values, asked)]
+        if largest[0] * largest[1] * max(width, 1) < 2.0**52:
+            values, asked = values.astype(np.float64), asked.astype(np.float64)
         blocks = [Postings(ids[n : n + block_rows], values[n : n + block_rows]) for n in range(0, len(ids), block_rows)]
-        for own, query in zip(queries.id.to_numpy(np.int64), _matrix(queries.vector, width), strict=True):
+        for own, query in zip(queries.id.to_numpy(np.int64), asked, strict=True):
             top, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
             for block in blocks:
                 # until k rows are known, every row may be among them
