@@ -32,7 +32,7 @@ from tallyline.session import stored
 
 ORDER = 2
 MU = 100.0
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_KEYS = 1 << 20  # n-grams that a task sums up at a time, about
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
