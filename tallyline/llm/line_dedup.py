@@ -1,9 +1,10 @@
 """Fuzzy line deduplication with column functions only.
 
-Normalised lines get a SimHash of their words. Lines that agree in two of its
-four blocks meet (two differing bits spoil two blocks at most), and are linked if
-their hashes differ in two bits at most and their edit similarity is high enough.
-One occurrence of each connected group of lines stays.
+Normalised lines are cut into overlapping grams: pairs of neighbouring words, or
+six characters where lines are short or have few spaces. The grams of smallest
+hash are a line's sketch. Lines whose sketches share two grams meet, and are
+linked if their edit similarity is high enough. One occurrence of each connected
+group of lines stays.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from tallyline.session import shared_dir, stored
 RADIUS, BLOCKS = 2, 4
 SIMILARITY = 0.9
 LEAST_WORDS = 5
+SKETCH = 6  # grams of smallest hash
+CHARS, WORDS = 6, 2  # characters, or words, of a gram
+SHORT = 100  # lines of so many characters have grams of characters, and those of a tenth less or more also of words
+SPARSE = 12, 16  # characters a word from which grams of characters are taken, and up to which grams of words are
 PIECE_CHARS = 4000
 PIECE_BITS = 20  # strings of up to two million characters are compared
 SIZES = (1 << 13) - 1  # sizes from here on count as one
@@ -89,6 +94,39 @@ def simhashes(found: DataFrame) -> DataFrame:
     )
 
 
+def _sketch(parts: Column, width: int) -> Column:
+    """The smallest hashes of the grams of ``width`` neighbouring parts; grams at the end have fewer parts."""
+    grams = F.arrays_zip(*[F.slice(parts, k + 1, F.size(parts) + 1) for k in range(width)])
+    hashes = F.transform(grams, lambda gram: F.xxhash64(gram))
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+
+
+def sketches(found: DataFrame) -> DataFrame:
+    """One row for each distinct line: key, size (characters), times, c0.. (sketch of characters), w0.. (of words).
+
+    Lines near each other in size, or in characters a word, have the same kind of
+    sketch at least once, as the ranges of both kinds overlap.
+    """
+    split = lambda by: F.array_remove(F.split("plain", by, -1), "")
+    parts = found.select("key", "plain", F.length("plain").alias("size"), split(" ").alias("words"))
+    each = F.col("size") / F.size("words")
+    chars = (F.col("size") <= SHORT) | (each > SPARSE[0])
+    words = (F.col("size") > SHORT * SIMILARITY) & (each <= SPARSE[1])
+    parts = parts.select("key", "size", F.when(chars, _sketch(split(""), CHARS)).alias("c"), F.when(words, _sketch(F.col("words"), WORDS)).alias("w"))
+    least = [F.max(F.get(kind, F.lit(k))).alias(f"{kind}{k}") for kind in "cw" for k in range(SKETCH)]
+    return parts.groupBy("key").agg(F.max("size").alias("size"), F.count("*").alias("times"), *least)
+
+
+def _shared() -> Column:
+    """All pairs of grams of a sketch, as numbers; a sketch of one gram is a pair with itself."""
+    keys = []
+    for kind in "cw":
+        pairs = itertools.combinations([f"{kind}{k}" for k in range(SKETCH)], 2)
+        keys += [F.when(F.col(b).isNotNull(), F.xxhash64(F.lit(kind), a, b)) for a, b in pairs]
+        keys.append(F.when(F.col(f"{kind}1").isNull() & F.col(f"{kind}0").isNotNull(), F.xxhash64(F.lit(kind), f"{kind}0")))
+    return F.array_compact(F.array(*keys))
+
+
 def _blocks(print_col: str, blocks: int, radius: int) -> Column:
     """All ways to agree in the blocks that differing bits must leave alone, as numbers."""
     width = 64 // blocks
@@ -103,35 +141,50 @@ def _size(rank: str) -> Column:
     return F.shiftrightunsigned(rank, 40).bitwiseAND(F.lit(SIZES))
 
 
-def _near(other: str, other_rank: str, radius: int, similarity: float) -> Column:
-    """Whether hashes are near, and sizes so that the edit similarity can be high enough."""
+def _near(other: str, other_rank: str, radius: int | None, similarity: float) -> Column:
+    """Whether sizes are so that the edit similarity can be high enough, and hashes near if there is a radius."""
     a, b = _size("rank"), _size(other_rank)
-    bits = F.bit_count(F.col("print").bitwiseXOR(F.col(other))) <= radius
-    return bits & (F.abs(a - b) <= F.greatest(a, b) * (1 - similarity) + 1e-9)
+    sizes = F.abs(a - b) <= F.greatest(a, b) * (1 - similarity) + 1e-9
+    return sizes if radius is None else sizes & (F.bit_count(F.col("print").bitwiseXOR(F.col(other))) <= radius)
 
 
 def links(known: DataFrame, found: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between keys of near lines, enough to connect all of them.
+    """Links between lines whose ``simhashes`` differ in ``radius`` bits at most: most lines near by edits differ in more."""
+    keyed = known.select("key", "print", _rank().alias("rank"), F.explode(_blocks("print", blocks, radius)).alias("bucket"))
+    return _linked(keyed, found, radius, similarity)
 
-    In each bucket of lines that agree in some blocks, all meet the most frequent
-    line first. Those linked to it are connected, so no pair of them is needed;
-    only lines that are not meet every other line of the bucket.
-    """
+
+def sketch_links(known: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links between lines whose ``sketches`` share two grams."""
+    keyed = known.select("key", _rank().alias("rank"), F.explode(_shared()).alias("bucket"))
+    return _linked(keyed, found, None, similarity)
+
+
+def _rank() -> Column:
     # the most frequent line of a bucket, ties by size and key, as one number that can be aggregated by hash
     weight = F.shiftleft(F.least("times", F.lit(1023).cast("bigint")), 53)
     size = F.shiftleft(F.least(F.col("size").cast("bigint"), F.lit(SIZES).cast("bigint")), 40)
-    rank = weight.bitwiseOR(size).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 40) - 1)))
-    keyed = known.select("key", "print", rank.alias("rank"), F.explode(_blocks("print", blocks, radius)).alias("bucket"))
+    return weight.bitwiseOR(size).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 40) - 1)))
+
+
+def _linked(keyed: DataFrame, found: DataFrame, radius: int | None, similarity: float) -> DataFrame:
+    """Links (key, to) between near lines of the same buckets, enough to connect all of them.
+
+    In each bucket all lines meet the most frequent one first. Those linked to it
+    are connected, so no pair of them is needed; only lines that are not meet
+    every other line of the bucket.
+    """
+    prints = [] if radius is None else ["print"]
     heads = keyed.groupBy("bucket").agg(F.count("*").alias("rows"), F.max("rank").alias("top")).where("rows > 1")
     crowd = stored(keyed.join(heads, "bucket"))
-    heads = crowd.where("rank = top").select("bucket", F.col("key").alias("to"), F.col("print").alias("to_print"))
+    heads = crowd.where("rank = top").select("bucket", F.col("key").alias("to"), *[F.col(c).alias("to_print") for c in prints])
     members = crowd.join(heads, "bucket").where("key <> to")
     direct = members.where(_near("to_print", "top", radius, similarity)).select("key", "to").distinct()
     direct = stored(_alike(direct, found, similarity))
     # lines that are not linked to the head, in buckets of more than the two
     apart = members.where("rows > 2").join(direct, ["key", "to"], "left_anti")
-    apart = apart.select("bucket", F.col("key").alias("from"), F.col("print").alias("from_print"), F.col("rank").alias("from_rank"))
-    pairs = apart.join(members.select("bucket", "key", "print", "rank"), "bucket")
+    apart = apart.select("bucket", F.col("key").alias("from"), *[F.col(c).alias("from_print") for c in prints], F.col("rank").alias("from_rank"))
+    pairs = apart.join(members.select("bucket", "key", *prints, "rank"), "bucket")
     pairs = pairs.where(_near("from_print", "from_rank", radius, similarity) & (F.col("key") != F.col("from")))
     pairs = pairs.select(F.greatest("key", "from").alias("key"), F.least("key", "from").alias("to")).distinct()
     return direct.unionByName(_alike(pairs, found, similarity))
@@ -177,8 +230,8 @@ def _within(a: Column, b: Column, most: Column) -> Column:
 
 
 def repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS,
-    similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, most: int = PIECE_CHARS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
+    least_words: int = LEAST_WORDS, most: int = PIECE_CHARS,
 ) -> DataFrame:
     """The lines to remove: doc (the id), n (piece), class (a key that its group of lines shares).
 
@@ -186,13 +239,11 @@ def repeats(
     stays; a null id comes first. Lines of fewer than ``least_words`` words are
     never removed.
     """
-    if most >= 1 << 15:
-        raise ValueError("a piece may have 16,383 words at most")
     path = shared_dir(docs.sparkSession)
     lines(docs, id_col, text_col, least_words, most).write.option("compression", "zstd").parquet(path)
     found = docs.sparkSession.read.parquet(path)
-    known = stored(simhashes(found))
-    roots = stored(components(links(known, found, radius, blocks, similarity), "key", "to"))
+    known = stored(sketches(found))
+    roots = stored(components(sketch_links(known, found, similarity), "key", "to"))
     alone = known.where("times > 1").join(roots, known.key == roots.node, "left_anti")
     groups = roots.select(F.col("node").alias("key"), F.col("root").alias("class"))
     groups = groups.unionByName(alone.select("key", F.col("key").alias("class")))

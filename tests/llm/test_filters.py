@@ -99,6 +99,42 @@ def test_links_are_all_found(spark):
     assert {k: find(k, near) for k in prints} == {k: find(k, got) for k in prints}
 
 
+def _variant(random, words, line, kind):
+    """A line with one word replaced or left out, or one letter changed, still 0.9 alike."""
+    line, at = list(line), int(random.integers(len(line)))
+    if kind == "word":
+        line[at] = str(random.choice([w for w in words if len(w) <= len(line[at])]))
+    elif kind == "gone":
+        del line[at]
+    else:
+        line[at] = line[at][:-1] + "z"
+    return " ".join(line)
+
+
+def test_near_lines_meet(spark):
+    """Recall against edit similarity alone, by line length."""
+    import numpy as np
+
+    random = np.random.default_rng(5)
+    words = ["".join(random.choice(list("abcdefghilmnorst"), random.integers(2, 8))) for _ in range(3000)]
+    pairs = []
+    for size in (5, 10, 20, 50, 100):
+        while len([p for p in pairs if p[0] == size]) < 60:
+            base = random.choice(words, size).tolist()
+            a, b = " ".join(base), _variant(random, words, base, str(random.choice(["word", "gone", "letter"])))
+            if a != b and _distance(a, b) <= math.floor(max(len(a), len(b)) * 0.1 + 1e-9):
+                pairs.append((size, a, b))
+    # without spaces, one character put in early
+    bare = ["".join(random.choice(list("0123456789+/abcdefgh"), 300)) for _ in range(20)]
+    pairs += [(1, x, x[:30] + "Z" + x[30:]) for x in bare]
+    docs = spark.createDataFrame([(2 * n + k, p[1 + k]) for n, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string")
+    found = line_dedup.dedup(docs, least_words=1).where("n_removed > 0 and doc_id % 2 = 1").select("doc_id").collect()
+    gone = {r.doc_id // 2 for r in found}
+    for size in {p[0] for p in pairs}:
+        of = [n for n, p in enumerate(pairs) if p[0] == size]
+        assert sum(n in gone for n in of) >= 0.95 * len(of), size
+
+
 SECRETS = [
     None, "", "nothing here",
     "password = 'hunter22'; token: abc; API_KEY=abcdef123456 passwd:secret",
