@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyline.llm.arrow import PLAIN, chunks, words
 from tallyline.llm.gru import Network, train
 from tallyline.llm.training import sample
+from tallyline.session import stored
 
 PER_CLASS = 1500  # texts of each label that are learnt from
 WINDOWS = 32  # windows of each of them, evenly spread over the text
@@ -49,12 +50,15 @@ class Model:
     slope: float
     level: float
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
+    def highest(self, texts: pa.Array) -> np.ndarray:
+        """Highest logit of all windows of each text."""
         ids, at, vocabulary = words(texts, PLAIN)
         rows, each = windows(ids, at)
         logits = self.network.logits(self.network.inputs(vocabulary)[0], rows)
-        highest = np.maximum.reduceat(logits, np.cumsum(each) - each)
-        return 1 / (1 + np.exp(-np.clip(self.slope * highest + self.level, -40, 40)))
+        return np.maximum.reduceat(logits, np.cumsum(each) - each)
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.highest(texts) + self.level, -40, 40)))
 
 
 def _spread(most: int):
@@ -79,8 +83,9 @@ def fit(texts: list[list[str]], labels: np.ndarray, steps: int = 150, batch: int
 
     A toxic text need not be toxic in every window. First all its windows count;
     then only the windows that score above what clean texts reach (if there are any).
-    One text in five is kept aside to place the score's ``CUT``. With one label
-    only, every score says what the labels say.
+    One text in five is kept aside, for ``learn`` to place the score's ``CUT``; until
+    then the line leaves logits as they are. With one label only, every score says
+    what the labels say.
     """
     if not (labels == 1).any() or not (labels == 0).any():
         side = 5.0 if len(labels) and labels[0] == 1 else -5.0
@@ -90,7 +95,7 @@ def fit(texts: list[list[str]], labels: np.ndarray, steps: int = 150, batch: int
     rows = np.zeros((len(owner), LENGTH), np.int32)
     width = np.diff(at)
     rows[np.arange(LENGTH) < width[:, None]] = ids + 1
-    aside = np.arange(len(texts)) % 5 == 4
+    aside = _aside(len(texts))
     learnt = ~aside[owner]
     vocabulary_size = len(vocabulary)
     met = np.unique(owner[learnt, None] * np.int64(vocabulary_size + 1) + rows[learnt])
@@ -108,13 +113,15 @@ def fit(texts: list[list[str]], labels: np.ndarray, steps: int = 150, batch: int
     train(network, vocabulary, rows[learnt], target[learnt], steps, batch, 0.01, seed)
     inputs = network.inputs(vocabulary)[0]
     logits = network.logits(inputs, rows)
-    first = np.searchsorted(owner, np.arange(len(texts)))
     reached = np.quantile(logits[(target == 0) & learnt], 0.999)
     sure = (target == 0) | (logits >= reached)
     sure |= not (sure & learnt & (target == 1)).any()
     train(network, vocabulary, rows[learnt & sure], target[learnt & sure], steps, batch, 0.005, seed + 1)
-    highest = np.maximum.reduceat(network.logits(network.inputs(vocabulary)[0], rows), first)
-    return Model(network, *_line(highest, labels, aside))
+    return Model(network, 1.0, 0.0)
+
+
+def _aside(count: int) -> np.ndarray:
+    return np.arange(count) % 5 == 4
 
 
 def _line(highest: np.ndarray, labels: np.ndarray, aside: np.ndarray) -> tuple[float, float]:
@@ -135,20 +142,35 @@ def learn(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, most_windows: int = WINDOWS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> Model:
-    """Fits on at most ``per_class`` texts of each label and ``most_windows`` windows of each: a bound on what the driver gets."""
+    """Fits on at most ``per_class`` texts of each label and ``most_windows`` windows of each: a bound on what the driver gets.
+
+    The line is placed on the highest of all windows of these texts, which is what texts are judged by.
+    """
     chosen = sample(docs, labels, label, per_class, id_col, text_col)
-    chosen = chosen.select("id", "label", _spread(most_windows)(F.col("text")).alias("windows")).orderBy("id", "windows")
-    found = chosen.select("label", "windows").toArrow()
-    return fit(found.column("windows").to_pylist(), found.column("label").to_numpy())
+    chosen = stored(chosen.select("id", "label", "text", _spread(most_windows)(F.col("text")).alias("windows")))
+    order = "id", "windows", "text"
+    found = chosen.orderBy(*order).select("label", "windows").toArrow()
+    labels = found.column("label").to_numpy()
+    model = fit(found.column("windows").to_pylist(), labels)
+    if model.slope == 0:
+        return model
+    whole = _each(docs.sparkSession.sparkContext.broadcast(model), Model.highest)
+    highest = chosen.select(*order, whole(F.col("text")).alias("highest")).orderBy(*order).select("highest").toArrow()
+    return replace(model, **dict(zip(("slope", "level"), _line(highest.column("highest").to_numpy(), labels, _aside(len(labels))))))
 
 
-def score(text: Column, model: Broadcast) -> Column:
-    """Score of a whole text, 0 to 1: its highest window. Null counts as empty; an empty text has one empty window."""
+def _each(model: Broadcast, read: Callable[[Model, pa.Array], np.ndarray]):
+    """A number of the model for each whole text."""
 
     @F.arrow_udf("double")
-    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def numbers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [model.value.scores(part) for part in chunks(texts, _CHUNK)]
+            found = [read(model.value, part) for part in chunks(texts, _CHUNK)]
             yield pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
-    return scores(text)
+    return numbers
+
+
+def score(text: Column, model: Broadcast) -> Column:
+    """Score of a whole text, 0 to 1: its highest window. Null counts as empty; an empty text has one empty window."""
+    return _each(model, Model.scores)(text)

@@ -178,6 +178,30 @@ def test_toxicity_on_held_out(spark, prose):
     assert len(held) > 150 and np.mean([a == b for a, b in held]) > 0.95
 
 
+def test_toxicity_line_is_placed_on_whole_texts(spark, monkeypatch):
+    """Texts of thousands of words: the line sees the highest of all windows, and tells them apart at any length."""
+    random = np.random.default_rng(2)
+    rows = []
+    for n in range(160):
+        text = random.choice([f"plain{k}" for k in range(200)], int(random.choice([40, 3000]))).tolist()
+        if n % 2:  # toxic words in one place, which most picked windows miss if the text is long
+            at = int(random.integers(len(text) - 30))
+            text[at : at + 30] = random.choice([f"vile{k}" for k in range(10)], 30).tolist()
+        rows.append((n, " ".join(text), n % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    seen, line = [], toxicity._line
+    monkeypatch.setattr(toxicity, "_line", lambda highest, *rest: seen.append(np.array(highest)) or line(highest, *rest))
+    model = toxicity.learn(docs, labels)
+    learnt = [r for r in rows if not _held(r[0])]
+    assert np.allclose(seen[0], toxicity.replace(model, slope=1.0, level=0.0).highest(pa.array([r[1] for r in learnt])), atol=1e-4)
+    held = [r for r in rows if _held(r[0])]
+    for long in (False, True):
+        some = [r for r in held if (len(r[1].split()) > 1000) == long]
+        scores = model.scores(pa.array([r[1] for r in some]))
+        assert len(some) > 5 and np.mean([(x >= toxicity.CUT) == (r[2] == 1) for x, r in zip(scores, some)]) >= 0.9
+
+
 def test_sample_is_bounded_and_leaves_the_fold_out(prose):
     docs, labels, _ = prose
     rows = training.sample(docs, labels, "toxic", 40).collect()
