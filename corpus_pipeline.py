@@ -23,7 +23,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     ``n_chars`` becomes the length of what is left.
     """
-    found = line_dedup.dedup(docs, n_col="__removed")
+    found = line_dedup.dedup(docs, n_col="__removed", least_words=1)
     found = found.where((F.col("__removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
     columns = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return found.select(*columns)

@@ -21,6 +21,7 @@ from tallyline.session import shared_dir, stored
 RADIUS, BLOCKS = 2, 4
 SIMILARITY = 0.9
 LEAST_WORDS = 5
+WORD_CHARS = 8  # a line of so many characters for each of the least words takes part however few its spaces are
 SKETCH = 6  # grams of smallest hash
 CHARS, WORDS = 6, 2  # characters, or words, of a gram
 SHORT = 100  # lines of so many characters have grams of characters, and those of a tenth less or more also of words
@@ -55,7 +56,7 @@ def normalised(text: Column) -> Column:
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, least_words: int, most: int) -> DataFrame:
-    """One row for each line of at least ``least_words`` words: row, doc, n (piece, from 0), key, plain.
+    """One row for each line of at least ``least_words`` words, or as long as these are: row, doc, n (piece, from 0), key, plain.
 
     A whole text is normalised at once. A line end is put where ``pieces`` cuts a
     long line, so both number the pieces alike.
@@ -66,7 +67,8 @@ def lines(docs: DataFrame, id_col: str, text_col: str, least_words: int, most: i
     found = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(normalised(whole), "\n", -1)).alias("n", "line"))
     # at least so many spaces is cheap to see and leaves out most short lines; then words count
     spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    found = found.where(spaces >= least_words - 1).where(F.col("line").rlike(r"^\s*+(?:\S++\s++){%d}\S" % (least_words - 1)))
+    counted = (spaces >= least_words - 1) & F.col("line").rlike(r"^\s*+(?:\S++\s++){%d}\S" % (least_words - 1))
+    found = found.where(counted | (F.length(F.trim("line")) >= least_words * WORD_CHARS))
     found = found.select(F.monotonically_increasing_id().alias("row"), "doc", "n", F.trim("line").alias("plain"))
     return found.withColumn("key", F.xxhash64("plain"))
 
@@ -236,8 +238,9 @@ def repeats(
     """The lines to remove: doc (the id), n (piece), class (a key that its group of lines shares).
 
     The occurrence of the smallest (id, n) in a group of equal or near lines
-    stays; a null id comes first. Lines of fewer than ``least_words`` words are
-    never removed.
+    stays; a null id comes first. Lines of fewer than ``least_words`` words, and
+    of fewer than ``WORD_CHARS`` characters for each of these, are never removed;
+    with 1 all lines but blank ones take part.
     """
     path = shared_dir(docs.sparkSession)
     lines(docs, id_col, text_col, least_words, most).write.option("compression", "zstd").parquet(path)

@@ -41,7 +41,7 @@ def maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=1)
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
     return found.select(
         "doc_id", "n_removed", lines.alias("n_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")

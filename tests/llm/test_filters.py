@@ -135,6 +135,24 @@ def test_near_lines_meet(spark):
         assert sum(n in gone for n in of) >= 0.95 * len(of), size
 
 
+def test_short_lines_and_lines_without_spaces(spark):
+    bare = "\u6587\u5b57" * 30 + "0123456789"
+    rows = [(0, f"Yes!\n\n{bare}"), (1, f"yes\n\nno\n{bare}"), (2, "a b c\nno\n \nA B, C")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.text for r in line_dedup.dedup(docs, least_words=1).collect()}
+    assert found == {0: rows[0][1], 1: "\nno", 2: "a b c\n "}
+    found = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
+    assert found == {0: rows[0][1], 1: "yes\n\nno", 2: rows[2][1]}
+
+
+def test_the_query_lets_short_lines_take_part(spark, tmp_path):
+    from tallyline.llm.queries import QUERIES
+
+    docs = spark.createDataFrame([(0, "yes\none"), (1, "Yes.\ntwo")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()} == {0: 0, 1: 1}
+
+
 SECRETS = [
     None, "", "nothing here",
     "password = 'hunter22'; token: abc; API_KEY=abcdef123456 passwd:secret",
