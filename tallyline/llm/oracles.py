@@ -6,6 +6,11 @@ of shingles, no rank-ordered merges of byte pairs and no trained network.
 
 from __future__ import annotations
 
+import math
+
+from tallyline.llm import collocations as phrases
+from tallyline.llm import importance
+from tallyline.llm import quality_rules as rules
 from tallyline.llm import secret_scan as secret
 from tallyline.llm import url_filter as url
 
@@ -140,9 +145,128 @@ SELECT texts.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secret.O
 FROM texts LEFT JOIN of_base USING (doc_id) LEFT JOIN of_all USING (doc_id)
 """
 
+_TABLE = """list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+_BYTES = "list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))"
+RESAMPLED = f"""
+WITH docs AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents),
+wanted AS (SELECT unnest({_WORDS}) AS w FROM benchmark),
+vocabulary AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM docs UNION SELECT w FROM wanted)),
+crc AS (SELECT w, xor(list_reduce(list_concat([4294967295], {_BYTES}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)
+    % {importance.BUCKETS} AS bucket FROM vocabulary, (SELECT {_TABLE} AS tab)),
+s AS (SELECT bucket, count(*) AS s FROM docs JOIN crc USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM wanted JOIN crc USING (w) GROUP BY bucket),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + {importance.BUCKETS})
+        / (CAST(s + 1 AS DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + {importance.BUCKETS})))) AS BIGINT) AS gain
+    FROM s LEFT JOIN t USING (bucket)),
+sums AS (SELECT doc_id, count(*) AS n, sum(gain) AS gain FROM docs JOIN crc USING (w) JOIN gains USING (bucket) GROUP BY doc_id),
+noisy AS (
+    SELECT doc_id, coalesce(n, 0) AS n, CAST(coalesce(floor(CAST(gain AS DOUBLE) / n), 0) AS BIGINT) AS weight,
+        CAST('0x' || substr(sha256('{importance.SEED}:' || doc_id), 1, 8) AS BIGINT) AS h
+    FROM documents LEFT JOIN sums USING (doc_id)),
+scored AS (SELECT doc_id, n, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM noisy),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n >= {importance.LEAST_WORDS} ORDER BY score DESC, doc_id) AS place,
+    count(*) OVER (PARTITION BY n >= {importance.LEAST_WORDS}) AS able FROM scored)
+SELECT doc_id, n AS n_features, weight, score,
+    CASE WHEN n >= {importance.LEAST_WORDS} AND place <= able * {importance.PERCENT} // 100 THEN place END AS rank FROM placed
+"""
+
+
+def _fence(rule: rules.Rule, end: str) -> str:
+    """The limit of a group on one side, from its quartiles ``q1`` and ``q3``."""
+    reach = f"{rules.REACH} * greatest(q3 - q1, {rule.least_spread})"
+    value = f"q3 + {reach}" if end == "high" else f"q1 - {reach}"
+    return f"max(CASE WHEN rule = '{rule.name}' THEN {value} END) AS {rule.name}_{end}"
+
+
+_ENDS = [(rule, end) for rule in rules.RULES for end in (("high", "low") if rule.low else ("high",))]
+_NONE = -1_000_000  # the bucket of 0
+_MIDDLE = f"CASE WHEN {{0}} = {_NONE} THEN 0.0 ELSE 2 * pow({rules.GAMMA!r}::DOUBLE, {{0}}) / ({rules.GAMMA!r}::DOUBLE + 1) END"
+
+
+def _limits(by: str) -> str:
+    keys = f"{by}, " if by else ""
+    at = lambda q: f"min_by(bucket, upto) FILTER (upto > floor({q} * (texts - 1)))"
+    return f"""SELECT {keys}max(texts) AS texts, {", ".join(_fence(*x) for x in _ENDS)} FROM (
+        SELECT {keys}rule, texts, {_MIDDLE.format("b1")} AS q1, {_MIDDLE.format("b3")} AS q3 FROM (
+            SELECT {keys}rule, max(texts) AS texts, {at(0.25)} AS b1, {at(0.75)} AS b3 FROM (
+                SELECT *, sum(n) OVER (PARTITION BY {keys}rule ORDER BY bucket) AS upto,
+                    sum(n) OVER (PARTITION BY {keys}rule) AS texts
+                FROM (SELECT {keys}rule, bucket, count(*) AS n FROM shares GROUP BY {keys}rule, bucket)) GROUP BY {keys}rule))
+        GROUP BY {by or "()"}"""
+
+
+def _level(name: str) -> str:
+    enough = f"f.texts >= {rules.LEAST_TEXTS}"
+    of = lambda c: f"CASE WHEN {enough} THEN f.{c} WHEN l.texts >= {rules.LEAST_TEXTS} THEN l.{c} ELSE a.{c} END"
+    return of(name)
+
+
+_BEYOND = {
+    rule.name: " OR ".join(
+        f"{rule.part} / {rule.whole} {'>' if end == 'high' else '<'} {_level(f'{rule.name}_{end}')}" for r, end in _ENDS if r is rule
+    )
+    for rule in rules.RULES
+}
+RULES = f"""
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, w[i : i + 2] AS found FROM texts, unnest(range(1, len(w) - 1)) AS u(i)),
+again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, found) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, unnest(range(3)) AS u(k) GROUP BY doc_id),
+lines AS (
+    SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counted AS (
+    SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.dup, 0) AS n_dup_lines,
+        coalesce(repeated.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
+    FROM texts LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+measured AS ({" UNION ALL ".join(f"SELECT lang, source, '{r.name}' AS rule, {r.part} / {r.whole} AS share FROM counted WHERE n_words > 0" for r in rules.RULES)}),
+shares AS (SELECT lang, source, rule, CASE WHEN share > 0 THEN ceil(ln(share) / {math.log(rules.GAMMA)!r}::DOUBLE) ELSE {_NONE} END AS bucket FROM measured),
+f AS ({_limits("lang, source")}), l AS ({_limits("lang")}), a AS ({_limits("")}),
+judged AS (
+    SELECT counted.*, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed,
+        concat_ws(',', {", ".join(f"CASE WHEN n_words > 0 AND ({beyond}) THEN '{name}' END" for name, beyond in _BEYOND.items())}) AS failed_rules
+    FROM counted LEFT JOIN f USING (lang, source) LEFT JOIN l USING (lang) LEFT JOIN a ON true)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules
+FROM judged
+"""
+
+_HALF = lambda start, stop: f"array_to_string(w[{start} : {stop}], ' ')"
+PHRASES = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, '{phrases.NO_LANG}') AS lang,
+        regexp_extract_all(unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+    FROM documents),
+counts AS (
+    SELECT lang, array_to_string(words[i : i + size - 1], ' ') AS phrase, any_value(words[i : i + size - 1]) AS w, any_value(size) AS size, count(*) AS n
+    FROM pieces, unnest(range(1, {phrases.LONGEST + 1})) AS s(size), unnest(range(1, len(words) - size + 2)) AS t(i) GROUP BY 1, 2),
+sizes AS (SELECT lang, sum(n) AS n FROM counts WHERE size = 1 GROUP BY lang),
+often AS (SELECT * FROM counts WHERE n >= {phrases.LEAST}),
+cuts AS (
+    SELECT c.lang, c.phrase, k, c.n AS a, l.n AS l, r.n AS r, sizes.n AS n,
+        CAST((1000 * c.n::HUGEINT * sizes.n::HUGEINT) // (l.n::HUGEINT * r.n::HUGEINT) AS BIGINT) AS score
+    FROM often c, unnest(range(1, c.size)) AS u(k) JOIN sizes ON sizes.lang = c.lang
+    JOIN often l ON l.lang = c.lang AND l.phrase = {_HALF(1, "k").replace("w[", "c.w[")}
+    JOIN often r ON r.lang = c.lang AND r.phrase = {_HALF("k + 1", "c.size").replace("w[", "c.w[")}),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, {_HALF("i", "i + m - 1")} AS phrase, max(n) AS held
+    FROM often, unnest(range(2, size)) AS u(m), unnest(range(1, size - m + 2)) AS v(i) WHERE size > 2 GROUP BY 1, 2),
+kept AS (SELECT worst.* FROM worst LEFT JOIN inside USING (lang, phrase) WHERE held IS NULL OR 100 * held < {phrases.COVERED} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM kept QUALIFY rank <= {phrases.TOP}
+"""
+
 ORACLES: dict[str, str] = {
     "op2_maxscore_top_k": MAXSCORE,
     "op6_secret_scan": SECRETS,
     "op9_url_filter": URLS,
     "op10_decontamination": LEAKS,
+    "op11_importance_resampling": RESAMPLED,
+    "op12_quality_rules": RULES,
+    "op13_collocations": PHRASES,
 }

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from tallyline.llm import (
     bpe,
+    collocations,
     decontam,
+    importance,
     line_dedup,
     lm,
     maxscore,
     quality,
+    quality_rules,
     secret_scan,
     simhash,
     toxicity,
@@ -116,6 +119,27 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, sf_dir, "benchmark"), order=1, buckets=10_000, least_words=20, percent=10, seed=2024)
+
+
+def adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counted = docs.select("doc_id", "lang", "source", quality_rules.measured(F.col("text")).alias("counts"))
+    judged = quality_rules.judge(counted, by=("lang", "source")).select("doc_id", "counts.*", "failed")
+    return judged.select(
+        "doc_id", *quality_rules.COUNTS[:5], quality_rules.base_failed().alias("base_failed"),
+        (~quality_rules.base_failed() & (F.size("failed") == 0)).alias("kept"),
+        F.array_join("failed", ",").alias("failed_rules"),
+    )
+
+
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.collocations(docs, longest=5, least=100, top=2000, covered=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring,
     "op2_maxscore_top_k": maxscore_top_k,
@@ -127,4 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": byte_bpe,
     "op9_url_filter": url_verdicts,
     "op10_decontamination": benchmark_leaks,
+    "op11_importance_resampling": importance_resampling,
+    "op12_quality_rules": adaptive_rules,
+    "op13_collocations": phrase_collocations,
 }
