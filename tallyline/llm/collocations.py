@@ -39,7 +39,7 @@ MOST_ENTRIES = 400_000  # entries of a task's tries before they are spilled
 BITS_A_PHRASE = 16
 MOST_BITS = 1 << 27
 SALTS = 16
-OUT_ROWS = 20_000
+PARTS = 8  # prefix partitions for each partition of a shuffle
 
 # What ends a piece, and what separates words within one.
 _PIECE = np.zeros(256, bool)
@@ -170,18 +170,28 @@ class HatTrie:
             out.setdefault(words[0], Counter())[words[1] if rest == 2 else _packed(np.array([words[1:]], np.uint32))[0]] = count
         return out
 
-    def subtrees(self) -> Iterator[tuple[tuple[int, ...], Counter, int]]:
-        """Every container with the words above it and the number of words in its keys."""
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """All phrases as rows of word numbers, and their counts."""
+        above, counts = [], []
         if self.length == 1:
-            yield from (((), counts, 1) for counts in self.root.values())
-            return
-        stack = [((word,), below) for word, below in self.root.items()]
+            stack = [((), below) for below in self.root.values()]
+        else:
+            stack = [((word,), below) for word, below in self.root.items()]
         while stack:
-            above, below = stack.pop()
+            words, below = stack.pop()
             if type(below) is dict:
-                stack.extend(((*above, word), deeper) for word, deeper in below.items())
+                stack.extend(((*words, word), deeper) for word, deeper in below.items())
+                continue
+            rest = self.length - len(words)
+            if rest == 1:
+                key = np.fromiter(below, np.uint32, len(below)).reshape(-1, 1)
             else:
-                yield above, below, self.length - len(above)
+                key = np.frombuffer(b"".join(k.ljust(4 * rest, b"\0") for k in below), ">u4").reshape(-1, rest).astype(np.uint32)
+            prefix = np.broadcast_to(np.array(words, np.uint32), (len(key), len(words)))
+            above.append(np.concatenate([prefix, key], axis=1))
+            counts.append(np.fromiter(below.values(), np.int64, len(below)))
+        none = np.zeros((0, self.length), np.uint32)
+        return np.concatenate([none, *above]), np.concatenate([np.zeros(0, np.int64), *counts])
 
 
 def _packed(rows: np.ndarray) -> list[bytes]:
@@ -198,26 +208,19 @@ def _unpacked(key: bytes | int, size: int) -> tuple[int, ...]:
 class _Tries:
     """The tries of one task, one for each language, over one numbering of words; they are spilled together."""
 
-    def __init__(self, length: int):
-        self.length = length
+    def __init__(self, length: int, parts: int):
+        self.length, self.parts = length, parts
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.words: list[str] = []
         self.tries: dict[str, HatTrie] = {}
 
     def add(self, lang: str, vocabulary: list[str], rows: np.ndarray) -> None:
         """Phrases as rows of numbers into ``vocabulary``."""
-        used = np.unique(rows)
-        own = np.zeros(len(vocabulary), np.uint32)
-        for at in used.tolist():
-            word = vocabulary[at]
-            n = self.number.get(word)
-            if n is None:
-                n = self.number[word] = len(self.words)
-                self.words.append(word)
-            own[at] = n
+        own, number = np.zeros(len(vocabulary), np.uint32), self.number
+        for at in np.unique(rows).tolist():
+            own[at] = number.setdefault(vocabulary[at], len(number))
         self.tries.setdefault(lang, HatTrie(self.length, BURST)).add(own[rows])
 
     @property
@@ -225,26 +228,46 @@ class _Tries:
         return sum(trie.entries for trie in self.tries.values())
 
     def spill(self) -> Iterator[pa.RecordBatch]:
-        """All subtrees as sorted runs."""
-        for lang, trie in sorted(self.tries.items()):
-            named = lambda numbers: [self.words[n] for n in numbers]
-            trees = sorted((named(above), at, below, rest) for at, (above, below, rest) in enumerate(trie.subtrees()))
-            phrases, counts = [], []
-            for above, _, below, rest in trees:
-                run = sorted((" ".join(above + named(_unpacked(key, rest))), count) for key, count in below.items())
-                phrases += [phrase for phrase, _ in run]
-                counts += [count for _, count in run]
-                if len(phrases) >= OUT_ROWS:
-                    yield _rows(lang, phrases, counts)
-                    phrases, counts = [], []
-            if phrases:
-                yield _rows(lang, phrases, counts)
+        """All subtrees as sorted runs, one for each language and prefix partition."""
+        words = sorted(self.number)
+        rank = np.zeros(len(words), np.uint32)
+        for place, word in enumerate(words):
+            rank[self.number[word]] = place
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        words = pa.array(words, pa.large_string())
+        while self.tries:
+            lang, trie = self.tries.popitem()
+            rows, counts = trie.rows()
+            del trie
+            rows = rank[rows]
+            part = prefix_parts(hashes, rows, self.parts)
+            order = np.lexsort((*rows.T[::-1], part))
+            rows, counts, part = rows[order], counts[order], part[order]
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            phrases = pc.binary_join_element_wise(*(words.take(pa.array(column)) for column in rows.T), pa.scalar(" ", pa.large_string()))
+            ends = np.append(starts, len(part))
+            runs = pa.LargeListArray.from_arrays(pa.array(ends), phrases)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(starts)),
+                    pa.array(part[starts]),
+                    pc.binary_join(runs, pa.scalar("\n", pa.large_string())).cast(pa.string()),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(counts)),
+                ],
+                ["lang", "part", "phrases", "counts"],
+            )
         self.clear()
 
 
-def _rows(lang: str, phrases: list[str], counts: list[int]) -> pa.RecordBatch:
-    langs = pa.array([lang]).take(pa.array(np.zeros(len(phrases), np.int64)))
-    return pa.RecordBatch.from_arrays([langs, pa.array(phrases), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+def prefix_parts(hashes: np.ndarray, rows: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of each phrase: that of its first two words, in one of ``SALTS`` places by its last word."""
+    length = rows.shape[1]
+    total = hashes[rows[:, 0]]
+    if length > 2:
+        total = _mix(total, hashes[rows[:, 1]])
+    if length > 1:  # one prefix may hold much of the data
+        total = _mix(total, hashes[rows[:, -1]] % np.uint64(SALTS))
+    return ((total >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
 def _bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -269,9 +292,9 @@ def _phrases(numbers: np.ndarray, hashes: np.ndarray, length: int, bits: np.ndar
     return np.stack([numbers[at + k] for k in range(length)], axis=1).astype(np.int64) - 1
 
 
-def _counted(length: int, bitmap: Broadcast | None):
+def _counted(length: int, parts: int, bitmap: Broadcast | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = _Tries(length)
+        tries = _Tries(length, parts)
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             for lang, words, raw in zip(*(batch.column(n) for n in ("lang", "words", "numbers")), strict=True):
@@ -317,22 +340,19 @@ def bitmap(frequent: DataFrame) -> Broadcast:
 
 
 def summed(runs: DataFrame) -> DataFrame:
-    """Counts of phrases over all runs.
-
-    Runs meet by language and prefix, i.e. their first two words; a prefix is
-    dealt to ``SALTS`` places, since one may hold much of the data.
-    """
-    prefix = F.substring_index("phrase", " ", 2).alias("prefix")
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt")
-    placed = runs.select("lang", prefix, salt, "phrase", "n").repartition("lang", "prefix", "salt")
-    return placed.groupBy("lang", "prefix", "salt", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", "n")
+    """Counts of phrases over all runs, which meet by their prefix partition."""
+    met = runs.repartition("part").select("part", "lang", F.explode(F.arrays_zip(F.split("phrases", "\n").alias("phrase"), F.col("counts").alias("n"))).alias("x"))
+    return met.groupBy("part", "lang", "x.phrase").agg(F.sum("x.n").alias("n")).select("lang", "phrase", "n")
 
 
 def phrase_counts(blocks: DataFrame, longest: int, least: int) -> list[DataFrame]:
     """For each length the phrases that occur ``least`` times or more: columns lang, phrase, n."""
     out, bits = [], None
+    parts = PARTS * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for length in range(1, longest + 1):
-        runs = blocks.select("lang", "words", "numbers").mapInArrow(_counted(length, bits), "lang string, phrase string, n long")
+        runs = blocks.select("lang", "words", "numbers").mapInArrow(
+            _counted(length, parts, bits), "lang string, part long, phrases string, counts array<long>"
+        )
         frequent = stored(summed(runs).where(F.col("n") >= least))
         out.append(frequent)
         if length < longest:
