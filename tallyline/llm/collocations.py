@@ -33,12 +33,13 @@ LEAST = 100
 TOP = 2000
 COVERED = 100  # percent of a phrase's occurrences that must lie in a longer one for it to be dropped
 NO_LANG = "und"
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 18  # so that a block is no very large object in the JVM either
 BURST = 4096  # entries of a container
-MOST_ENTRIES = 400_000  # entries of a task's tries before they are spilled
+MOST_ENTRIES = 300_000  # entries of a task's tries before they are spilled
 BITS_A_PHRASE = 16
 MOST_BITS = 1 << 27
 SALTS = 16
+HELD_ROWS = 300_000  # phrases that go into a trie together
 PARTS = 8  # prefix partitions for each partition of a shuffle
 
 # What ends a piece, and what separates words within one.
@@ -215,13 +216,24 @@ class _Tries:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.tries: dict[str, HatTrie] = {}
+        self.held: dict[str, list[np.ndarray]] = {}
+        self.n_held = 0
 
     def add(self, lang: str, vocabulary: list[str], rows: np.ndarray) -> None:
         """Phrases as rows of numbers into ``vocabulary``."""
         own, number = np.zeros(len(vocabulary), np.uint32), self.number
         for at in np.unique(rows).tolist():
             own[at] = number.setdefault(vocabulary[at], len(number))
-        self.tries.setdefault(lang, HatTrie(self.length, BURST)).add(own[rows])
+        self.held.setdefault(lang, []).append(own[rows])
+        self.n_held += len(rows)
+        if self.n_held >= HELD_ROWS:
+            self.settle()
+
+    def settle(self) -> None:
+        """Puts what is held into the tries."""
+        for lang, rows in self.held.items():
+            self.tries.setdefault(lang, HatTrie(self.length, BURST)).add(np.concatenate(rows))
+        self.held, self.n_held = {}, 0
 
     @property
     def entries(self) -> int:
@@ -229,6 +241,7 @@ class _Tries:
 
     def spill(self) -> Iterator[pa.RecordBatch]:
         """All subtrees as sorted runs, one for each language and prefix partition."""
+        self.settle()
         words = sorted(self.number)
         rank = np.zeros(len(words), np.uint32)
         for place, word in enumerate(words):
@@ -341,7 +354,9 @@ def bitmap(frequent: DataFrame) -> Broadcast:
 
 def summed(runs: DataFrame) -> DataFrame:
     """Counts of phrases over all runs, which meet by their prefix partition."""
-    met = runs.repartition("part").select("part", "lang", F.explode(F.arrays_zip(F.split("phrases", "\n").alias("phrase"), F.col("counts").alias("n"))).alias("x"))
+    # a fixed number of partitions: unpacked, runs are much larger than what is measured of them
+    count = 2 * int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = runs.repartition(count, "part").select("part", "lang", F.explode(F.arrays_zip(F.split("phrases", "\n").alias("phrase"), F.col("counts").alias("n"))).alias("x"))
     return met.groupBy("part", "lang", "x.phrase").agg(F.sum("x.n").alias("n")).select("lang", "phrase", "n")
 
 

@@ -188,6 +188,7 @@ def plain_collocations(rows, longest, least, top):
 def small_tries(monkeypatch):
     monkeypatch.setattr(collocations, "BURST", 3)
     monkeypatch.setattr(collocations, "MOST_ENTRIES", 200)
+    monkeypatch.setattr(collocations, "HELD_ROWS", 100)
     monkeypatch.setattr(collocations, "BLOCK_BYTES", 300)
 
 
