@@ -13,7 +13,8 @@ from .plans import batch, contributions, fetch
 from .schemas import BATCH_CONFIG
 from .session import shared_dir
 from .sources import config, feeds, pages
-from .streaming.commits import stream_ingest_commits
+from .sources.store import Store
+from .streaming.commits import commit_store, stream_ingest_commits
 from .views import DOMAIN, GIVEN, Tables
 
 WINDOW = ("1996-01-01T00:00:00Z", "1998-12-31T00:00:00Z")
@@ -67,6 +68,13 @@ def query_by_example(t: Tables) -> DataFrame:
     return rows.by_example(t.commits, example).select("commit_id", "repo_id", "sha1", "author_id")
 
 
+def _user_store(t: Tables) -> Store:
+    """The users as a stored table."""
+    store = Store(t.spark, shared_dir(t.spark), t.users.schema, by=["user_id"], buckets=16)
+    store.append(t.users)
+    return store
+
+
 @query
 def upsert_rows(t: Tables) -> DataFrame:
     renamed = t.users.where("excluded").select("user_id", F.upper("name").alias("name"), "email", F.lit(False).alias("excluded"))
@@ -76,17 +84,23 @@ def upsert_rows(t: Tables) -> DataFrame:
         F.lit(None).cast("string").alias("email"),
         F.lit(True).alias("excluded"),
     )
-    return rows.upsert(t.users, renamed.unionByName(added), ["user_id"])
+    store = _user_store(t)
+    store.upsert(renamed.unionByName(added), ["user_id"])
+    return store.read()
 
 
 @query
 def delete_rows(t: Tables) -> DataFrame:
-    return rows.delete(t.users, users.excluded(t.users), ["user_id"])
+    store = _user_store(t)
+    store.delete(users.excluded(t.users), ["user_id"])
+    return store.read()
 
 
 @query
 def delete_all_rows(t: Tables) -> DataFrame:
-    return rows.delete_all(t.users)
+    store = _user_store(t)
+    store.delete_all()
+    return store.read()
 
 
 # Feeds
@@ -180,6 +194,30 @@ def incremental_new_commits(t: Tables) -> DataFrame:
     return fetch.new_commits(feed, stored)
 
 
+def _incremental(t: Tables) -> tuple[Store, Store]:
+    """Stored commits and their marks after one fetch into both."""
+    known = commits.in_window(t.commits, "1970-01-01T00:00:00Z", STORED_UNTIL).select("repo_id", "sha1", "commit_date")
+    folder = shared_dir(t.spark)
+    store = commit_store(t.spark, f"{folder}/commits", known.schema)
+    store.append(known)
+    marks = fetch.high_water_marks(known)
+    mark_store = Store(t.spark, f"{folder}/marks", marks.schema, by=["repo_id"], buckets=16)
+    mark_store.append(marks)
+    feed = feeds.commit_rows(t.raw_commits).select("repo_id", "seq", "sha1", "commit_date")
+    fetch.fetch_into(store, mark_store, feed)
+    return store, mark_store
+
+
+@query
+def incremental_store(t: Tables) -> DataFrame:
+    return _incremental(t)[0].read()
+
+
+@query
+def incremental_marks(t: Tables) -> DataFrame:
+    return _incremental(t)[1].read()
+
+
 @query
 def fetched_commits(t: Tables) -> DataFrame:
     """The commits one whole fetch adds, with their people resolved."""
@@ -222,6 +260,26 @@ def _fetch(t: Tables) -> dict[str, DataFrame]:
     )
 
 
+def _fetch_repositories(t: Tables) -> dict[str, DataFrame]:
+    """A fetch whose feed lists the repositories with a prefix, some of them stored."""
+    known = _known_repositories(t).withColumn("last_fetched_at", F.lit(None).cast("timestamp_ntz"))
+    stored = commits.in_window(t.commits, "1970-01-01T00:00:00Z", STORED_UNTIL)
+    return fetch.fetch(
+        t.raw_commits, t.raw_pull_requests, known, stored, t.pull_requests, t.users, t.team_members, DOMAIN,
+        raw_repositories=_raw_repositories(t), prefix=PREFIX, now="2024-05-01T10:00:00Z",
+    )
+
+
+@query
+def fetched_new_repositories(t: Tables) -> DataFrame:
+    return _fetch_repositories(t)["new_repositories"]
+
+
+@query
+def fetched_stamps(t: Tables) -> DataFrame:
+    return _fetch_repositories(t)["repositories"]
+
+
 def _stream_ingest(t: Tables) -> DataFrame:
     orders = feeds.stream_files(t.spark, f"{t.dir}/orders.parquet", GIVEN["orders"])
     copies = F.when(F.col("o_orderkey") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
@@ -233,8 +291,9 @@ def _stream_ingest(t: Tables) -> DataFrame:
         F.col("o_orderdate").alias("commit_date"),
     )
     folder = shared_dir(t.spark)
-    stream_ingest_commits(feed, f"{folder}/commits", f"{folder}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/commits").drop("batch_id", "bucket")
+    store = commit_store(t.spark, f"{folder}/commits", feed.schema)
+    stream_ingest_commits(feed, store, f"{folder}/checkpoint").awaitTermination()
+    return store.read()
 
 
 _QUERIES["stream_ingest_commits"] = _stream_ingest
@@ -270,8 +329,7 @@ def filter_modified_files(t: Tables) -> DataFrame:
 
 @query
 def filter_excluded_users(t: Tables) -> DataFrame:
-    included = t.users.where(~F.col("excluded")).select(F.col("user_id").alias("author_id"))
-    return t.commits.join(included, "author_id", "left_semi").select("commit_id", "repo_id", "author_id")
+    return users.without_excluded(t.commits, t.users).select("commit_id", "repo_id", "author_id")
 
 
 @query

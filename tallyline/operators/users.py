@@ -34,6 +34,12 @@ def excluded(users: DataFrame) -> DataFrame:
     return users.where("excluded")
 
 
+def without_excluded(commits: DataFrame, users: DataFrame) -> DataFrame:
+    """Commits whose author is a known user that is not excluded."""
+    included = users.where(~F.col("excluded")).select(F.col("user_id").alias("author_id"))
+    return commits.join(included, "author_id", "left_semi")
+
+
 def matching_identities(users: DataFrame, wanted: DataFrame) -> DataFrame:
     """Users whose (name, email) is asked for; a missing email equals a missing email."""
     w = wanted.select(F.col("name").alias("_name"), F.col("email").alias("_email"))

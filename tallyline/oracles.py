@@ -313,6 +313,18 @@ ORACLES = {
     "incremental_new_commits": """SELECT r.repo_id, r.sha1, r.seq, r.commit_date FROM first_raw r
         LEFT JOIN marks m ON m.repo_id = r.repo_id WHERE (m.mark IS NULL OR r.commit_date IS NULL OR r.commit_date >= m.mark)
         AND (r.repo_id, r.sha1) NOT IN (SELECT (repo_id, sha1) FROM stored)""",
+    "incremental_store": """SELECT repo_id, sha1, commit_date FROM stored
+        UNION ALL SELECT r.repo_id, r.sha1, r.commit_date FROM first_raw r
+        LEFT JOIN marks m ON m.repo_id = r.repo_id WHERE (m.mark IS NULL OR r.commit_date IS NULL OR r.commit_date >= m.mark)
+        AND (r.repo_id, r.sha1) NOT IN (SELECT (repo_id, sha1) FROM stored)""",
+    "incremental_marks": """SELECT repo_id, max(commit_date) AS mark FROM (
+            SELECT repo_id, commit_date FROM stored UNION ALL SELECT repo_id, commit_date FROM first_raw)
+        GROUP BY repo_id""",
+    "fetched_new_repositories": """SELECT repository_name, organisation_name FROM many_repositories
+        WHERE starts_with(repository_name, 'Supplier#00000') AND repo_id % 3 <> 0""",
+    "fetched_stamps": """SELECT repo_id, repository_name, organisation_name,
+        CASE WHEN starts_with(repository_name, 'Supplier#00000') THEN TIMESTAMP '2024-05-01 10:00:00' END AS last_fetched_at
+        FROM many_repositories WHERE repo_id % 3 = 0""",
     "fetched_commits": """SELECT repo_id, sha1, author_id, committer_id, commit_date, lines_added FROM fetched
         WHERE commit_message IS NOT NULL""",
     "fetched_refused": "SELECT repo_id, sha1, 'no message' AS problem FROM fetched WHERE commit_message IS NULL",

@@ -2,65 +2,61 @@
 
 The stream keeps no state: a late commit must still be stored, however late, so
 repeats are removed against the stored table instead of against a growing state
-or a watermark.
+or a watermark. The table is dealt to buckets by repository (``sources/store.py``),
+and a batch opens only those of its own repositories.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..operators import commits as commit_ops
 from ..sources import feeds
+from ..sources.store import Store
 
+FEW_REPOSITORIES = 1000  # so many are looked for by name within their buckets
+KEY = ["repo_id", "sha1"]
 
-BUCKETS = 64  # folders that a batch's commits are dealt to, by the hash of their key
 
+def commit_store(spark: SparkSession, path: str, schema: StructType) -> Store:
+    return Store(spark, path, schema, by=["repo_id"], bloom="sha1")
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("repo_id", "sha1"), F.lit(BUCKETS)).cast("int")
 
+def earlier_keys(store: Store, batch: DataFrame) -> DataFrame:
+    """Stored keys of the repositories of a batch; files of other buckets are not opened, nor row groups of other repositories."""
+    met = store.touched(batch)
+    known = store.read(met).select(*KEY)
+    some = [row.repo_id for row in batch.select("repo_id").distinct().limit(FEW_REPOSITORIES + 1).collect()]
+    if len(some) <= FEW_REPOSITORIES:
+        known = known.where(F.col("repo_id").isin([r for r in some if r is not None]))
+    return known
 
-def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """What earlier batches wrote."""
-    known = StructType([*schema.fields, StructField("batch_id", LongType()), StructField("bucket", IntegerType())])
-    return spark.read.schema(known).parquet(path)
 
+def take_in(store: Store, batch: DataFrame, batch_id: int) -> None:
+    """Stores the unseen commits of a batch, unless a snapshot says that the batch is in.
 
-def earlier_keys(spark: SparkSession, store: str, schema: StructType, batch_id: int, buckets: list[int]) -> DataFrame:
-    """Keys that batches before this one stored in the given buckets; other folders are not opened."""
-    rows = _stored(spark, store, schema).where((F.col("batch_id") < batch_id) & F.col("bucket").isin(buckets))
-    return rows.select("repo_id", "sha1")
+    So a batch that runs again after a failure either finds itself stored or
+    starts over; what it may have written before is in no snapshot.
+    """
+    taken = store.snapshot().mark
+    if taken is not None and taken >= batch_id:
+        return
+    fresh = commit_ops.first_sightings(batch)
+    # The table grows and the batch does not, so the batch goes to the table.
+    repeats = earlier_keys(store, batch).join(fresh.select(*KEY), KEY, "left_semi")
+    store.append(feeds.find_new_commits(fresh, repeats), mark=batch_id)
 
 
-def stream_ingest_commits(feed: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Appends each unseen (repo_id, sha1) of a streaming feed to a table at ``store``.
+def stream_ingest_commits(feed: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Appends each unseen (repo_id, sha1) of a streaming feed to a store, one snapshot a batch.
 
-    Each batch writes a folder of its own and never looks at that folder, so a
-    batch that is run again after a failure replaces what it wrote and decides
-    the same way. The table is dealt to buckets by key, and a batch reads only
-    those its own keys fall into. The feed has a ``seq`` column; the lowest wins
-    within a batch.
+    The feed has a ``seq`` column; the lowest wins within a batch.
     """
-    schema = feed.schema
-    # Batch -1 makes the table exist; commits stored before the stream began go there.
-    feed.sparkSession.createDataFrame([], schema).write.mode("ignore").parquet(f"{store}/batch_id=-1/bucket=0")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = commit_ops.first_sightings(batch)
-        keys = ["repo_id", "sha1"]
-        met = [row.bucket for row in batch.select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS at most
-        # The table grows and the batch does not, so the batch goes to the table.
-        earlier = earlier_keys(spark, store, schema, batch_id, met)
-        repeats = earlier.join(fresh.select(*keys), keys, "left_semi")
-        fresh = feeds.find_new_commits(fresh, repeats).withColumn("bucket", _bucket())
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch_id={batch_id}")
-
     return (
-        feed.writeStream.foreachBatch(write)
+        feed.writeStream.foreachBatch(lambda batch, batch_id: take_in(store, batch, batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -70,5 +66,5 @@ def stream_ingest_commits(feed: DataFrame, store: str, checkpoint: str) -> Strea
 def drop_repeats(feed: DataFrame, delay: str) -> DataFrame:
     """For a source that repeats only within ``delay``: bounded state in place of the stored table."""
     timed = feed.withColumn("_event_time", F.col("commit_date").cast("timestamp"))
-    fresh = timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(["repo_id", "sha1"])
+    fresh = timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(KEY)
     return fresh.drop("_event_time")
