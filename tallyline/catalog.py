@@ -773,6 +773,13 @@ def batch_documents(t: Tables) -> DataFrame:
     return batch.documents(batch.match_repositories(t.matchers, t.repositories), t.commits, t.changes, t.users)
 
 
+@query
+def batch_pages(t: Tables) -> DataFrame:
+    """The report page of every run and repository."""
+    lines = batch.documents(batch.match_repositories(t.matchers, t.repositories), t.commits, t.changes, t.users)
+    return pages.page_lines(lines, TEMPLATE, "SUMMARY_JSON", batch.GROUP)
+
+
 @query
 def summary_json(t: Tables) -> DataFrame:
     return contributions.documents(t.repositories, t.commits, t.changes, t.users)

@@ -94,7 +94,8 @@ VIEWS = {
             ELSE CAST(l_quantity AS BIGINT) + CAST(round(l_discount * 100) AS BIGINT) END AS lines_changed,
         CASE l_returnflag WHEN 'A' THEN 'INSERT' WHEN 'N' THEN 'UPDATE' ELSE 'DELETE' END AS change_op,
         CASE l_linenumber WHEN 1 THEN 'CLASS' WHEN 2 THEN 'METHOD' WHEN 3 THEN 'FIELD' WHEN 4 THEN 'JAVADOC'
-            WHEN 5 THEN 'BLOCK_COMMENT' WHEN 6 THEN 'IF_STATEMENT' ELSE 'METHOD_INVOCATION' END AS entity_type
+            WHEN 5 THEN 'BLOCK_COMMENT' WHEN 6 THEN 'IF_STATEMENT' ELSE 'METHOD_INVOCATION' END AS entity_type,
+        'Part.' || l_partkey AS unique_name
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "scored": """SELECT *, CASE WHEN change_op = 'DELETE' THEN 0 WHEN entity_type = 'CLASS' THEN 100
             WHEN entity_type = 'METHOD' THEN 25 WHEN entity_type = 'FIELD' THEN 10
@@ -252,7 +253,101 @@ ENTITY = "repo_id, sha1, filename, entity_type, unique_name, owner, method, meth
 LINES = """SELECT {key} AS doc_id, {side} AS side,
     trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \\t\\r\\f]+', ' ', 'g')) AS line FROM documents"""
 
+# A double as Spark writes it: with an exponent from 10^7 on, here for whole numbers, and below 0.001.
+_MANTISSA = "{d}[1] || '.' || coalesce(nullif(substr({d}, 2), ''), '0') || 'E' || {e}"
+
+
+def _double(x: str) -> str:
+    whole, small = f"CAST(CAST({x} AS BIGINT) AS VARCHAR)", f"CAST({x} AS VARCHAR)"
+    digits = f"ltrim(substr({small}, 3), '0')"
+    power = f"replace(split_part({small}, 'e', 1), '.', '')"
+    return f"""CASE WHEN {x} IS NULL THEN 'null' WHEN {x} >= 1e7 THEN {_MANTISSA.format(d=f"rtrim({whole}, '0')", e=f"(length({whole}) - 1)")}
+        WHEN {x} >= 0.001 OR {x} = 0 THEN {small}
+        WHEN contains({small}, 'e') THEN {_MANTISSA.format(d=power, e=f"CAST(split_part({small}, 'e', 2) AS INT)")}
+        ELSE {_MANTISSA.format(d=digits, e=f"-(length({small}) - 1 - length({digits}))")} END"""
+
+
+def _bins() -> str:
+    names = []
+    for category in ("Class", "Documentation", "Field", "Method", "Other"):
+        for op, word in (("INSERT", "additions"), ("UPDATE", "updates")):
+            here = f"FILTER (category = '{category}' AND change_op = '{op}')"
+            names.append(f"""'"{category} {word}":' || CAST(sum(n) {here} AS VARCHAR)""")
+    return "'{' || concat_ws(',', " + ", ".join(names) + ") || '}'"
+
+
+def _documents(group: str, docs: str, commits: str) -> str:
+    """CTEs up to ``lines``, the document lines; ``commits`` has the group, commit_id, user_id and exclude_gui."""
+    seconds = lambda name: f"CASE WHEN start_date IS NULL OR end_date IS NULL THEN 'null' ELSE {_double(f'epoch({name})')} END"
+    comma = lambda within, key: f"CASE WHEN row_number() OVER (PARTITION BY {group}, {within} ORDER BY {key}) = 1 THEN '' ELSE ',' END"
+    line = lambda section, a, part, b, item, c, text: f"""SELECT {group}, CAST({section} AS INT) AS section, {a} AS a, CAST({part} AS INT) AS part,
+        {b} AS b, CAST({item} AS INT) AS item, {c} AS c, {text} AS text"""
+    place = "lpad(CAST(commit_id AS VARCHAR), 20, '0') || '/' || filename"
+    newest = "lpad(CAST(100000000000000000 - epoch_us(commit_date) AS VARCHAR), 18, '0') || sha1"
+    key = "user_id, label, commit_id, filename"
+    return f"""WITH docs AS ({docs}), own AS ({commits}),
+    detail AS (SELECT {group}, user_id, commit_id, filename, file, category, change_op, concat_ws(' ', change_op, entity_type, unique_name) AS what,
+        CAST(sum(score) AS BIGINT) AS score, count(*) AS n FROM own JOIN java USING (commit_id)
+        WHERE NOT (exclude_gui AND (filename LIKE '%ui%' OR filename LIKE '%view%')) GROUP BY ALL),
+    authors_named AS (SELECT {group}, user_id, excluded, name || ' (' || email || ')' AS base FROM (SELECT DISTINCT {group}, user_id FROM own) JOIN users USING (user_id)),
+    labels AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY {group}, base) > 1 THEN base || ' #' || user_id ELSE base END AS label FROM authors_named),
+    kinds AS (SELECT {group}, user_id, sum(score) AS score, {_bins()} AS binned FROM detail GROUP BY {group}, user_id),
+    shown AS (SELECT {group}, user_id, label, CAST(coalesce(score, 0) AS BIGINT) AS score, coalesce(binned, '{{}}') AS binned,
+        CAST(100 * coalesce(score, 0) AS DOUBLE) / NULLIF(CAST(sum(coalesce(score, 0)) OVER (PARTITION BY {group}) AS DOUBLE), 0) AS percent
+        FROM labels LEFT JOIN kinds USING ({group}, user_id) WHERE NOT excluded),
+    mine AS (SELECT detail.*, label FROM detail JOIN shown USING ({group}, user_id)),
+    files AS (SELECT {group}, {key}, CAST(sum(score) AS BIGINT) AS score, {_bins()} AS binned FROM mine GROUP BY {group}, {key}),
+    per_file AS (SELECT *, sum(score) OVER (PARTITION BY {group}, file) AS total
+        FROM (SELECT {group}, file, user_id, CAST(sum(score) AS BIGINT) AS score FROM detail GROUP BY ALL)),
+    names AS (SELECT DISTINCT {group}, file FROM detail),
+    lines AS (
+    {line(0, "''", 0, "''", 0, "''", f"""'{{"repo":"' || repository_name || '","startDate":' || {seconds("start_date")} || ',"endDate":' || {seconds("end_date")} || ',"changesPerUser":{{'""")} FROM docs
+    UNION ALL {line(2, "''", 0, "''", 0, "''", """'},"changesPerFile":{'""")} FROM docs
+    UNION ALL {line(4, "''", 0, "''", 0, "''", "'}}'")} FROM docs
+    UNION ALL {line(1, "label", 0, "''", 0, "''", f"""{comma("1", "label")} || '"' || label || '":{{"contributionsScore":' || score
+        || ',"contributionsScorePercent":' || {_double("percent")} || ',"binnedChangesCounts":' || binned || ',"commits":['""")} FROM shown
+    UNION ALL {line(1, "label", 2, "''", 0, "''", """'],"changes":['""")} FROM shown
+    UNION ALL {line(1, "label", 4, "''", 0, "''", "']}'")} FROM shown
+    UNION ALL {line(1, "label", 1, newest, 0, "''", f"""{comma("label", newest)} || '{{"date":' || {_double("epoch(commit_date)")} || ',"lines_added":' || lines_added
+        || ',"lines_removed":' || lines_removed || ',"lines_changed":' || lines_changed || ',"commit_message":"' || commit_message || '","url":"' || url || '"}}'""")}
+        FROM own JOIN shown USING ({group}, user_id) JOIN commits USING ({"repo_id, " if "repo_id" in group else ""}commit_id)
+    UNION ALL {line(1, "label", 3, place, 0, "''", f"""{comma("label", place)} || '{{"fileName":"' || filename || '","score":' || score
+        || ',"binnedChangesCounts":' || binned || ',"allChanges":['""")} FROM files
+    UNION ALL {line(1, "label", 3, place, 2, "''", "']}'")} FROM files
+    UNION ALL {line(1, "label", 3, place, 1, "what", f"""{comma("label, commit_id, filename", "what")} || '{{"change":"' || what || '","count":' || n || '}}'""")}
+        FROM mine WHERE change_op <> 'DELETE'
+    UNION ALL {line(3, "file", 0, "''", 0, "''", f"""{comma("1", "file")} || '"' || file || '":{{'""")} FROM names
+    UNION ALL {line(3, "file", 2, "''", 0, "''", "'}'")} FROM names
+    UNION ALL {line(3, "file", 1, "label", 0, "''", f"""{comma("file", "label")} || '"' || label || '":' || {_double("CAST(score AS DOUBLE) / NULLIF(CAST(total AS DOUBLE), 0)")}""")}
+        FROM per_file JOIN labels USING ({group}, user_id))"""
+
+
+def _pages(group: str, documents: str, template: str = "<html><body><script>var data = SUMMARY_JSON;</script></body></html>") -> str:
+    before, after = template.split("SUMMARY_JSON")
+    fixed = lambda place, text: f"""SELECT {place} AS place, {group}, 0 AS section, '' AS a, 0 AS part, '' AS b, 0 AS item, '' AS c,
+        '{text}' AS text FROM lines WHERE section = 0"""
+    return f"{documents} SELECT 1 AS place, lines.* FROM lines UNION ALL {fixed(0, before)} UNION ALL {fixed(2, after)}"
+
+
+ONE_EACH = _documents(
+    "repo_id",
+    """SELECT repo_id, repository_name, NULL::TIMESTAMP AS start_date, NULL::TIMESTAMP AS end_date FROM repositories
+        WHERE repo_id IN (SELECT repo_id FROM covered)""",
+    "SELECT repo_id, commit_id, author_id AS user_id, TRUE AS exclude_gui FROM covered",
+)
+OF_RUNS = _documents(
+    "run_id, repo_id",
+    """SELECT m.run_id, r.repo_id, r.repository_name, m.start_date, m.end_date FROM matchers m JOIN repositories r
+        ON m.organisation = r.organisation_name
+        AND CASE WHEN m.exact_match THEN r.repository_name = m.name ELSE starts_with(r.repository_name, m.name) END""",
+    "SELECT * FROM run_commits",
+)
+
 ORACLES = {
+    "summary_json": f"{ONE_EACH} SELECT * FROM lines",
+    "report_pages": _pages("repo_id", ONE_EACH),
+    "batch_documents": f"{OF_RUNS} SELECT * FROM lines",
+    "batch_pages": _pages("run_id, repo_id", OF_RUNS),
     "scan_users": "SELECT * FROM users",
     "count_rows": "SELECT count(*) AS n_rows FROM commits",
     "lookup_user_by_id": "SELECT * FROM users WHERE user_id IN (SELECT opened_by FROM pull_requests)",

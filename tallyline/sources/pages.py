@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -32,8 +32,8 @@ def _number(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("null"))
 
 
-def _lines(rows: DataFrame, group: Sequence[str], text: Column, section: int, **keys: Column | str | int) -> DataFrame:
-    """Rows as document lines; keys that are not given are empty."""
+def _line(text: Column, section: int, **keys: Column | str | int) -> Column:
+    """A document line as a struct; keys that are not given are empty."""
 
     def key(name: str) -> Column:
         value = keys.get(name)
@@ -41,49 +41,45 @@ def _lines(rows: DataFrame, group: Sequence[str], text: Column, section: int, **
             return F.lit(value or 0).alias(name)
         return (F.lit("") if value is None else value).alias(name)
 
-    return rows.select(
-        *group, F.lit(section).alias("section"), *(key(name) for name in SORT[1:]), text.alias("text")
-    )
+    return F.struct(F.lit(section).alias("section"), *(key(name) for name in SORT[1:]), text.alias("text"))
 
 
-def _separated(lines: DataFrame, within: Sequence[str]) -> DataFrame:
-    """A comma before every element but the first of its list.
+def _lines(rows: DataFrame, group: Sequence[str], *lines: Column) -> DataFrame:
+    """Document lines of every row; rows that give several are read once."""
+    return rows.select(*group, F.explode(F.array(*lines)).alias("_line")).select(*group, "_line.*")
 
-    The firsts come from an aggregation and are matched by the whole sort key,
-    so a long list is not gathered anywhere.
-    """
-    rest = [name for name in SORT if name not in within]
-    firsts = (
-        lines.groupBy(*within)
-        .agg(F.min(F.struct(*rest)).alias("first"))
-        .select(*within, "first.*", F.lit(True).alias("is_first"))
-    )
-    comma = F.when(F.col("is_first"), F.lit("")).otherwise(F.lit(","))
-    return lines.join(firsts, [*within, *rest], "left").select(
-        *lines.columns[:-1], F.concat(comma, "text").alias("text")
-    )
 
+def _after(text: Column, first: Column) -> Column:
+    """An element of a list, with a comma before it unless it is the first."""
+    return F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), text)
 
-def _binned(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Score, and counts per category and kind of change as one JSON object; zero counts are left out."""
+
+def _binned(rows: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """Score, and counts per category and kind of change as one JSON object; zero counts are left out.
+
+    ``more`` are further totals of the same groups.
+    """
     bins = []
     for category in sorted({*C.CATEGORIES.values(), C.OTHER_CATEGORY}):
         for op, word in (("INSERT", "additions"), ("UPDATE", "updates")):
             here = (F.col("category") == category) & (F.col("change_op") == op)
             bins.append(F.sum(F.when(here, F.col("n_changes"))).alias(f"{category} {word}"))
-    totals = rows.groupBy(*keys).agg(F.sum("score").alias("sum_score"), *bins)
-    names = totals.columns[len(keys) + 1 :]
-    return totals.select(*keys, "sum_score", F.to_json(F.struct(*names)).alias("binned"))
+    totals = rows.groupBy(*keys).agg(F.sum("score").alias("sum_score"), *more, *bins)
+    names = totals.columns[len(keys) + 1 + len(more) :]
+    kept = totals.columns[: len(keys) + 1 + len(more)]
+    return totals.select(*kept, F.to_json(F.struct(*names)).alias("binned"))
 
 
 def unique_labels(people: DataFrame, users: DataFrame, group: Sequence[str]) -> DataFrame:
-    """The label of every user of a document, with the id added where two users share it."""
+    """Adds ``excluded`` and the label of every user of a document, with the id where two users share it."""
     label = C.user_label(F.col("name"), F.col("email")).alias("label")
-    named = people.select(*group, "user_id").join(users.select("user_id", label, "excluded"), "user_id")
-    shared = named.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("n"))
+    named = people.join(users.select("user_id", label, "excluded"), "user_id")
+    shared = named.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("_n"))
     with_id = F.concat("label", F.lit(" #"), F.col("user_id").cast("string"))
-    return join_one(named, shared, [*group, "label"], ["user_id"]).select(
-        *group, "user_id", "excluded", F.when(F.col("n") > 1, with_id).otherwise(F.col("label")).alias("label")
+    return (
+        join_one(named, shared, [*group, "label"], ["user_id"])
+        .withColumn("label", F.when(F.col("_n") > 1, with_id).otherwise(F.col("label")))
+        .drop("_n")
     )
 
 
@@ -116,18 +112,29 @@ def summary_lines(
     ``summaries`` has the group columns, repository_name, start_date and
     end_date; ``commits`` are those the summary covers and may carry
     ``exclude_gui``; ``changes`` are those in source files. What all parts of the
-    documents share is written to the shared folder once.
+    documents share, changes by commit and file and the labels of users, is written
+    to the shared folder once: branches that need other columns of it would run it
+    again each. The first element of every list, which has no comma before it, comes
+    out of the aggregation that the list's owner needs anyway, and reaches the
+    elements with the owner's label, before there is any text.
     """
     group = list(group)
-    user, in_list = [*group, "user_id"], [*group, "section", "a", "part"]
+    user = [*group, "user_id"]
     label, file = F.col("label"), F.col("file")
+    micros = F.timestamp_diff("MICROSECOND", C.epoch(), F.col("commit_date"))
+    # a commit without a date comes last
+    newest = F.concat(F.coalesce(F.lpad((F.lit(LATEST) - micros).cast("string"), 18, "0"), F.lit("9" * 18)), F.col("sha1"))
+    place = F.concat_ws("/", F.lpad(F.col("commit_id").cast("string"), 20, "0"), "filename")
+
+    # Users of a document, each with its label, its totals and what comes first in its lists.
     detail = stored(_detail(commits, changes, group))
-    everyone = commits.select(*group, F.col("author_id").alias("user_id")).distinct()
+    everyone = commits.groupBy(*group, F.col("author_id").alias("user_id")).agg(F.min(newest).alias("first_commit"))
     labels = stored(unique_labels(everyone, users, group))
-
-    kinds = _binned(detail, user)
-    scores = labels.join(kinds, user, "left").withColumn("score", F.coalesce("sum_score", F.lit(0)))
-    shown = stored(scoring.score_percent(scores.select(*user, "label", "score", "binned"), users, group))
+    kinds = _binned(detail, user, F.min(place).alias("first_place"))
+    scores = labels.where(~F.col("excluded")).join(kinds, user, "left")
+    scores = scores.withColumn("score", F.coalesce("sum_score", F.lit(0)))
+    totals = scores.groupBy(*group).agg(F.sum("score").alias("total"), F.min("label").alias("first_label"))
+    shown = join_one(scores, totals, group, ["user_id"]).withColumn("percent", C.share(F.col("score") * 100, F.col("total")))
 
     head = F.concat(
         F.lit('{"repo":'),
@@ -149,28 +156,30 @@ def summary_lines(
         F.lit(',"commits":['),
     )
     lines = [
-        _lines(summaries, group, head, 0),
-        _separated(_lines(shown, group, user_head, 1, a=label), [*group, "section"]),
-        _lines(shown, group, F.lit('],"changes":['), 1, a=label, part=2),
-        _lines(shown, group, F.lit("]}"), 1, a=label, part=4),
-        _lines(summaries, group, F.lit('},"changesPerFile":{'), 2),
-        _lines(summaries, group, F.lit("}}"), 4),
+        _lines(summaries, group, _line(head, 0), _line(F.lit('},"changesPerFile":{'), 2), _line(F.lit("}}"), 4)),
+        _lines(
+            shown,
+            group,
+            _line(_after(user_head, label == F.col("first_label")), 1, a=label),
+            _line(F.lit('],"changes":['), 1, a=label, part=2),
+            _line(F.lit("]}"), 1, a=label, part=4),
+        ),
     ]
 
     # Commits of a user, newest first.
-    named = shown.select(*user, "label")
+    named = labels.where(~F.col("excluded")).select(*user, "label", "first_commit")
     own = commits.withColumnRenamed("author_id", "user_id").join(named, user)
-    micros = F.timestamp_diff("MICROSECOND", C.epoch(), F.col("commit_date"))
-    newest = F.concat(F.lpad((F.lit(LATEST) - micros).cast("string"), 18, "0"), F.col("sha1"))
     date = C.epoch_seconds(F.col("commit_date")).alias("date")
     commit = F.to_json(F.struct(date, *DISPLAY[1:]), {"ignoreNullFields": "false"})
-    lines.append(_separated(_lines(own, group, commit, 1, a=label, part=1, b=newest), in_list))
+    commit = _after(commit, newest == F.col("first_commit"))
+    lines.append(_lines(own, group, _line(commit, 1, a=label, part=1, b=newest)))
 
     # Changed files of a user, each with its changes.
-    mine = detail.join(named, user)
+    placed = scores.select(*user, "label", "first_place")
+    mine = detail.join(placed, user)
     per_file = [*user, "label", "commit_id", "filename"]
-    place = F.concat_ws("/", F.lpad(F.col("commit_id").cast("string"), 20, "0"), "filename")
-    files = _binned(mine, per_file)
+    credit = F.min(F.when(C.counts(F.col("change_op")), F.col("what"))).alias("first_what")
+    files = _binned(mine, per_file, F.min("first_place").alias("first_place"), credit)
     file_head = F.concat(
         F.lit('{"fileName":'),
         _quoted(F.col("filename")),
@@ -183,24 +192,36 @@ def summary_lines(
     change = F.concat(
         F.lit('{"change":'), _quoted(F.col("what")), F.lit(',"count":'), _number(F.col("n_changes")), F.lit("}")
     )
-    changed = _lines(scoring.credited(mine), group, change, 1, a=label, part=3, b=place, item=1, c=F.col("what"))
+    changed = scoring.credited(mine).select(*per_file, "what", "n_changes").join(files.select(*per_file, "first_what"), per_file)
+    change = _after(change, F.col("what") == F.col("first_what"))
     lines += [
-        _separated(_lines(files, group, file_head, 1, a=label, part=3, b=place), in_list),
-        _separated(changed, [*in_list, "b", "item"]),
-        _lines(files, group, F.lit("]}"), 1, a=label, part=3, b=place, item=2),
+        _lines(
+            files,
+            group,
+            _line(_after(file_head, place == F.col("first_place")), 1, a=label, part=3, b=place),
+            _line(F.lit("]}"), 1, a=label, part=3, b=place, item=2),
+        ),
+        _lines(changed, group, _line(change, 1, a=label, part=3, b=place, item=1, c=F.col("what"))),
     ]
 
     # Files by name, each with the share of every user.
     per_user = detail.groupBy(*group, C.base_name(F.col("filename")).alias("file"), "user_id").agg(
         F.sum("score").alias("score")
     )
-    shares = scoring.file_shares(per_user, group).join(labels, user)
-    names = detail.select(*group, C.base_name(F.col("filename")).alias("file")).distinct()
-    share = F.concat(_quoted(label), F.lit(":"), _number(F.col("share")))
+    per_user = per_user.join(labels.select(*user, "label"), user, "left")
+    per_name = per_user.groupBy(*group, "file").agg(F.sum("score").alias("total"), F.min("label").alias("first_label"))
+    shares = join_one(per_user.where(label.isNotNull()), per_name, [*group, "file"], ["user_id"])
+    firsts = per_name.groupBy(*group).agg(F.min("file").alias("first_file"))
+    names = join_one(per_name.select(*group, "file"), firsts, group, ["file"])
+    share = F.concat(_quoted(label), F.lit(":"), _number(C.share(F.col("score"), F.col("total"))))
     lines += [
-        _separated(_lines(names, group, F.concat(_quoted(file), F.lit(":{")), 3, a=file), [*group, "section"]),
-        _separated(_lines(shares, group, share, 3, a=file, part=1, b=label), in_list),
-        _lines(names, group, F.lit("}"), 3, a=file, part=2),
+        _lines(
+            names,
+            group,
+            _line(_after(F.concat(_quoted(file), F.lit(":{")), file == F.col("first_file")), 3, a=file),
+            _line(F.lit("}"), 3, a=file, part=2),
+        ),
+        _lines(shares, group, _line(_after(share, label == F.col("first_label")), 3, a=file, part=1, b=label)),
     ]
     return reduce(DataFrame.unionByName, lines)
 
@@ -219,6 +240,11 @@ def page_lines(documents: DataFrame, template: str, placeholder: str, group: Seq
     return inside.unionByName(around)
 
 
+def read_template(spark: SparkSession, path: str) -> str:
+    """The text of a template file, wherever Spark can read it."""
+    return spark.read.text(path, wholetext=True).first().value
+
+
 def write_documents(lines: DataFrame, path: str, group: Sequence[str], order: Sequence[str] = SORT) -> None:
     """One folder per document, named after all of its group; its part files, read in name order, are the text.
 

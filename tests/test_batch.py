@@ -177,7 +177,8 @@ def test_documents(table, tmp_path):
 
 def test_pages(table, tmp_path):
     lines = contributions.documents(*history(table))
-    template = "<script>var a = DATA;</script>\n<script>var b = DATA;</script>"
+    (tmp_path / "page.html").write_text("<script>var a = DATA;</script>\n<script>var b = DATA;</script>")
+    template = pages.read_template(lines.sparkSession, str(tmp_path / "page.html"))
     page = pages.page_lines(lines, template, "DATA", ["repo_id"])
     pages.write_documents(page, str(tmp_path / "out"), ["repo_id"], ["place", *pages.SORT])
     text = read_documents(tmp_path / "out")["1"]
