@@ -224,30 +224,34 @@ def file_user_matrix(scores: DataFrame, shown: DataFrame) -> DataFrame:
     Cells that are not 0, for the users that are shown; every other cell is 0.
     A shown user without any cell and a file without a shown user still appear
     once, with the other coordinate NULL, so both axes are complete.
+
+    Scores and shown users become one relation; both axes come out of one
+    aggregation of it by GROUPING SETS, and cells out of its join with the axis of
+    the files.
     """
     keys = ["repo_id", "user_id"]
-    marked = scores.join(shown.select(*keys, F.lit(True).alias("shown")), keys, "left").withColumn(
-        "is_cell", F.coalesce("shown", F.lit(False)) & (F.col("score") != 0)
-    )
-    cells = (
-        file_shares(scores.select(*keys, "file", "score"))
-        .where("score != 0")
-        .join(shown.select(*keys), keys, "left_semi")
-        .select("repo_id", "file", "user_id", "share")
-    )
-    bare_files = (
-        marked.groupBy("repo_id", "file")
-        .agg(F.bool_or("is_cell").alias("any_cell"))
-        .where(~F.col("any_cell"))
-        .select("repo_id", "file", F.lit(None).cast("bigint").alias("user_id"), F.lit(0.0).alias("share"))
+    repo, file, user = (F.col(name) for name in ("repo_id", "file", "user_id"))
+    people = shown.select(*keys, F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("score"), F.lit(True).alias("is_shown"))
+    known = shown.select(*keys, F.lit(True).alias("is_shown"))
+    # a user that is not shown counts in a file's total only
+    entries = scores.select(*keys, "file", "score").join(known, keys, "left").unionByName(people)
+    is_cell = F.coalesce(F.col("is_shown"), F.lit(False)) & F.col("file").isNotNull() & (F.col("score") != 0)
+    entries = entries.select(*keys, "file", "score", F.coalesce("is_shown", F.lit(False)).alias("is_shown"), is_cell.alias("is_cell"))
+    axes = (
+        entries.groupingSets([(repo, file), (repo, user)], repo, file, user)
+        .agg(
+            F.grouping("file").alias("of_users"),
+            F.sum("score").alias("total"),
+            F.bool_or("is_cell").alias("any_cell"),
+            F.bool_or("is_shown").alias("any_shown"),
+        )
     )
-    with_cells = marked.where("is_cell").select(*keys).distinct()
-    bare_users = (
-        shown.select(*keys)
-        .join(with_cells, keys, "left_anti")
-        .select("repo_id", F.lit(None).cast("string").alias("file"), "user_id", F.lit(0.0).alias("share"))
+    totals = axes.where((F.col("of_users") == 0) & F.col("any_cell")).select("repo_id", "file", "total")
+    cells = join_one(entries.where("is_cell").select(*keys, "file", "score"), totals, ["repo_id", "file"], ["user_id"]).select(
+        "repo_id", "file", "user_id", C.share(F.col("score"), F.col("total")).alias("share")
     )
-    return cells.unionByName(bare_users).unionByName(bare_files)
+    bare = axes.where(~F.col("any_cell") & F.when(F.col("of_users") == 1, F.col("any_shown")).otherwise(F.col("file").isNotNull()))
+    return cells.unionByName(bare.select("repo_id", "file", "user_id", F.lit(0.0).alias("share")))
 
 
 def pivot_users(matrix: DataFrame, user_ids: list[int]) -> DataFrame:
