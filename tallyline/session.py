@@ -39,11 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tallyline-{jvm.java.util.UUID.randomUUID()}"
 
 
-def stored(rows: DataFrame) -> DataFrame:
+# For rows of hundreds of kilobytes: else a page takes a hundred of them, a row group thousands, and their
+# readers and writers hold as much at a time.
+LARGE_VALUES = {"parquet.page.row.count.limit": "4", "parquet.block.row.count.limit": "8"}
+
+
+def stored(rows: DataFrame, **options: str) -> DataFrame:
     """Writes rows that several results read to the shared folder, and reads them from there.
 
-    The plan is cut and the rows survive the loss of executors.
+    The plan is cut and the rows survive the loss of executors. ``options`` are
+    the writer's; rows with values of many kilobytes need ``LARGE_VALUES``.
     """
     path = shared_dir(rows.sparkSession)
-    rows.write.parquet(path)
+    rows.write.options(**options).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
