@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.arrow import chunks, words
-from tallyline.session import stored
+from tallyline.session import LARGE_VALUES, stored
 
 ORDER = 2
 MU = 100.0
@@ -296,7 +296,7 @@ def score(
     blocks = stored(docs.mapInArrow(
         _block_rows(block_bytes),
         f"block long, id array<{kind}>, held_out array<boolean>, starts binary, tokens binary, hashes binary",
-    ))
+    ), **LARGE_VALUES)
     written = blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     buckets = max(1, math.ceil(written / 4 / bucket_keys))
     asked = blocks.select("block", "held_out", "starts", "tokens", "hashes").mapInPandas(
@@ -304,7 +304,7 @@ def score(
     )
     answers = stored(asked.groupBy("n", "bucket").applyInPandas(
         _answers, "block long, n int, bucket int, counts binary, seen long, size long"
-    ))
+    ), **LARGE_VALUES)
     sums = answers.where("block is null").agg(F.sum("seen"), F.sum("size")).first()
     answers = answers.where("block is not null").select("block", "n", "bucket", "counts")
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
