@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.arrow import LOWER
 from tallyline.operators.spread import join_one
-from tallyline.session import stored
+from tallyline.session import LARGE_VALUES, stored
 
 LONGEST = 5
 LEAST = 100
@@ -35,12 +35,12 @@ COVERED = 100  # percent of a phrase's occurrences that must lie in a longer one
 NO_LANG = "und"
 BLOCK_BYTES = 1 << 18  # so that a block is no very large object in the JVM either
 BURST = 4096  # entries of a container
-MOST_ENTRIES = 300_000  # entries of a task's tries before they are spilled
+MOST_ENTRIES = 150_000  # entries of a task's tries before they are spilled
 BITS_A_PHRASE = 16
 MOST_BITS = 1 << 27
 SALTS = 16
-HELD_ROWS = 300_000  # phrases that go into a trie together
-PARTS = 8  # prefix partitions for each partition of a shuffle
+HELD_ROWS = 150_000  # phrases that go into a trie together
+PARTS = 3  # prefix partitions for each partition of a shuffle
 
 # What ends a piece, and what separates words within one.
 _PIECE = np.zeros(256, bool)
@@ -393,7 +393,8 @@ def collocations(
     arithmetic is in integers of up to 38 digits.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blocks = stored(texts.mapInArrow(_blocks(BLOCK_BYTES), "lang string, n_words long, words array<string>, numbers binary"))
+    blocks = texts.mapInArrow(_blocks(BLOCK_BYTES), "lang string, n_words long, words array<string>, numbers binary")
+    blocks = stored(blocks, **LARGE_VALUES)
     sizes = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
     counts = phrase_counts(blocks, longest, least)
     every, longer = counts[0].select("lang", "phrase", "n", F.lit(1).alias("size")), None
