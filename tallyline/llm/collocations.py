@@ -33,13 +33,13 @@ LEAST = 100
 TOP = 2000
 COVERED = 100  # percent of a phrase's occurrences that must lie in a longer one for it to be dropped
 NO_LANG = "und"
-BLOCK_BYTES = 1 << 18  # so that a block is no very large object in the JVM either
+BLOCK_BYTES = 1 << 20
 BURST = 4096  # entries of a container
-MOST_ENTRIES = 150_000  # entries of a task's tries before they are spilled
+MOST_ENTRIES = 300_000  # entries of a task's tries before they are spilled
 BITS_A_PHRASE = 16
 MOST_BITS = 1 << 27
 SALTS = 16
-HELD_ROWS = 150_000  # phrases that go into a trie together
+HELD_ROWS = 300_000  # phrases that go into a trie together
 PARTS = 3  # prefix partitions for each partition of a shuffle
 
 # What ends a piece, and what separates words within one.
