@@ -11,40 +11,29 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm.columns import let, small
 from tallyline.llm.components import components
 from tallyline.session import shared_dir, stored
 
-RADIUS, BLOCKS = 2, 4
 SIMILARITY = 0.9
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 WORD_CHARS = 8  # a line of so many characters for each of the least words takes part however few its spaces are
 SKETCH = 6  # grams of smallest hash
 CHARS, WORDS = 6, 2  # characters, or words, of a gram
 SHORT = 100  # lines of so many characters have grams of characters, and those of a tenth less or more also of words
 SPARSE = 12, 16  # characters a word from which grams of characters are taken, and up to which grams of words are
-PIECE_CHARS = 4000
-PIECE_BITS = 20  # strings of up to two million characters are compared
-SIZES = (1 << 13) - 1  # sizes from here on count as one
+COMMON_BITS = 20  # what two lines start or end with alike is found for up to two million characters
+SIZE_BITS = 13
+SIZES = (1 << SIZE_BITS) - 1  # sizes from here on count as one
+CELLS = 1 << 16  # buckets are counted by cells
+HOT, HOT_ROWS = 16, 1000  # a cell of so many times the mean, and so many rows, is hot
 SMALL_ROWS = 1_000_000  # ids, of 16 bytes or so each, that may be broadcast
-_LANES = 0x0001000100010001
 PUNCTUATION = '.,;:!?|"'
 
 
-def pieces(text: Column, most: int = PIECE_CHARS) -> Column:
-    """Lines of a text as array<struct<line, text>>; a line of more than ``most`` characters is several pieces."""
-
-    def cut(line: Column, n: Column) -> Column:
-        long = F.regexp_extract_all(line, F.lit(f"(?s).{{1,{most}}}"), F.lit(0))
-        parts = F.when(F.length(line) > most, long).otherwise(F.array(line))
-        return F.transform(parts, lambda p: F.struct(n.alias("line"), p.alias("text")))
-
-    return F.flatten(F.transform(F.split(text, "\n", -1), cut))
-
-
 def normalised(text: Column) -> Column:
     """Lower case, without punctuation, words apart by one space. Plain replacements, which read bytes, not patterns."""
     out = F.lower(text)
@@ -55,45 +44,18 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str, least_words: int, most: int) -> DataFrame:
-    """One row for each line of at least ``least_words`` words, or as long as these are: row, doc, n (piece, from 0), key, plain.
+def lines(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    """One row for each line of at least ``least_words`` words, or as long as these are: doc, body, n (line, from 0), key, plain.
 
-    A whole text is normalised at once. A line end is put where ``pieces`` cuts a
-    long line, so both number the pieces alike.
+    ``body`` is a hash of the whole text, so that rows of one id, or of none, are told apart.
     """
-    text = F.col(text_col)
-    cut = F.regexp_replace(text, f"(?md)(?:^|\\G)([^\\n]{{{most}}})(?=[^\\n])", "$1\n")
-    whole = F.when(text.rlike(f"(?md)^[^\\n]{{{most + 1}}}"), cut).otherwise(text)
-    found = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(normalised(whole), "\n", -1)).alias("n", "line"))
+    found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    found = found.select("doc", F.xxhash64("text").alias("body"), F.posexplode(F.split(normalised(F.col("text")), "\n", -1)).alias("n", "line"))
     # at least so many spaces is cheap to see and leaves out most short lines; then words count
     spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     counted = (spaces >= least_words - 1) & F.col("line").rlike(r"^\s*+(?:\S++\s++){%d}\S" % (least_words - 1))
     found = found.where(counted | (F.length(F.trim("line")) >= least_words * WORD_CHARS))
-    found = found.select(F.monotonically_increasing_id().alias("row"), "doc", "n", F.trim("line").alias("plain"))
-    return found.withColumn("key", F.xxhash64("plain"))
-
-
-def simhashes(found: DataFrame) -> DataFrame:
-    """One row for each distinct line: key, print, size (characters), times.
-
-    A word's 64 bits are added up four at a time, in the quarters of 16 sums. A
-    piece has fewer words than a quarter can count. Copies of a line then add one
-    narrow row each.
-    """
-    words = found.withColumn("size", F.length("plain"))
-    words = words.select("row", "key", "size", F.explode(F.split("plain", " ")).alias("word")).where("word <> ''")
-    words = words.select("row", "key", "size", F.xxhash64("word").alias("hash"))
-    sums = [F.sum(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(16)]
-    summed = words.groupBy("row", "key", "size").agg(F.count("*").alias("words"), *sums)
-    # a quarter holding more than half of the words reaches its bit 14 once what is missing is added to all four
-    missing = (F.lit(1 << 14) - F.floor(F.col("words") / 2) - 1) * F.lit(_LANES)
-    bits = F.lit(0).cast("bigint")
-    for k in range(16):
-        over = F.shiftrightunsigned(F.col(f"s{k}") + missing, 14).bitwiseAND(F.lit(_LANES))
-        bits = bits.bitwiseOR(F.shiftleft(over, k))
-    return summed.select("key", "size", bits.alias("print")).groupBy("key").agg(
-        F.max("print").alias("print"), F.max("size").alias("size"), F.count("*").alias("times")
-    )
+    return found.select("doc", "body", "n", F.trim("line").alias("plain")).withColumn("key", F.xxhash64("plain"))
 
 
 def _sketch(parts: Column, width: int) -> Column:
@@ -129,67 +91,64 @@ def _shared() -> Column:
     return F.array_compact(F.array(*keys))
 
 
-def _blocks(print_col: str, blocks: int, radius: int) -> Column:
-    """All ways to agree in the blocks that differing bits must leave alone, as numbers."""
-    width = 64 // blocks
-    mask = F.lit((1 << width) - 1).cast("bigint")
-    block = [F.shiftrightunsigned(print_col, width * n).bitwiseAND(mask) for n in range(blocks)]
-    keys = [F.xxhash64(F.lit(n), *[block[k] for k in chosen]) for n, chosen in enumerate(itertools.combinations(range(blocks), blocks - radius))]
-    return F.array(*keys)
-
-
-def _size(rank: str) -> Column:
-    """The size that a rank holds; ``SIZES`` or more are one."""
-    return F.shiftrightunsigned(rank, 40).bitwiseAND(F.lit(SIZES))
-
-
-def _near(other: str, other_rank: str, radius: int | None, similarity: float) -> Column:
-    """Whether sizes are so that the edit similarity can be high enough, and hashes near if there is a radius."""
-    a, b = _size("rank"), _size(other_rank)
-    sizes = F.abs(a - b) <= F.greatest(a, b) * (1 - similarity) + 1e-9
-    return sizes if radius is None else sizes & (F.bit_count(F.col("print").bitwiseXOR(F.col(other))) <= radius)
-
-
-def links(known: DataFrame, found: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links between lines whose ``simhashes`` differ in ``radius`` bits at most: most lines near by edits differ in more."""
-    keyed = known.select("key", "print", _rank().alias("rank"), F.explode(_blocks("print", blocks, radius)).alias("bucket"))
-    return _linked(keyed, found, radius, similarity)
-
-
-def sketch_links(known: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links between lines whose ``sketches`` share two grams."""
-    keyed = known.select("key", _rank().alias("rank"), F.explode(_shared()).alias("bucket"))
-    return _linked(keyed, found, None, similarity)
+def _rank() -> Column:
+    # times by powers of two, then size: few bits, as it goes along with every row of a bucket
+    weight = F.least(F.floor(F.log2("times")), F.lit(15)).cast("int")
+    return F.shiftleft(weight, SIZE_BITS).bitwiseOR(F.least(F.col("size"), F.lit(SIZES)))
 
 
-def _rank() -> Column:
-    # the most frequent line of a bucket, ties by size and key, as one number that can be aggregated by hash
-    weight = F.shiftleft(F.least("times", F.lit(1023).cast("bigint")), 53)
-    size = F.shiftleft(F.least(F.col("size").cast("bigint"), F.lit(SIZES).cast("bigint")), 40)
-    return weight.bitwiseOR(size).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 40) - 1)))
+def _sizes(other: str, similarity: float) -> Column:
+    """Whether the sizes in two ranks let the edit similarity be high enough; ``SIZES`` or more are one size."""
+    a, b = F.col("rank").bitwiseAND(F.lit(SIZES)), F.col(other).bitwiseAND(F.lit(SIZES))
+    return F.abs(a - b) <= F.greatest(a, b) * (1 - similarity) + 1e-9
 
 
-def _linked(keyed: DataFrame, found: DataFrame, radius: int | None, similarity: float) -> DataFrame:
-    """Links (key, to) between near lines of the same buckets, enough to connect all of them.
+def _members(keyed: DataFrame) -> DataFrame:
+    """The lines of each bucket but its head (the most frequent line), beside the head: bucket, key, rank, to, top.
 
-    In each bucket all lines meet the most frequent one first. Those linked to it
-    are connected, so no pair of them is needed; only lines that are not meet
-    every other line of the bucket.
+    One exchange and a running window find the heads, and buckets of one line go
+    at once. Cells of buckets that hold far more rows than others are counted
+    first (less than ``CELLS / HOT`` can be hot): there heads come out of an
+    aggregation and are joined, so that no bucket has to fit one task.
+    """
+    cell = F.col("bucket").bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    counts = stored(keyed.groupBy(cell.alias("cell")).agg(F.count("*").alias("rows")))
+    mean = (counts.agg(F.sum("rows")).first()[0] or 0) / CELLS
+    hot = [r.cell for r in counts.where(F.col("rows") > max(HOT * mean, HOT_ROWS)).select("cell").collect()]
+    by_bucket = Window.partitionBy("bucket").orderBy(F.desc("rank"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    even = keyed.where(~cell.isin(hot)) if hot else keyed
+    out = even.select("bucket", "key", "rank", F.first("key").over(by_bucket).alias("to"), F.first("rank").over(by_bucket).alias("top"))
+    if hot:
+        crowd = keyed.where(cell.isin(hot))
+        heads = crowd.groupBy("bucket").agg(F.max_by("key", "rank").alias("to"), F.max("rank").alias("top"), F.count("*").alias("rows"))
+        heads = stored(heads.where("rows > 1").drop("rows"))
+        out = out.unionByName(crowd.join(heads, "bucket"))
+    return out.where("key <> to")
+
+
+def sketch_groups(known: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Connected groups (node, root) of lines whose ``sketches`` share two grams and which are alike.
+
+    In each bucket all lines meet the head first. Lines not linked to it then
+    meet those lines of the bucket that are not in their group yet, so no link
+    between groups is lost, and no group of near lines gives all its pairs.
     """
-    prints = [] if radius is None else ["print"]
-    heads = keyed.groupBy("bucket").agg(F.count("*").alias("rows"), F.max("rank").alias("top")).where("rows > 1")
-    crowd = stored(keyed.join(heads, "bucket"))
-    heads = crowd.where("rank = top").select("bucket", F.col("key").alias("to"), *[F.col(c).alias("to_print") for c in prints])
-    members = crowd.join(heads, "bucket").where("key <> to")
-    direct = members.where(_near("to_print", "top", radius, similarity)).select("key", "to").distinct()
-    direct = stored(_alike(direct, found, similarity))
-    # lines that are not linked to the head, in buckets of more than the two
-    apart = members.where("rows > 2").join(direct, ["key", "to"], "left_anti")
-    apart = apart.select("bucket", F.col("key").alias("from"), *[F.col(c).alias("from_print") for c in prints], F.col("rank").alias("from_rank"))
-    pairs = apart.join(members.select("bucket", "key", *prints, "rank"), "bucket")
-    pairs = pairs.where(_near("from_print", "from_rank", radius, similarity) & (F.col("key") != F.col("from")))
+    members = stored(_members(known.select("key", _rank().alias("rank"), F.explode(_shared()).alias("bucket"))))
+    direct = stored(_alike(members.where(_sizes("top", similarity)).select("key", "to").distinct(), found, similarity))
+    groups = stored(components(direct, "key", "to"))
+    group = lambda rows: rows.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    met = stored(group(members.select("bucket", "key", "rank", "to")))
+    apart = met.join(direct, ["key", "to"], "left_anti")
+    apart = apart.select("bucket", F.col("key").alias("from"), F.col("rank").alias("from_rank"), F.col("root").alias("from_root"))
+    others = met.select("bucket", "key", "rank", "root")
+    near = _sizes("from_rank", similarity) & (F.col("root") != F.col("from_root"))
+    pairs = apart.join(others, (apart.bucket == others.bucket) & near)
     pairs = pairs.select(F.greatest("key", "from").alias("key"), F.least("key", "from").alias("to")).distinct()
-    return direct.unionByName(_alike(pairs, found, similarity))
+    more = stored(_alike(pairs, found, similarity))
+    if more.isEmpty():
+        return groups
+    joined = groups.select(F.col("node").alias("key"), F.col("root").alias("to")).unionByName(more)
+    return components(joined, "key", "to")
 
 
 def _alike(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
@@ -206,7 +165,7 @@ def _alike(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
 
 def _common(a: Column, b: Column) -> Column:
     """How many characters two strings start with alike, by halving steps."""
-    steps = F.array(*[F.lit(1 << n) for n in range(PIECE_BITS, -1, -1)])
+    steps = F.array(*[F.lit(1 << n) for n in range(COMMON_BITS, -1, -1)])
     shorter = F.least(F.length(a), F.length(b))
 
     def longer(at: Column, step: Column) -> Column:
@@ -233,54 +192,49 @@ def _within(a: Column, b: Column, most: Column) -> Column:
 
 def repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-    least_words: int = LEAST_WORDS, most: int = PIECE_CHARS,
+    least_words: int = LEAST_WORDS,
 ) -> DataFrame:
-    """The lines to remove: doc (the id), n (piece), class (a key that its group of lines shares).
+    """The lines to remove: doc (the id), body (hash of the text), n (line, from 0), class (a key that its group shares).
 
-    The occurrence of the smallest (id, n) in a group of equal or near lines
-    stays; a null id comes first. Lines of fewer than ``least_words`` words, and
-    of fewer than ``WORD_CHARS`` characters for each of these, are never removed;
-    with 1 all lines but blank ones take part.
+    The occurrence of the smallest (id, body, n) in a group of equal or near
+    lines stays; a null id comes first. Lines are compared whole. Lines of fewer
+    than ``least_words`` words, and of fewer than ``WORD_CHARS`` characters for
+    each of these, are never removed; with 1 all lines but blank ones take part.
     """
     path = shared_dir(docs.sparkSession)
-    lines(docs, id_col, text_col, least_words, most).write.option("compression", "zstd").parquet(path)
+    lines(docs, id_col, text_col, least_words).write.option("compression", "zstd").parquet(path)
     found = docs.sparkSession.read.parquet(path)
     known = stored(sketches(found))
-    roots = stored(components(sketch_links(known, found, similarity), "key", "to"))
+    roots = stored(sketch_groups(known, found, similarity))
     alone = known.where("times > 1").join(roots, known.key == roots.node, "left_anti")
     groups = roots.select(F.col("node").alias("key"), F.col("root").alias("class"))
     groups = groups.unionByName(alone.select("key", F.col("key").alias("class")))
-    met = stored(found.select("doc", "n", "key").join(groups, "key").select("doc", "n", "class"))
-    first = stored(met.groupBy("class").agg(F.min(F.struct("doc", "n")).alias("first")))
-    here = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("n") == F.col("first.n"))
-    return met.join(first, "class").where(~here).select("doc", "n", "class")
+    met = stored(found.select("doc", "body", "n", "key").join(groups, "key").select("doc", "body", "n", "class"))
+    first = stored(met.groupBy("class").agg(F.min(F.struct("doc", "body", "n")).alias("first")))
+    here = F.struct("doc", "body", "n").eqNullSafe(F.col("first"))
+    return met.join(first, "class").where(~here).select("doc", "body", "n", "class")
 
 
 def dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_col: str = "n_removed", **settings: float
 ) -> DataFrame:
-    """The documents with their repeated lines taken out of ``text_col``, and how many pieces that were.
+    """The documents with their repeated lines taken out of ``text_col``, and how many lines that were.
 
     What is left of a text keeps its characters, order and line ends. Null texts
-    stay null, texts without repeats stay as they are; rows that share an id
-    lose the same places; other columns stay (a column named ``n_col`` is
-    replaced); an empty table stays empty.
+    stay null, texts without repeats stay as they are. Rows that share an id, or
+    have none, keep lines of their own; rows equal in id and text count as one
+    document and lose the same lines. Other columns stay, whatever their names (a
+    column named ``n_col`` is replaced); an empty table stays empty.
     """
     gone = repeats(docs, id_col, text_col, **settings)
-    gone = stored(gone.groupBy("doc").agg(F.collect_set("n").alias("gone")))
+    gone = stored(gone.groupBy("doc", "body").agg(F.collect_set("n").alias("gone")))
     total = gone.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
     gone = F.broadcast(gone) if total <= 4 * SMALL_ROWS else gone
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("gone").alias("__gone"))
-
-    def rest(found: Column) -> Column:
-        kept = F.filter(found, lambda x, n: ~F.array_contains(F.col("__gone"), n))
-        joined = lambda k: F.array_join(F.transform(k, lambda x, n: F.when(
-            (n == 0) | (F.get(k, n - 1).line == x.line), x.text).otherwise(F.concat(F.lit("\n"), x.text))), "")
-        return let(kept, joined)
-
     columns = [c for c in docs.columns if c != n_col]
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__doc")), "left")
-    text = F.when(F.col("__gone").isNotNull(), rest(pieces(docs[text_col], int(settings.get("most", PIECE_CHARS)))))
-    text = text.otherwise(docs[text_col])
-    count = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in columns], count.alias(n_col))
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"))
+    row, text = F.col("row"), F.col("row")[text_col]
+    joined = rows.join(gone, row[id_col].eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("body")), "left")
+    kept = F.filter(F.split(text, "\n", -1), lambda x, n: ~F.array_contains(F.col("gone"), n))
+    rest = F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n")).otherwise(text)
+    count = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    return joined.select(*[(rest if c == text_col else row[c]).alias(c) for c in columns], count.alias(n_col))
