@@ -2,8 +2,8 @@
 
 Normalised lines are cut into overlapping grams: pairs of neighbouring words, or
 six characters where lines are short or have few spaces. The grams of smallest
-hash are a line's sketch. Lines whose sketches share two grams meet, and are
-linked if their edit similarity is high enough. One occurrence of each connected
+hash are a line's sketch. Lines whose sketches share three grams of words, or two
+of characters, meet and are linked if their edit similarity is high enough. One occurrence of each connected
 group of lines stays.
 """
 
@@ -21,8 +21,9 @@ from tallyline.session import shared_dir, stored
 SIMILARITY = 0.9
 LEAST_WORDS = 1
 WORD_CHARS = 8  # a line of so many characters for each of the least words takes part however few its spaces are
-SKETCH = 6  # grams of smallest hash
 CHARS, WORDS = 6, 2  # characters, or words, of a gram
+SKETCH = {"c": 6, "w": 5}  # grams of smallest hash, of characters and of words
+SHARED = {"c": 2, "w": 3}  # grams that two lines must share to meet; a shorter sketch must be shared whole
 SHORT = 100  # lines of so many characters have grams of characters, and those of a tenth less or more also of words
 SPARSE = 12, 16  # characters a word from which grams of characters are taken, and up to which grams of words are
 COMMON_BITS = 20  # what two lines start or end with alike is found for up to two million characters
@@ -58,11 +59,11 @@ def lines(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> Data
     return found.select("doc", "body", "n", F.trim("line").alias("plain")).withColumn("key", F.xxhash64("plain"))
 
 
-def _sketch(parts: Column, width: int) -> Column:
+def _sketch(parts: Column, width: int, grams: int) -> Column:
     """The smallest hashes of the grams of ``width`` neighbouring parts; grams at the end have fewer parts."""
-    grams = F.arrays_zip(*[F.slice(parts, k + 1, F.size(parts) + 1) for k in range(width)])
-    hashes = F.transform(grams, lambda gram: F.xxhash64(gram))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+    gram = lambda all_of: lambda x, n: F.xxhash64(x, *[F.get(all_of, n + k) for k in range(1, width)])
+    hashes = let(F.transform(parts, lambda x: F.xxhash64(x)), lambda each: F.transform(each, gram(each)))
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, grams)
 
 
 def sketches(found: DataFrame) -> DataFrame:
@@ -76,18 +77,19 @@ def sketches(found: DataFrame) -> DataFrame:
     each = F.col("size") / F.size("words")
     chars = (F.col("size") <= SHORT) | (each > SPARSE[0])
     words = (F.col("size") > SHORT * SIMILARITY) & (each <= SPARSE[1])
-    parts = parts.select("key", "size", F.when(chars, _sketch(split(""), CHARS)).alias("c"), F.when(words, _sketch(F.col("words"), WORDS)).alias("w"))
-    least = [F.max(F.get(kind, F.lit(k))).alias(f"{kind}{k}") for kind in "cw" for k in range(SKETCH)]
+    parts = parts.select("key", "size", F.when(chars, _sketch(split(""), CHARS, SKETCH["c"])).alias("c"), F.when(words, _sketch(F.col("words"), WORDS, SKETCH["w"])).alias("w"))
+    least = [F.max(F.get(kind, F.lit(k))).alias(f"{kind}{k}") for kind in SKETCH for k in range(SKETCH[kind])]
     return parts.groupBy("key").agg(F.max("size").alias("size"), F.count("*").alias("times"), *least)
 
 
 def _shared() -> Column:
-    """All pairs of grams of a sketch, as numbers; a sketch of one gram is a pair with itself."""
+    """All choices of ``SHARED`` grams of a sketch, as numbers; a sketch of fewer grams is one choice."""
     keys = []
-    for kind in "cw":
-        pairs = itertools.combinations([f"{kind}{k}" for k in range(SKETCH)], 2)
-        keys += [F.when(F.col(b).isNotNull(), F.xxhash64(F.lit(kind), a, b)) for a, b in pairs]
-        keys.append(F.when(F.col(f"{kind}1").isNull() & F.col(f"{kind}0").isNotNull(), F.xxhash64(F.lit(kind), f"{kind}0")))
+    for kind, grams in SKETCH.items():
+        for chosen in itertools.combinations([f"{kind}{k}" for k in range(grams)], SHARED[kind]):
+            keys.append(F.when(F.col(chosen[-1]).isNotNull(), F.xxhash64(F.lit(kind), *chosen)))
+        few = [f"{kind}{k}" for k in range(SHARED[kind])]
+        keys.append(F.when(F.col(few[-1]).isNull() & F.col(few[0]).isNotNull(), F.xxhash64(F.lit(kind), *few)))
     return F.array_compact(F.array(*keys))
 
 
@@ -127,7 +129,7 @@ def _members(keyed: DataFrame) -> DataFrame:
 
 
 def sketch_groups(known: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Connected groups (node, root) of lines whose ``sketches`` share two grams and which are alike.
+    """Connected groups (node, root) of lines whose ``sketches`` share enough grams and which are alike.
 
     In each bucket all lines meet the head first. Lines not linked to it then
     meet those lines of the bucket that are not in their group yet, so no link
@@ -187,7 +189,7 @@ def _within(a: Column, b: Column, most: Column) -> Column:
     up_to = lambda x, n: F.call_function("levenshtein", x.a, x.b, F.least(most, F.lit(n))) >= 0
     whole = lambda x: F.call_function("levenshtein", x.a, x.b, most) >= 0
     # few edits are found at little cost, so they are looked for first
-    return let(middle, lambda x: F.when(up_to(x, 8), True).when(up_to(x, 40), True).otherwise(whole(x)))
+    return let(middle, lambda x: F.when(up_to(x, 8), True).when(up_to(x, 40), True).when(most > 40, whole(x)).otherwise(False))
 
 
 def repeats(

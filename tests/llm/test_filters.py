@@ -102,7 +102,7 @@ def _groups(nodes, links):
 
 @pytest.mark.parametrize("hot_rows", [line_dedup.HOT_ROWS, 1])
 def test_groups_are_those_of_all_pairs(spark, monkeypatch, hot_rows):
-    """Chains of variants, and one template with other tails: the same groups as comparing all pairs that share two grams."""
+    """Chains of variants, and one template with other tails: the same groups as comparing all pairs that share enough grams."""
     import numpy as np
 
     monkeypatch.setattr(line_dedup, "HOT_ROWS", hot_rows)
@@ -127,7 +127,7 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch, hot_rows):
     sketch = {r.key: ({x for k, x in r.asDict().items() if k[0] == "c" and x}, {x for k, x in r.asDict().items() if k[0] == "w" and x}) for r in known.collect()}
     near = [
         (a, b) for a in plain for b in plain
-        if a < b and any(len(x & y) >= 2 for x, y in zip(sketch[a], sketch[b]))
+        if a < b and any(len(x & y) >= n for x, y, n in zip(sketch[a], sketch[b], line_dedup.SHARED.values()))
         and _distance(plain[a], plain[b]) <= math.floor(max(len(plain[a]), len(plain[b])) * 0.1 + 1e-9)
     ]
     assert near
