@@ -1,10 +1,10 @@
 """Fuzzy line deduplication with column functions only.
 
-Normalised lines are cut into overlapping grams: pairs of neighbouring words, or
-six characters where lines are short or have few spaces. The grams of smallest
-hash are a line's sketch. Lines whose sketches share three grams of words, or two
-of characters, meet and are linked if their edit similarity is high enough. One occurrence of each connected
-group of lines stays.
+Normalised lines get a SimHash of their words, or of their pairs of characters where
+spaces are rare. Lines of like size that agree in
+two of its five blocks meet (three differing bits spoil three blocks at most), and
+are linked if their hashes differ in three bits at most and their edit similarity
+is high enough. One occurrence of each connected group of lines stays.
 """
 
 from __future__ import annotations
@@ -18,14 +18,13 @@ from tallyline.llm.columns import let, small
 from tallyline.llm.components import components
 from tallyline.session import shared_dir, stored
 
+RADIUS, BLOCKS = 3, 5
 SIMILARITY = 0.9
 LEAST_WORDS = 1
 WORD_CHARS = 8  # a line of so many characters for each of the least words takes part however few its spaces are
-CHARS, WORDS = 6, 2  # characters, or words, of a gram
-SKETCH = {"c": 6, "w": 5}  # grams of smallest hash, of characters and of words
-SHARED = {"c": 2, "w": 3}  # grams that two lines must share to meet; a shorter sketch must be shared whole
-SHORT = 100  # lines of so many characters have grams of characters, and those of a tenth less or more also of words
-SPARSE = 12, 16  # characters a word from which grams of characters are taken, and up to which grams of words are
+SPARSE = 16  # characters a word from which a line's features are its pairs of characters
+LANE_BITS = 16  # bits of a sum, where four share a number
+LANE_CHARS = 1 << (LANE_BITS - 1)  # lines of fewer characters have no more features than such a sum can count
 COMMON_BITS = 20  # what two lines start or end with alike is found for up to two million characters
 SIZE_BITS = 13
 SIZES = (1 << SIZE_BITS) - 1  # sizes from here on count as one
@@ -36,61 +35,75 @@ PUNCTUATION = '.,;:!?|"'
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, without punctuation, words apart by one space. Plain replacements, which read bytes, not patterns."""
-    out = F.lower(text)
-    for mark in PUNCTUATION:
-        out = F.replace(out, F.lit(mark), F.lit(""))
+    """Lower case, without punctuation, words apart by one space."""
+    out = F.regexp_replace(F.lower(text), f"[{PUNCTUATION}]++", "")
     for mark in ("\t", "\r", "  ", "  "):
         out = F.replace(out, F.lit(mark), F.lit(" "))
     return out
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """One row for each line of at least ``least_words`` words, or as long as these are: doc, body, n (line, from 0), key, plain.
+    """One row for each line of at least ``least_words`` words, or as long as these are: doc, body, n (line, from 0), key, size, plain.
 
     ``body`` is a hash of the whole text, so that rows of one id, or of none, are told apart.
     """
     found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     found = found.select("doc", F.xxhash64("text").alias("body"), F.posexplode(F.split(normalised(F.col("text")), "\n", -1)).alias("n", "line"))
-    # at least so many spaces is cheap to see and leaves out most short lines; then words count
-    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    counted = (spaces >= least_words - 1) & F.col("line").rlike(r"^\s*+(?:\S++\s++){%d}\S" % (least_words - 1))
-    found = found.where(counted | (F.length(F.trim("line")) >= least_words * WORD_CHARS))
-    return found.select("doc", "body", "n", F.trim("line").alias("plain")).withColumn("key", F.xxhash64("plain"))
+    if least_words > 1:
+        # at least so many spaces is cheap to see and leaves out most short lines; then words count
+        spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+        counted = (spaces >= least_words - 1) & F.col("line").rlike(r"^\s*+(?:\S++\s++){%d}\S" % (least_words - 1))
+        found = found.where(counted | (F.length(F.trim("line")) >= least_words * WORD_CHARS))
+    found = found.select("doc", "body", "n", F.trim("line").alias("plain")).where(F.col("plain").rlike(r"\S"))
+    return found.select("doc", "body", "n", F.xxhash64("plain").alias("key"), F.length("plain").alias("size"), "plain")
 
 
-def _sketch(parts: Column, width: int, grams: int) -> Column:
-    """The smallest hashes of the grams of ``width`` neighbouring parts; grams at the end have fewer parts."""
-    gram = lambda all_of: lambda x, n: F.xxhash64(x, *[F.get(all_of, n + k) for k in range(1, width)])
-    hashes = let(F.transform(parts, lambda x: F.xxhash64(x)), lambda each: F.transform(each, gram(each)))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, grams)
+def _majority(found: DataFrame, lanes: int) -> DataFrame:
+    """One row for each line: key, size, print (the bits set in over half of its features' hashes).
 
-
-def sketches(found: DataFrame) -> DataFrame:
-    """One row for each distinct line: key, size (characters), times, c0.. (sketch of characters), w0.. (of words).
-
-    Lines near each other in size, or in characters a word, have the same kind of
-    sketch at least once, as the ranges of both kinds overlap.
+    A hash's 64 bits are added up ``lanes`` at a time, in equal parts of 64 / ``lanes`` sums.
     """
-    split = lambda by: F.array_remove(F.split("plain", by, -1), "")
-    parts = found.select("key", "plain", F.length("plain").alias("size"), split(" ").alias("words"))
-    each = F.col("size") / F.size("words")
-    chars = (F.col("size") <= SHORT) | (each > SPARSE[0])
-    words = (F.col("size") > SHORT * SIMILARITY) & (each <= SPARSE[1])
-    parts = parts.select("key", "size", F.when(chars, _sketch(split(""), CHARS, SKETCH["c"])).alias("c"), F.when(words, _sketch(F.col("words"), WORDS, SKETCH["w"])).alias("w"))
-    least = [F.max(F.get(kind, F.lit(k))).alias(f"{kind}{k}") for kind in SKETCH for k in range(SKETCH[kind])]
-    return parts.groupBy("key").agg(F.max("size").alias("size"), F.count("*").alias("times"), *least)
-
-
-def _shared() -> Column:
-    """All choices of ``SHARED`` grams of a sketch, as numbers; a sketch of fewer grams is one choice."""
-    keys = []
-    for kind, grams in SKETCH.items():
-        for chosen in itertools.combinations([f"{kind}{k}" for k in range(grams)], SHARED[kind]):
-            keys.append(F.when(F.col(chosen[-1]).isNotNull(), F.xxhash64(F.lit(kind), *chosen)))
-        few = [f"{kind}{k}" for k in range(SHARED[kind])]
-        keys.append(F.when(F.col(few[-1]).isNull() & F.col(few[0]).isNotNull(), F.xxhash64(F.lit(kind), *few)))
-    return F.array_compact(F.array(*keys))
+    width = 64 // lanes
+    each = sum(1 << (width * k) for k in range(lanes))
+    parts = found.select(F.monotonically_increasing_id().alias("row"), "key", "size", "plain", F.split("plain", " ", -1).alias("parts"))
+    pairs = F.regexp_extract_all("plain", F.lit("(?s)(?=(..))"), F.lit(1))
+    feature = F.explode(F.when(F.size("parts") * SPARSE < F.col("size"), pairs).otherwise(F.col("parts")))
+    words = parts.select("row", "key", "size", feature.alias("word")).where("word <> ''")
+    words = words.select("row", "key", "size", F.xxhash64("word").alias("hash"))
+    sums = [F.sum(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(each).cast("bigint"))).alias(f"s{k}") for k in range(width)]
+    summed = words.groupBy("row", "key", "size").agg(F.count("*").alias("words"), *sums)
+    # a part holding more than half of the words reaches its last bit but one once what is missing is added to all parts
+    top = width - 2 if lanes > 1 else 0
+    missing = (F.lit(1 << top) - F.floor(F.col("words") / 2) - 1) * F.lit(each).cast("bigint")
+    bits = F.lit(0).cast("bigint")
+    for k in range(width):
+        if lanes > 1:
+            over = F.shiftrightunsigned(F.col(f"s{k}") + missing, top).bitwiseAND(F.lit(each).cast("bigint"))
+        else:
+            over = (F.col(f"s{k}") * 2 > F.col("words")).cast("bigint")
+        bits = bits.bitwiseOR(F.shiftleft(over, k))
+    return summed.select("key", "size", bits.alias("print"))
+
+
+def simhashes(found: DataFrame) -> DataFrame:
+    """One row for each distinct line: key, print, size (characters), times. Copies of a line add one narrow row each."""
+    each = _majority(found.where(F.col("size") < LANE_CHARS), 64 // LANE_BITS)
+    each = each.unionByName(_majority(found.where(F.col("size") >= LANE_CHARS), 1))
+    return each.groupBy("key").agg(F.max("print").alias("print"), F.max("size").alias("size"), F.count("*").alias("times"))
+
+
+def _blocks(print_col: str, blocks: int, radius: int) -> Column:
+    """All ways to agree in the blocks that differing bits must leave alone, as numbers for each ``band``."""
+    ends = [64 * n // blocks for n in range(blocks + 1)]
+    block = [F.shiftrightunsigned(print_col, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint")) for a, b in itertools.pairwise(ends)]
+    chosen = itertools.combinations(block, blocks - radius)
+    return F.array(*[F.xxhash64(F.lit(n), "band", *some) for n, some in enumerate(chosen)])
+
+
+def _bands(similarity: float) -> Column:
+    """Octaves of the size, and of the largest size that may be alike: lines alike share one, and few have two."""
+    octave = lambda size: F.floor(F.log2(size)).cast("int")
+    return F.sequence(octave(F.col("size")), octave(F.col("size") / (similarity - 1e-9)))
 
 
 def _rank() -> Column:
@@ -99,53 +112,64 @@ def _rank() -> Column:
     return F.shiftleft(weight, SIZE_BITS).bitwiseOR(F.least(F.col("size"), F.lit(SIZES)))
 
 
-def _sizes(other: str, similarity: float) -> Column:
-    """Whether the sizes in two ranks let the edit similarity be high enough; ``SIZES`` or more are one size."""
-    a, b = F.col("rank").bitwiseAND(F.lit(SIZES)), F.col(other).bitwiseAND(F.lit(SIZES))
-    return F.abs(a - b) <= F.greatest(a, b) * (1 - similarity) + 1e-9
+def _near(other: str, other_rank: str, radius: int, similarity: float) -> Column:
+    """Whether hashes are near, and sizes so that the edit similarity can be high enough; ``SIZES`` or more are one size."""
+    a, b = F.col("rank").bitwiseAND(F.lit(SIZES)), F.col(other_rank).bitwiseAND(F.lit(SIZES))
+    bits = F.bit_count(F.col("print").bitwiseXOR(F.col(other))) <= radius
+    return bits & (F.abs(a - b) <= F.greatest(a, b) * (1 - similarity) + 1e-9)
 
 
 def _members(keyed: DataFrame) -> DataFrame:
-    """The lines of each bucket but its head (the most frequent line), beside the head: bucket, key, rank, to, top.
+    """The lines of each bucket but its head (the most frequent line), beside the head: bucket, key, print, rank, to, to_print, top, crowd.
 
-    One exchange and a running window find the heads, and buckets of one line go
-    at once. Cells of buckets that hold far more rows than others are counted
-    first (less than ``CELLS / HOT`` can be hot): there heads come out of an
-    aggregation and are joined, so that no bucket has to fit one task.
+    ``crowd`` is whether the bucket holds more than two lines. One exchange and a
+    running window find the heads, and buckets of one line go at once. Cells of
+    buckets that hold far more rows than others are counted first (less than
+    ``CELLS / HOT`` can be hot): there heads come out of an aggregation and are
+    joined, so that no bucket has to fit one task.
     """
     cell = F.col("bucket").bitwiseAND(F.lit(CELLS - 1)).cast("int")
     counts = stored(keyed.groupBy(cell.alias("cell")).agg(F.count("*").alias("rows")))
     mean = (counts.agg(F.sum("rows")).first()[0] or 0) / CELLS
     hot = [r.cell for r in counts.where(F.col("rows") > max(HOT * mean, HOT_ROWS)).select("cell").collect()]
-    by_bucket = Window.partitionBy("bucket").orderBy(F.desc("rank"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("bucket").orderBy(F.desc("rank"), "key")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     even = keyed.where(~cell.isin(hot)) if hot else keyed
-    out = even.select("bucket", "key", "rank", F.first("key").over(by_bucket).alias("to"), F.first("rank").over(by_bucket).alias("top"))
+    heads = [F.first(c).over(so_far).alias(name) for c, name in (("key", "to"), ("print", "to_print"), ("rank", "top"))]
+    crowd = (F.count("*").over(so_far) > 2) | F.lead("key").over(order).isNotNull()
+    out = even.select("bucket", "key", "print", "rank", *heads, crowd.alias("crowd"))
     if hot:
-        crowd = keyed.where(cell.isin(hot))
-        heads = crowd.groupBy("bucket").agg(F.max_by("key", "rank").alias("to"), F.max("rank").alias("top"), F.count("*").alias("rows"))
-        heads = stored(heads.where("rows > 1").drop("rows"))
-        out = out.unionByName(crowd.join(heads, "bucket"))
+        many = keyed.where(cell.isin(hot))
+        first = F.max(F.struct("rank", "key", "print")).alias("head")
+        heads = many.groupBy("bucket").agg(first, F.count("*").alias("rows")).where("rows > 1")
+        heads = stored(heads.select("bucket", F.col("head.key").alias("to"), F.col("head.print").alias("to_print"), F.col("head.rank").alias("top"), (F.col("rows") > 2).alias("crowd")))
+        out = out.unionByName(many.join(heads, "bucket"))
     return out.where("key <> to")
 
 
-def sketch_groups(known: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Connected groups (node, root) of lines whose ``sketches`` share enough grams and which are alike.
+def near_groups(
+    known: DataFrame, found: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY
+) -> DataFrame:
+    """Connected groups (node, root) of lines whose ``simhashes`` are near and which are alike.
 
     In each bucket all lines meet the head first. Lines not linked to it then
-    meet those lines of the bucket that are not in their group yet, so no link
-    between groups is lost, and no group of near lines gives all its pairs.
+    meet those lines of the bucket that are not in their group yet and have a near
+    hash, so no link between groups is lost, and no group of near lines gives all
+    its pairs.
     """
-    members = stored(_members(known.select("key", _rank().alias("rank"), F.explode(_shared()).alias("bucket"))))
-    direct = stored(_alike(members.where(_sizes("top", similarity)).select("key", "to").distinct(), found, similarity))
+    keyed = known.select("key", "print", "size", _rank().alias("rank"), F.explode(_bands(similarity)).alias("band"))
+    keyed = keyed.select("key", "print", "rank", F.explode(_blocks("print", blocks, radius)).alias("bucket"))
+    to_head = _near("to_print", "top", radius, similarity)
+    members = stored(_members(keyed).withColumn("near", to_head).where("near or crowd").drop("to_print", "top"))
+    direct = stored(_alike(members.where("near").select("key", "to").distinct(), found, similarity))
     groups = stored(components(direct, "key", "to"))
-    group = lambda rows: rows.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    met = stored(group(members.select("bucket", "key", "rank", "to")))
-    apart = met.join(direct, ["key", "to"], "left_anti")
-    apart = apart.select("bucket", F.col("key").alias("from"), F.col("rank").alias("from_rank"), F.col("root").alias("from_root"))
-    others = met.select("bucket", "key", "rank", "root")
-    near = _sizes("from_rank", similarity) & (F.col("root") != F.col("from_root"))
+    known_roots = small(groups.withColumnRenamed("node", "key"), SMALL_ROWS)
+    met = members.where("crowd").join(known_roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    others = met.select("bucket", "key", "print", "rank", "root")
+    apart = met.join(small(direct, SMALL_ROWS), ["key", "to"], "left_anti").select("bucket", *[F.col(c).alias(f"from_{c}") for c in ("key", "print", "rank", "root")])
+    near = _near("from_print", "from_rank", radius, similarity) & (F.col("root") != F.col("from_root"))
     pairs = apart.join(others, (apart.bucket == others.bucket) & near)
-    pairs = pairs.select(F.greatest("key", "from").alias("key"), F.least("key", "from").alias("to")).distinct()
+    pairs = pairs.select(F.greatest("key", "from_key").alias("key"), F.least("key", "from_key").alias("to")).distinct()
     more = stored(_alike(pairs, found, similarity))
     if more.isEmpty():
         return groups
@@ -194,7 +218,7 @@ def _within(a: Column, b: Column, most: Column) -> Column:
 
 def repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-    least_words: int = LEAST_WORDS,
+    least_words: int = LEAST_WORDS, radius: int = RADIUS, blocks: int = BLOCKS,
 ) -> DataFrame:
     """The lines to remove: doc (the id), body (hash of the text), n (line, from 0), class (a key that its group shares).
 
@@ -206,8 +230,8 @@ def repeats(
     path = shared_dir(docs.sparkSession)
     lines(docs, id_col, text_col, least_words).write.option("compression", "zstd").parquet(path)
     found = docs.sparkSession.read.parquet(path)
-    known = stored(sketches(found))
-    roots = stored(sketch_groups(known, found, similarity))
+    known = stored(simhashes(found))
+    roots = stored(near_groups(known, found, radius, blocks, similarity))
     alone = known.where("times > 1").join(roots, known.key == roots.node, "left_anti")
     groups = roots.select(F.col("node").alias("key"), F.col("root").alias("class"))
     groups = groups.unionByName(alone.select("key", F.col("key").alias("class")))
