@@ -33,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the document with the smallest id stays."""
     found = simhash.near_duplicates(docs, shingle=3, radius=2)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
+    return docs.join(keep, docs.doc_id.eqNullSafe(keep["__id"]), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("decontamination", drop_contaminated),
     ("byte_bpe", encode),
 ]
-# No SQL for the network, SimHash or BPE: tests compare each stage with a brute-force version.
+# No SQL for the network, SimHash or BPE: tests run the stages on planted cases.
 ORACLE_SQL = None
 
 
