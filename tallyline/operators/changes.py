@@ -85,22 +85,33 @@ def pair_file_revisions(files: DataFrame, revisions: DataFrame, carry: Sequence[
     )
 
 
-def scan_texts(rows: DataFrame, keys: list[str], texts: dict[str, int]) -> DataFrame:
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of texts spread by all of the row before the texts are read.
+
+    So neither the files they come from, nor merged shuffle partitions, nor a key
+    with many texts decide how many tasks read them.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, F.xxhash64(*rows.columns))
+
+
+def scan_texts(rows: DataFrame, keys: list[str], texts: dict[str, int], errors_only: bool = False) -> DataFrame:
     """One row per entity of every text column, marked with the column's ``side``.
 
     A row with an unreadable text gives no entities but one row per such text,
-    with the reason in ``error``. Output leaves the task in small batches, so a
+    with the reason in ``error``; with ``errors_only`` there are no other rows. Output leaves the task in small batches, so a
     task never holds the entities of more than a few hundred texts.
     """
     fields = [rows.schema[key] for key in keys]
     schema = StructType([*fields, *struct(side=IntegerType(), error=TEXT), *READ])
     arrow = to_arrow_schema(schema)
+    listed_in = java_source.unreadable if errors_only else java_source.entities
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(maxsize=KEPT)
         def scanned(text: str) -> tuple[str | None, list[tuple]]:
             try:
-                return None, java_source.entities(text)
+                return None, listed_in(text)
             except java_source.SourceError as problem:  # one unreadable text must not stop the others
                 return str(problem), []
 
@@ -139,10 +150,13 @@ def scan_texts(rows: DataFrame, keys: list[str], texts: dict[str, int]) -> DataF
 
 
 def column_of(values: Sequence, kind: pa.DataType) -> pa.Array:
-    """An Arrow column; shapes are tuples, or None."""
-    if pa.types.is_struct(kind):
-        values = [None if value is None else dict(zip(SHAPE.names, value)) for value in values]
-    return pa.array(values, kind)
+    """An Arrow column; shapes are tuples, or None, and each different one is converted once."""
+    if not pa.types.is_struct(kind):
+        return pa.array(values, kind)
+    numbers: dict[tuple | None, int] = {}
+    at = [numbers.setdefault(value, len(numbers)) for value in values]
+    shapes = pa.array([None if value is None else dict(zip(SHAPE.names, value)) for value in numbers], kind)
+    return shapes.take(pa.array(at, pa.int64()))
 
 
 def _with_constructors(entity: Column) -> Column:
@@ -176,7 +190,7 @@ def _with_constructors(entity: Column) -> Column:
 def extract_entities(revisions: DataFrame, text: str = "text") -> DataFrame:
     """The declarations and statements of every readable text, one row each."""
     keys = [name for name in revisions.columns if name != text]
-    return scan_texts(revisions, keys, {text: 1}).where(F.col("error").isNull()).select(*keys, *FIELDS)
+    return scan_texts(dealt(revisions), keys, {text: 1}).where(F.col("error").isNull()).select(*keys, *FIELDS)
 
 
 def synthesise_nested_constructors(found: DataFrame) -> DataFrame:
@@ -205,14 +219,14 @@ def without_boilerplate(found: DataFrame) -> DataFrame:
     return found.where(~_is_boilerplate())
 
 
-def scan_pairs(pairs: DataFrame, keys: list[str] = PAIR) -> DataFrame:
+def scan_pairs(pairs: DataFrame, keys: list[str] = PAIR, errors_only: bool = False) -> DataFrame:
     """Entities of both sides of every pair; ``side`` is +1 for new and -1 for old."""
-    return scan_texts(pairs, keys, {"old_text": -1, "new_text": 1})
+    return scan_texts(pairs, keys, {"old_text": -1, "new_text": 1}, errors_only)
 
 
 def quarantine(pairs: DataFrame) -> DataFrame:
     """Texts that cannot be read, with the reason; their files are left out and the rest goes on."""
-    return scan_pairs(pairs).where(F.col("error").isNotNull()).select(*PAIR, "side", "error")
+    return scan_pairs(dealt(pairs), errors_only=True).where(F.col("error").isNotNull()).select(*PAIR, "side", "error")
 
 
 def readable_entities(pairs: DataFrame, keys: list[str] = PAIR) -> DataFrame:
