@@ -104,8 +104,11 @@ def fetch(
     not stored yet and ``repositories`` the stored ones with the time of the fetch.
     With ``marks``, the stored commits are not read for them, and ``marks`` of the
     result are those after the fetch.
+
+    The users it adds are written to the shared folder once: people are resolved in
+    five places, and each would hold the plan of both feeds' people again.
     """
-    added_users = feeds.ingest_users(raw_commits, raw_pull_requests, users, domain, weak)
+    added_users = stored(feeds.ingest_users(raw_commits, raw_pull_requests, users, domain, weak))
     everyone = users.unionByName(added_users)
     fresh = feeds.commit_rows(raw_commits)
     added = new_commits(fresh, commits, marks=marks).drop("seq")
