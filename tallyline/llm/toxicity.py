@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,8 +79,8 @@ def _spread(most: int):
     return some
 
 
-def fit(texts: list[list[str]], labels: np.ndarray, steps: int = 150, batch: int = 512, seed: int = 3) -> Model:
-    """Learns from the windows of labelled texts.
+def fit(texts: pa.Array, labels: np.ndarray, steps: int = 150, batch: int = 512, seed: int = 3) -> Model:
+    """Learns from the windows of labelled texts; ``texts`` holds a list of them for each.
 
     A toxic text need not be toxic in every window. First all its windows count;
     then only the windows that score above what clean texts reach (if there are any).
@@ -90,17 +91,20 @@ def fit(texts: list[list[str]], labels: np.ndarray, steps: int = 150, batch: int
     if not (labels == 1).any() or not (labels == 0).any():
         side = 5.0 if len(labels) and labels[0] == 1 else -5.0
         return Model(Network.fresh(pa.array([], pa.string()), np.zeros((0, 2)), seed), 0.0, side)
-    owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-    ids, at, vocabulary = words(pa.array([window for text in texts for window in text], pa.string()))
+    each = pc.list_value_length(texts).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(texts)), each)
+    ids, at, vocabulary = words(texts.flatten().cast(pa.string()))
     rows = np.zeros((len(owner), LENGTH), np.int32)
     width = np.diff(at)
     rows[np.arange(LENGTH) < width[:, None]] = ids + 1
     aside = _aside(len(texts))
     learnt = ~aside[owner]
     vocabulary_size = len(vocabulary)
-    met = np.unique(owner[learnt, None] * np.int64(vocabulary_size + 1) + rows[learnt])
-    text, word = np.divmod(met, vocabulary_size + 1)
-    toxic, clean = (np.bincount(word[labels[text] == n], minlength=vocabulary_size + 1)[1:] for n in (1, 0))
+    toxic, clean = np.zeros((2, vocabulary_size + 1), np.int64)
+    for text, (stop, own) in enumerate(zip(np.cumsum(each), each)):  # a text at a time, as all together take much memory
+        if not aside[text]:
+            (toxic if labels[text] == 1 else clean)[np.unique(rows[stop - own : stop])] += 1
+    toxic, clean = toxic[1:], clean[1:]
     common = np.argsort(-(toxic + clean), kind="stable")[:VOCABULARY]
     common = common[(toxic + clean)[common] >= LEAST_TEXTS]
     # two hints for each word: the log odds of the texts it is in, smoothed, and how far they are from chance
@@ -151,7 +155,8 @@ def learn(
     order = "id", "windows", "text"
     found = chosen.orderBy(*order).select("label", "windows").toArrow()
     labels = found.column("label").to_numpy()
-    model = fit(found.column("windows").to_pylist(), labels)
+    model = fit(found.column("windows").combine_chunks(), labels)
+    del found
     if model.slope == 0:
         return model
     whole = _each(docs.sparkSession.sparkContext.broadcast(model), Model.highest)
