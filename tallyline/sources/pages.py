@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -46,6 +46,8 @@ def _line(text: Column, section: int, **keys: Column | str | int) -> Column:
 
 def _lines(rows: DataFrame, group: Sequence[str], *lines: Column) -> DataFrame:
     """Document lines of every row; rows that give several are read once."""
+    if len(lines) == 1:
+        return rows.select(*group, lines[0].alias("_line")).select(*group, "_line.*")
     return rows.select(*group, F.explode(F.array(*lines)).alias("_line")).select(*group, "_line.*")
 
 
@@ -84,14 +86,21 @@ def unique_labels(people: DataFrame, users: DataFrame, group: Sequence[str]) ->
 
 
 def _detail(commits: DataFrame, changes: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Equal changes of one commit and file as one row, with the summaries they belong to."""
+    """Equal changes of one commit and file as one row, with the summaries they belong to.
+
+    ``is_first`` marks the first change listed for its file and commit: a window over
+    one file's changes in one commit, which lie together after the join of the owners.
+    """
     what = F.concat_ws(" ", "change_op", "entity_type", "unique_name")
     typed = scoring.categorise_changes(scoring.score_changes(changes)).withColumn("what", what)
     reduced = typed.groupBy("commit_id", "filename", "category", "change_op", "what").agg(
         F.sum("score").alias("score"), F.count(F.lit(1)).alias("n_changes")
     )
     hidden = F.col("exclude_gui") & C.is_gui_file(F.col("filename"))
-    return reduced.join(scoring.owners(commits, group), "commit_id").where(~hidden).drop("exclude_gui")
+    owned = reduced.join(scoring.owners(commits, group), "commit_id").where(~hidden).drop("exclude_gui")
+    counts = C.counts(F.col("change_op"))
+    listed = Window.partitionBy(*group, "user_id", "commit_id", "filename").orderBy(F.desc(counts), "what")
+    return owned.withColumn("is_first", F.rank().over(listed) == 1)
 
 
 def _seconds(name: str) -> Column:
@@ -177,9 +186,7 @@ def summary_lines(
     # Changed files of a user, each with its changes.
     placed = scores.select(*user, "label", "first_place")
     mine = detail.join(placed, user)
-    per_file = [*user, "label", "commit_id", "filename"]
-    credit = F.min(F.when(C.counts(F.col("change_op")), F.col("what"))).alias("first_what")
-    files = _binned(mine, per_file, F.min("first_place").alias("first_place"), credit)
+    files = _binned(mine, [*user, "label", "first_place", "commit_id", "filename"])
     file_head = F.concat(
         F.lit('{"fileName":'),
         _quoted(F.col("filename")),
@@ -192,8 +199,7 @@ def summary_lines(
     change = F.concat(
         F.lit('{"change":'), _quoted(F.col("what")), F.lit(',"count":'), _number(F.col("n_changes")), F.lit("}")
     )
-    changed = scoring.credited(mine).select(*per_file, "what", "n_changes").join(files.select(*per_file, "first_what"), per_file)
-    change = _after(change, F.col("what") == F.col("first_what"))
+    change = _after(change, F.col("is_first"))
     lines += [
         _lines(
             files,
@@ -201,7 +207,7 @@ def summary_lines(
             _line(_after(file_head, place == F.col("first_place")), 1, a=label, part=3, b=place),
             _line(F.lit("]}"), 1, a=label, part=3, b=place, item=2),
         ),
-        _lines(changed, group, _line(change, 1, a=label, part=3, b=place, item=1, c=F.col("what"))),
+        _lines(scoring.credited(mine), group, _line(change, 1, a=label, part=3, b=place, item=1, c=F.col("what"))),
     ]
 
     # Files by name, each with the share of every user.
@@ -231,7 +237,7 @@ def page_lines(documents: DataFrame, template: str, placeholder: str, group: Seq
     pieces = template.split(placeholder)
     owners = documents.where("section = 0").select(*group)
     places = F.array(*(F.lit(2 * n + 1) for n in range(len(pieces) - 1)))
-    inside = documents.select(F.explode(places).alias("place"), "*")
+    inside = documents.select((F.lit(1) if len(pieces) == 2 else F.explode(places)).alias("place"), "*")
     fixed = F.array(
         *(F.struct(F.lit(2 * n).alias("place"), F.lit(piece).alias("text")) for n, piece in enumerate(pieces))
     )
