@@ -8,6 +8,7 @@ once. Files are filtered before any text is read.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -21,6 +22,7 @@ from pyspark.sql.types import IntegerType, StructType
 from ..functions import columns as C
 from ..functions import java_source
 from ..schemas import FLAG, TEXT, struct
+from ..session import stored
 
 # The methods that are never credited, by signature.
 NAMED_BOILERPLATE = r"^(hashCode|equals)\("
@@ -95,17 +97,42 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(tasks, F.xxhash64(*rows.columns))
 
 
-def scan_texts(rows: DataFrame, keys: list[str], texts: dict[str, int], errors_only: bool = False) -> DataFrame:
+def may_change(old: list[tuple], new: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """The entities of both sides without those that are equal, as often, on either.
+
+    An owner and name stays as a whole or goes as a whole, whatever its kinds; classes
+    without constructor stay, and whatever has the names of the two that they imply. So
+    what goes cancels out in ``diff_entities`` and decides nothing there.
+    """
+    befores, afters = [entity[1:] for entity in old], [entity[1:] for entity in new]
+    before, after = set(befores), set(afters)
+    if len(before) == len(befores) and len(after) == len(afters):
+        stay = before ^ after
+    else:
+        before, after = Counter(befores), Counter(afters)
+        stay = {entity for entity in before.keys() | after.keys() if before[entity] != after[entity]}
+    named = {entity[1:3] for entity in stay}
+    for entity in afters + befores:
+        if entity[-1]:
+            name = f"{entity[1]}.{entity[1].rpartition('.')[2]}()"
+            named |= {entity[1:3], ("super();", name), (name, entity[1])}
+    return [entity for entity in old if entity[2:4] in named], [entity for entity in new if entity[2:4] in named]
+
+
+def scan_texts(
+    rows: DataFrame, keys: list[str], texts: dict[str, int], errors_only: bool = False, whole: str | None = None
+) -> DataFrame:
     """One row per entity of every text column, marked with the column's ``side``.
 
     A row with an unreadable text gives no entities but one row per such text,
     with the reason in ``error``; with ``errors_only`` there are no other rows. Output leaves the task in small batches, so a
-    task never holds the entities of more than a few hundred texts.
+    task never holds the entities of more than a few hundred texts. ``whole`` names a column of rows
+    that give all their entities; of two texts the others give those that ``may_change``.
     """
     fields = [rows.schema[key] for key in keys]
     schema = StructType([*fields, *struct(side=IntegerType(), error=TEXT), *READ])
     arrow = to_arrow_schema(schema)
-    listed_in = java_source.unreadable if errors_only else java_source.entities
+    listed_in = java_source.unreadable if errors_only else java_source.listed
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(maxsize=KEPT)
@@ -120,12 +147,17 @@ def scan_texts(rows: DataFrame, keys: list[str], texts: dict[str, int], errors_o
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 columns = [(side, part.column(name).to_pylist()) for name, side in texts.items()]
+                every = part.column(whole).to_pylist() if whole else None
                 at, out = [], []
                 for row in range(part.num_rows):
                     found = [(side, *scanned(column[row])) for side, column in columns]
                     if any(error is not None for _, error, _ in found):
                         new = [(side, error, *nothing) for side, error, _ in found if error is not None]
                     else:
+                        if every and not every[row]:
+                            (old_side, _, old), (new_side, _, now) = found
+                            old, now = may_change(old, now)
+                            found = [(old_side, None, old), (new_side, None, now)]
                         new = [(side, None, *entity) for side, _, listed in found for entity in listed]
                     at += [row] * len(new)
                     out += new
@@ -134,7 +166,7 @@ def scan_texts(rows: DataFrame, keys: list[str], texts: dict[str, int], errors_o
                 made = [column_of(column, arrow.field(len(keys) + n).type) for n, column in enumerate(values)]
                 yield pa.RecordBatch.from_arrays([*taken.columns, *made], schema=arrow)
 
-    return rows.select(*keys, *texts).mapInArrow(read, schema).select(
+    return rows.select(*keys, *texts, *([whole] if whole else [])).mapInArrow(read, schema).select(
         *keys,
         "side",
         "error",
@@ -219,9 +251,11 @@ def without_boilerplate(found: DataFrame) -> DataFrame:
     return found.where(~_is_boilerplate())
 
 
-def scan_pairs(pairs: DataFrame, keys: list[str] = PAIR, errors_only: bool = False) -> DataFrame:
+def scan_pairs(
+    pairs: DataFrame, keys: list[str] = PAIR, errors_only: bool = False, whole: str | None = None
+) -> DataFrame:
     """Entities of both sides of every pair; ``side`` is +1 for new and -1 for old."""
-    return scan_texts(pairs, keys, {"old_text": -1, "new_text": 1}, errors_only)
+    return scan_texts(pairs, keys, {"old_text": -1, "new_text": 1}, errors_only, whole)
 
 
 def quarantine(pairs: DataFrame) -> DataFrame:
@@ -229,9 +263,9 @@ def quarantine(pairs: DataFrame) -> DataFrame:
     return scan_pairs(dealt(pairs), errors_only=True).where(F.col("error").isNotNull()).select(*PAIR, "side", "error")
 
 
-def readable_entities(pairs: DataFrame, keys: list[str] = PAIR) -> DataFrame:
+def readable_entities(pairs: DataFrame, keys: list[str] = PAIR, whole: str | None = None) -> DataFrame:
     """What counts of both sides: no boilerplate, and the constructors nested classes imply."""
-    found = scan_pairs(pairs, keys).where(F.col("error").isNull()).drop("error")
+    found = scan_pairs(pairs, keys, whole=whole).where(F.col("error").isNull()).drop("error")
     return synthesise_nested_constructors(without_boilerplate(found))
 
 
@@ -241,7 +275,8 @@ def diff_entities(found: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     Equal entities cancel out by count. What is left of one owner and type is
     paired in text order: a deletion and an insertion make an update under the
     old name. Both sides of a file are read in one task, so equal entities cancel
-    before the shuffle and only what is left crosses it; a group is part of one text.
+    before the shuffle and only what is left crosses it. One more exchange brings a
+    group together, which is part of one text, for both windows.
     """
     owner = [*keys, "owner", "entity_type"]
     left_over = (
@@ -251,6 +286,7 @@ def diff_entities(found: DataFrame, keys: list[str] = PAIR) -> DataFrame:
         .where("n != 0")
         .withColumn("sign", F.signum("n").cast("int"))
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.abs("n").cast("int"))))
+        .repartition(*owner)
     )
     ordered = Window.partitionBy(*owner, "sign").orderBy("ordinal", "unique_name", "copy")
     both = Window.partitionBy(*owner)
@@ -272,9 +308,23 @@ def diff_entities(found: DataFrame, keys: list[str] = PAIR) -> DataFrame:
     )
 
 
-def extract_changes(pairs: DataFrame, keys: list[str] = PAIR) -> DataFrame:
-    """From pairs of texts to typed changes; ``keys`` tell one pair from another."""
-    return diff_entities(readable_entities(pairs, keys), keys)
+def marked(pairs: DataFrame, keys: list[str] = PAIR) -> DataFrame:
+    """The pairs, and in ``whole`` whether another pair has the same keys."""
+    again = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    again = stored(again.select(*(F.col(key).alias(f"again_{key}") for key in keys), F.lit(True).alias("whole")))
+    if again.isEmpty():
+        return pairs.withColumn("whole", F.lit(False))
+    same = [F.col(key).eqNullSafe(F.col(f"again_{key}")) for key in keys]
+    return pairs.join(again, same, "left").select(*pairs.columns, F.coalesce("whole", F.lit(False)).alias("whole"))
+
+
+def extract_changes(pairs: DataFrame, keys: list[str] = PAIR, whole: str | None = None) -> DataFrame:
+    """From pairs of texts to typed changes; ``keys`` tell one pair from another.
+
+    With ``whole``, the column of ``marked``, what is equal on both sides of a pair goes
+    where the texts are read, but for pairs of the same keys, which are compared together.
+    """
+    return diff_entities(readable_entities(pairs, keys, whole), keys)
 
 
 def _lines(text: Column) -> Column:

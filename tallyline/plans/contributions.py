@@ -26,7 +26,8 @@ def changes_from_texts(
     wanted = scoring.analysable_changes(files.select("commit_id", "filename"), exclude_gui)
     named = commits.select("commit_id", "repo_id", "sha1", "parent").join(wanted, "commit_id")
     pairs = change_ops.pair_file_revisions(named, revisions, carry=["commit_id"])
-    return change_ops.extract_changes(change_ops.dealt(pairs), ["commit_id", "filename"])
+    keys = ["commit_id", "filename"]
+    return change_ops.extract_changes(change_ops.dealt(change_ops.marked(pairs, keys)), keys, "whole")
 
 
 def summary(
