@@ -8,6 +8,7 @@ other list only lowers them and never needs to be traversed first.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ SHARD_ROWS = 1 << 14
 QUERY_ROWS = 1 << 12
 BLOCK_ROWS = 1 << 12  # rows of a shard with bounds of their own
 _PROBES = 8  # components probed between two looks at what is still competitive
-_FEW = 16  # one competitive row in so many is probed, more are traversed
+_TOGETHER = 128  # queries that traverse the columns of a block together
 _DENSE = 8  # a list of more than one row in so many is a column
 
 
@@ -32,69 +33,85 @@ def quantised(vector: Column, scale: int = 64) -> Column:
 class Postings:
     """The postings of one block of rows: per component, what the rows of either sign have.
 
-    A list that most rows are in is a column with zeros for the others, which is
-    added faster than it is gathered; any other list names its rows.
+    A list that many rows are in is a column with zeros for the others, and such columns
+    are traversed for many queries at once; any other list names its rows.
     """
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
-        self.lists = {True: [], False: []}
-        for column in values.T:
+        width = values.shape[1]
+        self.lists: dict[bool, dict] = {True: {}, False: {}}
+        self.place = {True: np.full(width, -1), False: np.full(width, -1)}
+        columns = []
+        for t, column in enumerate(values.T):
             for sign, part in ((True, np.maximum(column, 0)), (False, np.minimum(column, 0))):
                 rows = np.flatnonzero(part)
-                dense = len(rows) * _DENSE > len(ids)
-                self.lists[sign].append((None, np.ascontiguousarray(part)) if dense else (rows, part[rows]))
+                if len(rows) * _DENSE > len(ids):
+                    self.place[sign][t] = len(columns)
+                    columns.append(part)
+                elif len(rows):
+                    self.lists[sign][t] = (rows, part[rows])
+        self.columns = np.array(columns, values.dtype).reshape(len(columns), len(ids))
         high = np.maximum(values, 0).max(axis=0, initial=0)
         low = np.minimum(values, 0).min(axis=0, initial=0)
         self.most = {True: high, False: -low}
 
-    def _traverse(self, t: int, sign: bool, weight: float, scores: np.ndarray, product: np.ndarray) -> None:
-        rows, part = self.lists[sign][t]
-        if rows is None:
-            scores += np.multiply(part, weight, out=product)
-        else:
-            scores[rows] += part * weight
-
     def bounds(self, query: np.ndarray) -> np.ndarray:
         """The most that each component can add to a score here."""
         return np.abs(query) * np.where(query > 0, self.most[True], self.most[False])
 
     def search(self, query: np.ndarray, own: int | None, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores that may be among the best k: every row scoring at least ``least``, best k if more."""
-        bounds = self.bounds(query)
-        order = np.argsort(bounds, kind="stable")
-        reach = np.cumsum(bounds[order])  # what the components up to each one can add together
-        spare = int(np.searchsorted(reach, least, side="left"))  # these alone stay below: non-essential
-        if spare == len(order):
+        return next(self.searches(np.asarray(query)[None], [own], [least], k))
+
+    def searches(
+        self, queries: np.ndarray, own: Sequence[int | None], least: Sequence[int], k: int
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What ``search`` gives for each of a few queries, whose essential columns are traversed together."""
+        weights, splits = np.zeros((len(queries), len(self.columns)), self.values.dtype), []
+        for weight, query, floor in zip(weights, queries, least, strict=True):
+            bounds = self.bounds(query)
+            order = np.argsort(bounds, kind="stable")
+            reach = np.cumsum(bounds[order])  # what the components up to each one can add together
+            spare = int(np.searchsorted(reach, floor, side="left"))  # these alone stay below: non-essential
+            essential = order[spare:]
+            for place in self.place.values():  # the list of the sign that adds, and of the other
+                dense = essential[place[essential] >= 0]
+                weight[place[dense]] = query[dense]
+            splits.append((bounds, essential, order[:spare][::-1], reach[spare - 1] if spare else 0))
+        scored = weights @ self.columns
+        for query, mine, floor, scores, split in zip(queries, own, least, scored, splits, strict=True):
+            yield self._best(query, mine, floor, k, scores, *split)
+
+    def _best(
+        self, query: np.ndarray, own: int | None, least: int, k: int, scores: np.ndarray,
+        bounds: np.ndarray, essential: np.ndarray, rest: np.ndarray, left: int,
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The best rows of a query, whose ``essential`` columns are in ``scores`` and whose others can add ``left``."""
+        if not len(essential):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        scores, product = np.zeros(len(self.ids), self.values.dtype), np.empty(len(self.ids), self.values.dtype)
-        essential, rest = order[spare:][::-1], order[:spare][::-1]
-        for t in essential:  # the whole list of the sign that adds
-            self._traverse(t, bool(query[t] > 0), query[t], scores, product)
-        left = reach[spare - 1] if spare else 0
-        # a row of an essential list has a score above 0; without spare components every row counts
-        alive = np.flatnonzero((scores > 0) & (scores + left >= least)) if spare else np.flatnonzero(scores >= least)
-        # then what the other sign takes away: whole lists while many rows are competitive, else those rows are probed
-        if len(alive) * _FEW > len(self.ids):
-            for t in essential:
-                self._traverse(t, not query[t] > 0, query[t], scores, product)
-            alive = alive[scores[alive] + left >= least]
-        else:
-            for at in range(0, len(essential), _PROBES):
-                terms = essential[at : at + _PROBES]
-                scores[alive] += np.minimum(self.values[np.ix_(alive, terms)] * query[terms], 0).sum(axis=1)
-                alive = alive[scores[alive] + left >= least]
-        # and non-essential components from the largest bound down
+        for lists in self.lists.values():
+            for t in essential if lists else ():
+                if t in lists and query[t]:
+                    rows, part = lists[t]
+                    scores[rows] += part * query[t]
+        alive = np.flatnonzero(scores >= least - left)
+        scores = scores[alive]
+        # non-essential components from the largest bound down, for rows that can still reach the k-th score
         for at in range(0, len(rest), _PROBES):
             terms = rest[at : at + _PROBES]
-            scores[alive] += self.values[np.ix_(alive, terms)] @ query[terms]
+            scores = scores + self.values[alive[:, None], terms] @ query[terms]
             left -= bounds[terms].sum()
-            alive = alive[scores[alive] + left >= least]
-        alive = alive[self.ids[alive] != own] if own is not None else alive
+            still = scores >= least - left
+            alive, scores = alive[still], scores[still]
+        if own is not None:
+            others = self.ids[alive] != own
+            alive, scores = alive[others], scores[others]
         if len(alive) > k:
-            alive = alive[scores[alive] >= np.partition(scores[alive], len(alive) - k)[len(alive) - k]]
-        best = np.lexsort((self.ids[alive], -scores[alive]))[:k]
-        return self.ids[alive][best], scores[alive][best].astype(np.int64)
+            high = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            alive, scores = alive[high], scores[high]
+        best = np.lexsort((self.ids[alive], -scores))[:k]
+        return self.ids[alive][best], scores[best].astype(np.int64)
 
 
 def _matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -110,21 +127,23 @@ def _search(k: int, block_rows: int):
         width = max(max(map(len, frame.vector), default=0) for frame in (queries, docs))
         docs = docs.sort_values("id", kind="stable")
         ids, values, asked = docs.id.to_numpy(np.int64), _matrix(docs.vector, width), _matrix(queries.vector, width)
-        # doubles add up whole numbers exactly, and faster, as long as every sum stays below 2 ** 53
+        # floats add up whole numbers exactly, and the narrower the faster, as long as every sum stays below 2 ** 24, or 2 ** 53
         largest = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (values, asked)]
-        if largest[0] * largest[1] * max(width, 1) < 2.0**52:
-            values, asked = values.astype(np.float64), asked.astype(np.float64)
+        most = largest[0] * largest[1] * max(width, 1)
+        kind = np.float32 if max(most, *largest) < 2.0**23 else np.float64 if most < 2.0**52 else np.int64
+        values, asked = values.astype(kind), asked.astype(kind)
         blocks = [Postings(ids[n : n + block_rows], values[n : n + block_rows]) for n in range(0, len(ids), block_rows)]
-        for own, query in zip(queries.id.to_numpy(np.int64), asked, strict=True):
-            top, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for start in range(0, len(asked), _TOGETHER):
+            some, own = asked[start : start + _TOGETHER], queries.id.to_numpy(np.int64)[start : start + _TOGETHER]
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(some)
             for block in blocks:
                 # until k rows are known, every row may be among them
-                least = scores[-1] if len(scores) == k else np.iinfo(np.int64).min // 4
-                more, their = block.search(query, own, int(least), k)
-                top, scores = np.concatenate([top, more]), np.concatenate([scores, their])
-                order = np.lexsort((top, -scores))[:k]
-                top, scores = top[order], scores[order]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": top, "score": scores}))
+                least = [int(scores[-1]) if len(scores) == k else np.iinfo(np.int64).min // 4 for _, scores in best]
+                for n, (more, their) in enumerate(block.searches(some, own, least, k)):
+                    top, scores = np.concatenate([best[n][0], more]), np.concatenate([best[n][1], their])
+                    order = np.lexsort((top, -scores))[:k]
+                    best[n] = top[order], scores[order]
+            out += [pd.DataFrame({"query_id": mine, "vec_id": top, "score": scores}) for mine, (top, scores) in zip(own, best, strict=True)]
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     return best
