@@ -13,8 +13,9 @@ counted like the rest, so it changes no result.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.arrow import LOWER
+from tallyline.llm.arrow import LOWER, buffers
 from tallyline.operators.spread import join_one
 from tallyline.session import LARGE_VALUES, stored
 
@@ -60,9 +61,22 @@ def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _word_hashes(lang: str, words: list[str]) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang)
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's UTF-8 bytes: their polynomial, mixed."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    raw, at = buffers(words)
+    sizes = np.diff(at)
+    powers = np.full(int(sizes.max(initial=0)), _ODD)
+    powers[:1] = 1
+    place = np.arange(len(raw)) - np.repeat(at[:-1], sizes)
+    terms = (raw.astype(np.uint64) + np.uint64(1)) * np.cumprod(powers)[place]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])  # sums wrap, so differences are exact
+    return _mix(total[at[1:]] - total[at[:-1]], sizes.astype(np.uint64))
+
+
+def _word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+    return _mix(hashes_of(words), np.uint64(xxhash.xxh64_intdigest(lang)))
 
 
 def _parts(texts: list[bytes], most: int) -> Iterator[bytes]:
@@ -137,13 +151,18 @@ class HatTrie:
     def add(self, rows: np.ndarray) -> None:
         if self.length == 1:
             # one word: the root's numbers are the whole key
-            counts = self.root.setdefault(0, Counter())
-            before = len(counts)
-            counts.update(rows[:, 0].tolist())
-            self.entries += len(counts) - before
+            self.add_words(*np.unique(rows[:, 0], return_counts=True))
         else:
             self._add(self.root, rows, 0)
 
+    def add_words(self, words: np.ndarray, times: np.ndarray) -> None:
+        """Distinct words, and how often each occurs."""
+        counts = self.root.setdefault(0, Counter())
+        before = len(counts)
+        for word, n in zip(words.tolist(), times.tolist(), strict=True):
+            counts[word] = counts.get(word, 0) + n
+        self.entries += len(counts) - before
+
     def _add(self, node: dict, rows: np.ndarray, depth: int) -> None:
         rows = rows[np.argsort(rows[:, depth], kind="stable")]
         cuts = np.flatnonzero(np.diff(rows[:, depth])) + 1
@@ -173,7 +192,8 @@ class HatTrie:
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         """All phrases as rows of word numbers, and their counts."""
-        above, counts = [], []
+        # containers of one depth are listed together, as most of them are small
+        depths: dict[int, tuple[list, list]] = {}
         if self.length == 1:
             stack = [((), below) for below in self.root.values()]
         else:
@@ -182,17 +202,22 @@ class HatTrie:
             words, below = stack.pop()
             if type(below) is dict:
                 stack.extend(((*words, word), deeper) for word, deeper in below.items())
-                continue
-            rest = self.length - len(words)
+            else:
+                prefixes, containers = depths.setdefault(len(words), ([], []))
+                prefixes.append(words)
+                containers.append(below)
+        above, counts = [np.zeros((0, self.length), np.uint32)], [np.zeros(0, np.int64)]
+        for depth, (prefixes, containers) in depths.items():
+            sizes = np.fromiter(map(len, containers), np.int64, len(containers))
+            rest, total = self.length - depth, int(sizes.sum())
             if rest == 1:
-                key = np.fromiter(below, np.uint32, len(below)).reshape(-1, 1)
+                key = np.fromiter(chain.from_iterable(containers), np.uint32, total).reshape(-1, 1)
             else:
-                key = np.frombuffer(b"".join(k.ljust(4 * rest, b"\0") for k in below), ">u4").reshape(-1, rest).astype(np.uint32)
-            prefix = np.broadcast_to(np.array(words, np.uint32), (len(key), len(words)))
+                key = np.array(list(chain.from_iterable(containers)), f"S{4 * rest}").view(">u4").reshape(-1, rest).astype(np.uint32)
+            prefix = np.repeat(np.array(prefixes, np.uint32).reshape(len(prefixes), depth), sizes, axis=0)
             above.append(np.concatenate([prefix, key], axis=1))
-            counts.append(np.fromiter(below.values(), np.int64, len(below)))
-        none = np.zeros((0, self.length), np.uint32)
-        return np.concatenate([none, *above]), np.concatenate([np.zeros(0, np.int64), *counts])
+            counts.append(np.fromiter(chain.from_iterable(below.values() for below in containers), np.int64, total))
+        return np.concatenate(above), np.concatenate(counts)
 
 
 def _packed(rows: np.ndarray) -> list[bytes]:
@@ -214,16 +239,21 @@ class _Tries:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)  # in order of appearance
         self.tries: dict[str, HatTrie] = {}
         self.held: dict[str, list[np.ndarray]] = {}
         self.n_held = 0
 
-    def add(self, lang: str, vocabulary: list[str], rows: np.ndarray) -> None:
+    def add(self, lang: str, vocabulary: pa.Array, rows: np.ndarray) -> None:
         """Phrases as rows of numbers into ``vocabulary``."""
-        own, number = np.zeros(len(vocabulary), np.uint32), self.number
-        for at in np.unique(rows).tolist():
-            own[at] = number.setdefault(vocabulary[at], len(number))
+        times = np.bincount(rows.ravel(), minlength=len(vocabulary))
+        used = np.flatnonzero(times)
+        own = np.zeros(len(vocabulary), np.uint32)
+        words = vocabulary.take(pa.array(used)).to_pylist()
+        own[used] = np.fromiter(map(self.number.__getitem__, words), np.uint32, len(used))
+        if self.length == 1:
+            self.tries.setdefault(lang, HatTrie(self.length, BURST)).add_words(own[used], times[used])
+            return
         self.held.setdefault(lang, []).append(own[rows])
         self.n_held += len(rows)
         if self.n_held >= HELD_ROWS:
@@ -242,12 +272,12 @@ class _Tries:
     def spill(self) -> Iterator[pa.RecordBatch]:
         """All subtrees as sorted runs, one for each language and prefix partition."""
         self.settle()
-        words = sorted(self.number)
+        words = pa.array(list(self.number), pa.large_string())
+        order = pc.array_sort_indices(words)
         rank = np.zeros(len(words), np.uint32)
-        for place, word in enumerate(words):
-            rank[self.number[word]] = place
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-        words = pa.array(words, pa.large_string())
+        rank[order.to_numpy()] = np.arange(len(words), dtype=np.uint32)
+        words = words.take(order)
+        hashes = hashes_of(words)
         while self.tries:
             lang, trie = self.tries.popitem()
             rows, counts = trie.rows()
@@ -311,7 +341,7 @@ def _counted(length: int, parts: int, bitmap: Broadcast | None):
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             for lang, words, raw in zip(*(batch.column(n) for n in ("lang", "words", "numbers")), strict=True):
-                lang, words = lang.as_py(), words.as_py()
+                lang, words = lang.as_py(), words.values
                 numbers = np.frombuffer(raw.as_buffer(), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
                 hashes = _word_hashes(lang, words) if length > 1 else None
                 found = _phrases(numbers, hashes, length, bits)
@@ -333,14 +363,18 @@ def bitmap(frequent: DataFrame) -> Broadcast:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = _word_hashes(lang, phrase.split(" "))
-                total = words[:1]
-                for n in range(1, len(words)):
-                    total = _mix(total, words[n : n + 1])
-                out.append(total[0])
-            place = np.array(out, np.uint64) & np.uint64(bits - 1)
+            split, langs = pc.split_pattern(batch.column(1), " "), batch.column(0)
+            every, sizes = np.zeros(len(split.flatten()), np.uint64), pc.list_value_length(split).to_numpy()
+            of = np.repeat(langs.to_numpy(zero_copy_only=False), sizes)
+            for lang in pc.unique(langs).to_pylist():
+                mine = of == lang
+                every[mine] = _word_hashes(lang, split.flatten().filter(pa.array(mine)))
+            start = np.cumsum(sizes) - sizes
+            total = every[start]
+            for n in range(1, int(sizes.max(initial=0))):
+                longer = sizes > n
+                total[longer] = _mix(total[longer], every[start[longer] + n])
+            place = total & np.uint64(bits - 1)
             yield pa.RecordBatch.from_pydict({"byte": (place >> np.uint64(3)).astype(np.int64), "mask": np.left_shift(1, (place & np.uint64(7)).astype(np.int64))})
 
     rows = frequent.select("lang", "phrase").mapInArrow(places, "byte long, mask long")
