@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -146,22 +147,28 @@ def learn(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, most_windows: int = WINDOWS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> Model:
-    """Fits on at most ``per_class`` texts of each label and ``most_windows`` windows of each: a bound on what the driver gets.
+    """Fits on at most ``per_class`` texts of each label and ``most_windows`` windows of each: a bound on what the task that trains gets.
 
     The line is placed on the highest of all windows of these texts, which is what texts are judged by.
     """
     chosen = sample(docs, labels, label, per_class, id_col, text_col)
     chosen = stored(chosen.select("id", "label", "text", _spread(most_windows)(F.col("text")).alias("windows")))
     order = "id", "windows", "text"
-    found = chosen.orderBy(*order).select("label", "windows").toArrow()
-    labels = found.column("label").to_numpy()
-    model = fit(found.column("windows").combine_chunks(), labels)
-    del found
+    ordered = chosen.coalesce(1).sortWithinPartitions(*order).select("label", "windows")
+    model = pickle.loads(ordered.mapInArrow(_fitted, "model binary").first()["model"])
     if model.slope == 0:
         return model
     whole = _each(docs.sparkSession.sparkContext.broadcast(model), Model.highest)
-    highest = chosen.select(*order, whole(F.col("text")).alias("highest")).orderBy(*order).select("highest").toArrow()
-    return replace(model, **dict(zip(("slope", "level"), _line(highest.column("highest").to_numpy(), labels, _aside(len(labels))))))
+    found = chosen.select(*order, "label", whole(F.col("text")).alias("highest")).orderBy(*order).select("label", "highest").toArrow()
+    labels, highest = (found.column(name).to_numpy() for name in ("label", "highest"))
+    return replace(model, **dict(zip(("slope", "level"), _line(highest, labels, _aside(len(labels))))))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (label, windows) of one task: the driver gets no texts and does not train."""
+    found = pa.Table.from_batches(batches, pa.schema([("label", pa.int32()), ("windows", pa.list_(pa.string()))]))
+    model = fit(found.column("windows").combine_chunks(), found.column("label").to_numpy())
+    yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
 
 def _each(model: Broadcast, read: Callable[[Model, pa.Array], np.ndarray]):
