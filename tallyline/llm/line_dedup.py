@@ -26,6 +26,8 @@ SPARSE = 16  # characters a word from which a line's features are its pairs of c
 LANE_BITS = 16  # bits of a sum, where four share a number
 LANE_CHARS = 1 << (LANE_BITS - 1)  # lines of fewer characters have no more features than such a sum can count
 COMMON_BITS = 20  # what two lines start or end with alike is found for up to two million characters
+PIECE, MARK, LONGEST = 64, 12, 4  # characters of a piece and of the mark that it starts with; pieces that may be compared in one
+GRAM = 8
 SIZE_BITS = 13
 SIZES = (1 << SIZE_BITS) - 1  # sizes from here on count as one
 CELLS = 1 << 16  # buckets are counted by cells
@@ -201,19 +203,65 @@ def _common(a: Column, b: Column) -> Column:
     return F.aggregate(steps, F.lit(0), longer)
 
 
+def _middle(a: Column, b: Column) -> Column:
+    """What lies between what both strings start and end with alike, as a struct of a and b (reversed twice); this needs all the edits."""
+    rest = lambda x, n: F.substring(x, n + 1, F.length(x))
+    both = let(_common(a, b), lambda n: F.struct(F.reverse(rest(a, n)).alias("a"), F.reverse(rest(b, n)).alias("b")))
+    return let(both, lambda x: let(_common(x.a, x.b), lambda n: F.struct(rest(x.a, n).alias("a"), rest(x.b, n).alias("b"))))
+
+
+def _edits(a: Column, b: Column, most: Column) -> Column:
+    """The edits that make one string of the other, -1 if more than ``most``."""
+    return F.when(a == b, 0).otherwise(F.call_function("levenshtein", a, b, most))
+
+
+def _pieced(a: Column, b: Column, most: Column) -> Column:
+    """Whether at most so many edits make the pieces of one string those of the other, cut where a mark of ``a`` recurs in ``b``.
+
+    The edits of all pieces are never fewer than those of the strings, and far
+    cheaper to count. Where marks are missing for ``LONGEST`` pieces, it is false.
+    """
+    piece = F.greatest(F.lit(PIECE), F.ceil(F.sqrt(F.length(a))).cast("int"))
+    last = F.length(a) - MARK
+    marks = lambda size: F.when(last >= size, F.sequence(size, last, size)).otherwise(F.array().cast("array<int>"))
+    state = lambda at, to, cost: F.struct(at.alias("at"), to.alias("to"), cost.alias("cost"))
+    zero = F.lit(0)
+
+    def cut(now: Column, at: Column, to: Column, size: Column) -> Column:
+        """``now`` after the pieces that end at these places; its cost is over ``most`` if theirs is."""
+        one, other = F.substring(a, now.at + 1, at - now.at), F.substring(b, now.to + 1, to - now.to)
+        over = (at - now.at > size * LONGEST) | (to - now.to > size * LONGEST)
+        edits = let(F.struct(one.alias("a"), other.alias("b")), lambda x: _edits(x.a, x.b, most - now.cost))
+        return let(F.when(over, -1).otherwise(edits), lambda n: state(at, to, F.when(n < 0, most + 1).otherwise(now.cost + n)))
+
+    def step(now: Column, at: Column, size: Column) -> Column:
+        low = F.greatest(now.to, now.to + at - now.at - PIECE // 2)
+        place = F.call_function("instr", F.substring(b, low + 1, F.lit(PIECE + MARK)), F.substring(a, at + 1, F.lit(MARK)))
+        met = let(F.struct(low.alias("low"), place.alias("place")), lambda x: F.when(x.place > 0, cut(now, at, x.low + x.place - 1, size)).otherwise(now))
+        lost = state(at, now.to, most + 1)
+        return F.when(now.cost > most, now).when(at - now.at > size * LONGEST, lost).otherwise(met)
+
+    def whole(size: Column) -> Column:
+        done = F.aggregate(marks(size), state(zero, zero, zero), lambda now, at: step(now, at, size))
+        end = lambda now: F.when(now.cost > most, now).otherwise(cut(now, F.length(a), F.length(b), size))
+        return let(done, lambda now: end(now).cost <= most)
+
+    return let(piece, whole)
+
+
+def _missed(a: Column, b: Column) -> Column:
+    """How many of the pieces of ``GRAM`` characters that ``a`` is cut into do not occur in ``b``: each needs an edit of its own."""
+    grams = F.regexp_extract_all(a, F.lit("(?s).{%d}" % GRAM), F.lit(0))
+    return F.size(F.filter(grams, lambda x: ~F.contains(b, x)))
+
+
 def _within(a: Column, b: Column, most: Column) -> Column:
     """Whether at most so many edits make one string of the other.
 
-    What both start and end with alike needs no edits, so only what lies between
-    is compared.
+    Two bounds on the edits decide most pairs; for the others the edits are counted.
     """
-    rest = lambda x, n: F.substring(x, n + 1, F.length(x))
-    both = let(_common(a, b), lambda n: F.struct(F.reverse(rest(a, n)).alias("a"), F.reverse(rest(b, n)).alias("b")))
-    middle = let(both, lambda x: let(_common(x.a, x.b), lambda n: F.struct(rest(x.a, n).alias("a"), rest(x.b, n).alias("b"))))
-    up_to = lambda x, n: F.call_function("levenshtein", x.a, x.b, F.least(most, F.lit(n))) >= 0
-    whole = lambda x: F.call_function("levenshtein", x.a, x.b, most) >= 0
-    # few edits are found at little cost, so they are looked for first
-    return let(middle, lambda x: F.when(up_to(x, 8), True).when(up_to(x, 40), True).when(most > 40, whole(x)).otherwise(False))
+    exact = let(_middle(a, b), lambda x: F.call_function("levenshtein", x.a, x.b, most) >= 0)
+    return F.when(let(most, lambda n: _pieced(a, b, n)), True).when(_missed(a, b) > most, False).otherwise(exact)
 
 
 def repeats(
